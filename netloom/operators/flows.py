@@ -66,7 +66,7 @@ def with_service_columns(packets: DataFrame) -> DataFrame:
         for name, (proto, port) in SERVICES.items()})
 
 
-def _packet_parts(packets: DataFrame) -> DataFrame:
+def packet_parts(packets: DataFrame) -> DataFrame:
     usable = packets.filter(F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull())
     return with_service_columns(with_flag_columns(with_flow_id(usable)))
 
@@ -95,7 +95,7 @@ def _merge_aggregates():
 def slot_partials(packets: DataFrame, timeout_s: int) -> DataFrame:
     """One row per flow and time slot of the timeout's width."""
     slot = F.floor(F.unix_micros("ts") / F.lit(timeout_s * 1_000_000)).cast("long")
-    return (_packet_parts(packets).withColumn("slot", slot)
+    return (packet_parts(packets).withColumn("slot", slot)
             .groupBy("flow_id", "slot").agg(*partial_aggregates()))
 
 

@@ -97,7 +97,7 @@ def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
 def _search(queries: DataFrame, data: DataFrame, blocks: DataFrame, need: int, cls_type) -> DataFrame:
     """Run the block kernel for queries (qid, vec, _scope, _cell) against data of the same cell."""
     cell = ["_scope", "_cell"]
-    q = (queries.select("qid", "vec", *cell).join(blocks, cell)
+    q = (queries.select("qid", F.col("vec").alias("q_vec"), *cell).join(blocks, cell)
          .withColumn("_qb", F.pmod(F.xxhash64("qid"), F.col("_nq")))
          .withColumn("_db", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nd") - 1)))
          .drop("_nq", "_nd"))
@@ -115,7 +115,7 @@ def _search(queries: DataFrame, data: DataFrame, blocks: DataFrame, need: int, c
                              "nn_cls": right.column("cls").combine_chunks().slice(0, 0),
                              "dist2": pa.array([], pa.float64())})
         ids = right.column("id").to_numpy()
-        r, c, dist = block_nearest(matrix(left.column("vec")), matrix(right.column("vec")), ids, need)
+        r, c, dist = block_nearest(matrix(left.column("q_vec")), matrix(right.column("vec")), ids, need)
         return pa.table({"qid": left.column("qid").to_numpy()[r], "nn_id": ids[c],
                          "nn_cls": right.column("cls").take(pa.array(c)), "dist2": dist})
 
@@ -237,9 +237,13 @@ def foreign_neighbours(with_nn: DataFrame, out: str = "n_foreign") -> DataFrame:
     return with_nn.withColumn(out, F.size(F.filter("nn", lambda x: x["nn_cls"] != F.col("cls"))))
 
 
-def classify(queries: DataFrame, train: DataFrame, k: int = 5, **options) -> DataFrame:
-    """Majority vote of the k nearest training points; ties go to the class seen first."""
-    with_nn = nearest(queries, train, k, exclude_self=False, **options)
+def classify(queries: DataFrame, train: DataFrame, k: int = 5, exclude_self: bool = False,
+             **options) -> DataFrame:
+    """Majority vote of the k nearest training points; ties go to the class seen first.
+
+    ``exclude_self`` leaves the query's own id out, for a leave-one-out estimate.
+    """
+    with_nn = nearest(queries, train, k, exclude_self=exclude_self, **options)
     classes = F.transform("nn", lambda x: x["nn_cls"])
     votes = F.transform(F.array_distinct(classes), lambda c: F.struct(
         F.size(F.filter(classes, lambda x: x == c)).alias("votes"),

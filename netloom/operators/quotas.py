@@ -16,8 +16,10 @@ MINORITY_PCT, MINORITY_ABS = 1.0, 10_000
 GENERATION_SHARE, GENERATION_CAP = 0.8, 100_000
 QUALITY_BANDS = ((3, "Excellent"), (10, "Good"), (20, "Risky"))
 
-# Quota tables have one row per class; a global window over them is one small task.
-CLASSES = W.partitionBy(F.lit(0))
+
+def all_classes():
+    """Quota tables have one row per class; a global window over them is one small task."""
+    return W.partitionBy(F.lit(0))
 
 
 def class_counts(df: DataFrame, cls: str) -> DataFrame:
@@ -25,7 +27,7 @@ def class_counts(df: DataFrame, cls: str) -> DataFrame:
 
 
 def _total_of(condition):
-    return F.coalesce(F.sum(F.when(condition, F.col("n"))).over(CLASSES), F.lit(0))
+    return F.coalesce(F.sum(F.when(condition, F.col("n"))).over(all_classes()), F.lit(0))
 
 
 def stratified_quotas(counts: DataFrame, target: int = TARGET_SAMPLE,
@@ -33,7 +35,7 @@ def stratified_quotas(counts: DataFrame, target: int = TARGET_SAMPLE,
     """Small classes keep up to ``min_minority``; the rest share what is left of the target."""
     minor = F.col("n") <= 2 * min_minority
     kept = F.least(F.col("n"), F.lit(min_minority))
-    spent = F.coalesce(F.sum(F.when(minor, kept)).over(CLASSES), F.lit(0))
+    spent = F.coalesce(F.sum(F.when(minor, kept)).over(all_classes()), F.lit(0))
     budget = F.greatest(F.lit(target) - spent, F.lit(0))
     share = F.least(F.floor(budget * (F.col("n") / _total_of(~minor))), F.col("n"))
     return counts.select("*", minor.alias("is_minority"),
@@ -42,7 +44,7 @@ def stratified_quotas(counts: DataFrame, target: int = TARGET_SAMPLE,
 
 def minority_flags(counts: DataFrame, pct: float = MINORITY_PCT, absolute: int = MINORITY_ABS) -> DataFrame:
     """A class is small below either threshold."""
-    share = percent(F.col("n"), F.sum("n").over(CLASSES))
+    share = percent(F.col("n"), F.sum("n").over(all_classes()))
     return (counts.withColumn("pct", share)
                   .withColumn("is_minority", (F.col("pct") < pct) | (F.col("n") < absolute)))
 
@@ -76,7 +78,7 @@ def minority_first_subset(df: DataFrame, cls: str, ids, subset: int, pct: float
 def generation_targets(counts: DataFrame, share: float = GENERATION_SHARE,
                        cap: int = GENERATION_CAP) -> DataFrame:
     """Rows to generate: up to ``share`` of the largest class, at most ``cap``, never negative."""
-    top = F.floor(F.max("n").over(CLASSES) * F.lit(share))
+    top = F.floor(F.max("n").over(all_classes()) * F.lit(share))
     wanted = F.least(top - F.col("n"), F.lit(cap))
     return counts.withColumn("to_generate", F.greatest(wanted, F.lit(0)).cast("long"))
 
@@ -87,7 +89,7 @@ def estimated_output(counts: DataFrame) -> DataFrame:
 
 def synthetic_quality(counts: DataFrame) -> DataFrame:
     """Synthetic/real ratio per class when all are raised to the largest, with a band."""
-    top = F.max("n").over(CLASSES)
+    top = F.max("n").over(all_classes())
     out = (counts.withColumn("target", top).withColumn("synthetic", F.col("target") - F.col("n"))
                  .withColumn("ratio", F.col("synthetic") / F.col("n")))
     band = F.lit("Poor")

@@ -1,0 +1,176 @@
+"""Training and scoring queries on flows whose classes follow from their features."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from netloom.operators import conditional, metrics, models, quotas
+from netloom.plans.registry import query
+from netloom.plans.views import table, view
+from netloom.session import materialise, scratch
+
+FEATURES = ["value", "hour", "size", "kind"]
+LABEL = models.LABEL
+
+
+def learnable(spark, sf):
+    """Events with features that determine their eight skewed classes, all rows kept."""
+    kind = F.array_position(F.array(*[F.lit(k) for k in ("click", "error", "purchase", "signup", "view")]), F.col("event_type"))
+    ts = F.col("ts").cast("timestamp")
+    rows = table(spark, sf, "events").select(
+        "event_id", "value", F.hour(ts).cast("double").alias("hour"),
+        F.floor(F.col("value") * 10).cast("double").alias("size"), kind.cast("double").alias("kind"),
+        F.least(F.floor(F.col("value") / 50), F.lit(7)).cast("int").alias(LABEL),
+        F.when(F.col("event_id") % 10 < 7, "train").when(F.col("event_id") % 10 < 9, "test").otherwise("val").alias("split"))
+    return materialise(rows, "learnable")
+
+
+def split(rows, name):
+    return rows.filter(F.col("split") == name)
+
+
+def report(model, rows):
+    """Weighted metrics per split and the requirement gate."""
+    by_split = models.evaluate(model, rows, LABEL, ["split"])
+    return metrics.requirement_gate(by_split).select(
+        "split", *[F.round(m, 4).alias(m) for m in metrics.METRICS], "n_rows", "meets_target")
+
+
+@query("m1_decision_tree")
+def _(spark, sf):
+    rows = learnable(spark, sf)
+    return report(models.fit(models.decision_tree(FEATURES), split(rows, "train")), rows)
+
+
+@query("m1_tree_shape")
+def _(spark, sf):
+    rows = learnable(spark, sf)
+    return models.tree_shape(spark, models.fit(models.decision_tree(FEATURES, max_depth=8), split(rows, "train")))
+
+
+@query("m2_random_forest")
+def _(spark, sf):
+    rows = learnable(spark, sf)
+    return report(models.fit(models.random_forest(FEATURES, n_estimators=20, max_depth=10), split(rows, "train")), rows)
+
+
+@query("m3_boosted_trees")
+def _(spark, sf):
+    rows = learnable(spark, sf)
+    pipeline = models.boosted_trees(FEATURES, n_estimators=3, max_depth=4, min_gain=0.0)
+    return report(models.fit(pipeline, split(rows, "train"), balanced=False), rows)
+
+
+@query("m4_neural_network")
+def _(spark, sf):
+    rows = learnable(spark, sf)
+    return report(models.fit(models.neural_network(FEATURES, 8, hidden=(16, 8), max_iter=30), split(rows, "train"), balanced=False), rows)
+
+
+@query("m6_linear_svm")
+def _(spark, sf):
+    rows = learnable(spark, sf)
+    return report(models.fit(models.linear_svm(FEATURES, max_iter=10), split(rows, "train"), balanced=False), rows)
+
+
+@query("m7_batch_scoring")
+def _(spark, sf):
+    rows = learnable(spark, sf)
+    model = models.fit(models.decision_tree(FEATURES, max_depth=8), split(rows, "train"))
+    return models.score(model, split(rows, "test")).select("event_id", "prediction", "predicted_class", F.round("confidence", 6).alias("confidence"))
+
+
+@query("p20_confidence")
+def _(spark, sf):
+    rows = learnable(spark, sf)
+    model = models.fit(models.linear_svm(FEATURES, max_iter=10), split(rows, "train"), balanced=False)
+    scored = models.score(model, split(rows, "val"))
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("confidence") <= 0) | (F.col("confidence") > 1)).alias("n_bad"))
+
+
+@query("m8_train_grid")
+def _(spark, sf):
+    rows = learnable(spark, sf)
+    train = split(rows, "train")
+    doubled = train.unionByName(train.filter(F.col(LABEL) > 3))
+    _, log = models.train_grid(spark, {"original": train, "smote": doubled}, {
+        "Decision Tree": models.decision_tree(FEATURES, max_depth=6),
+        "Random Forest": models.random_forest(FEATURES, n_estimators=5, max_depth=6)}, LABEL)
+    return log.select("algorithm", "dataset", "success")
+
+
+@query("m9_models_on_test")
+def _(spark, sf):
+    rows = learnable(spark, sf)
+    train = split(rows, "train")
+    fitted = {("Decision Tree", "original"): models.fit(models.decision_tree(FEATURES, max_depth=6), train),
+              ("Random Forest", "original"): models.fit(models.random_forest(FEATURES, n_estimators=5, max_depth=6), train)}
+    found = models.evaluate_models(fitted, split(rows, "test"), LABEL)
+    return found.select("algorithm", "dataset", *[F.round(m, 4).alias(m) for m in metrics.METRICS])
+
+
+@query("k6_model_round_trip")
+def _(spark, sf):
+    rows = learnable(spark, sf)
+    model = models.fit(models.decision_tree(FEATURES, max_depth=6), split(rows, "train"))
+    again = models.load_model(models.save_model(model, scratch(spark, "models"), "DecisionTree", "tree_original"))
+    test = split(rows, "test")
+    a = models.score(model, test).select("event_id", F.col("prediction").alias("a"))
+    b = models.score(again, test).select("event_id", F.col("prediction").alias("b"))
+    return a.join(b, "event_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("n_changed"))
+
+
+@query("w8_feature_importance")
+def _(spark, sf):
+    rows = learnable(spark, sf)
+    model = models.fit(models.random_forest(FEATURES, n_estimators=10, max_depth=6), split(rows, "train"))
+    return models.feature_importance(spark, model).withColumn("importance", F.round("importance", 4))
+
+
+def _network(spark, sf):
+    rows = learnable(spark, sf)
+    return models.fit(models.neural_network(FEATURES, 8, hidden=(16, 8), max_iter=30), split(rows, "train"), balanced=False)
+
+
+@query("k7_network_summary")
+def _(spark, sf):
+    return models.network_summary(spark, _network(spark, sf)).select("n_inputs", "hidden", "n_outputs", "n_weights", "iterations")
+
+
+@query("m12_loss_curve")
+def _(spark, sf):
+    return models.loss_curve(spark, _network(spark, sf)).withColumn("loss", F.round("loss", 4))
+
+
+@query("m13_weight_count", "", """SELECT label AS n_outputs, count(*) AS n_rows,
+  CAST(64 * 128 + 128 * 64 + 64 * label AS BIGINT) AS n_weights FROM embeddings GROUP BY label""")
+def _(spark, sf):
+    sizes = F.array(F.lit(64), F.lit(128), F.lit(64), F.col("label").cast("int"))
+    pairs = F.zip_with(F.slice(sizes, 1, 3), F.slice(sizes, 2, 3), lambda a, b: (a * b).cast("long"))
+    weights = F.aggregate(pairs, F.lit(0).cast("long"), lambda s, x: s + x)
+    return (table(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
+            .select(F.col("label").alias("n_outputs"), "n_rows", weights.alias("n_weights")))
+
+
+@query("b10_class_statistics", "scored_flows", """
+wide AS (SELECT y_true AS cls, 1.0::DOUBLE AS a, confidence AS b, CAST(y_pred AS DOUBLE) AS c FROM scored_flows),
+cells AS (SELECT cls, 0 AS i, 0 AS j, sum(a) AS t FROM wide GROUP BY cls UNION ALL SELECT cls, 0, 1, sum(b) FROM wide GROUP BY cls
+  UNION ALL SELECT cls, 0, 2, sum(c) FROM wide GROUP BY cls UNION ALL SELECT cls, 1, 1, sum(b * b) FROM wide GROUP BY cls
+  UNION ALL SELECT cls, 1, 2, sum(b * c) FROM wide GROUP BY cls UNION ALL SELECT cls, 2, 2, sum(c * c) FROM wide GROUP BY cls)
+SELECT CAST(cls AS BIGINT) AS cls, i, j, round(t, 4) AS total FROM cells""")
+def _(spark, sf):
+    return conditional.gram_cells(view(spark, sf, "scored_flows"), ["confidence", "y_pred"], "y_true").withColumn(
+        "total", F.round("total", 4))
+
+
+@query("b10_conditional_rows", "scored_flows", """
+counts AS (SELECT y_true AS cls, count(*) AS n FROM scored_flows GROUP BY y_true),
+t AS (SELECT cls, CAST(greatest(least(floor((SELECT max(n) FROM counts) * 0.8) - n, 100000), 0) AS BIGINT) AS n_rows FROM counts)
+SELECT cls, n_rows FROM t WHERE n_rows > 0""")
+def _(spark, sf):
+    flows = view(spark, sf, "scored_flows")
+    fitted = conditional.fit_class_models(flows, ["confidence", "y_pred"], "y_true")
+    wanted = quotas.generation_targets(quotas.class_counts(flows, "y_true"))
+    targets = {r["y_true"]: r["to_generate"] for r in wanted.collect()}     # one row per class
+    made = conditional.generate(spark, fitted, targets, ["confidence", "y_pred"])
+    return made.groupBy("cls").agg(F.count(F.lit(1)).alias("n_rows"))

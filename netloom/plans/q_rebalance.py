@@ -232,12 +232,12 @@ def _(spark, sf):
 
 
 @query("m5_knn_classifier", "vectors", f"""pairs AS (SELECT a.id, a.cls, b.id AS nn_id, b.cls AS nn_cls, {_D2} AS d2
-  FROM vectors a JOIN vectors b ON a.id % 5 = 0 AND b.id % 5 <> 0),
+  FROM vectors a JOIN vectors b ON a.id <> b.id),
 near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, nn_id) AS pos FROM pairs),
 votes AS (SELECT id, cls, nn_cls, count(*) AS v, min(pos) AS first FROM near WHERE pos <= 5 GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, first) AS r FROM votes)
 SELECT id, cls, nn_cls AS predicted, v / 5.0::DOUBLE AS confidence FROM best WHERE r = 1""")
 def _(spark, sf):
-    # every point is used: one fold is classified against the other four
+    # leave-one-out over every point
     p = points(spark, sf)
-    return knn.classify(p.filter("id % 5 = 0"), p.filter("id % 5 <> 0"), 5).select("id", "cls", "predicted", "confidence")
+    return knn.classify(p, p, 5, exclude_self=True).select("id", "cls", "predicted", "confidence")

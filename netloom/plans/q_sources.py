@@ -1,0 +1,198 @@
+"""Source and sink queries: written by Spark into the shared folder, then read back."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from netloom.operators import alerts, encode, flows, synth
+from netloom.plans.q_columns import FEATS, PREPARED_SQL, prepared, raw
+from netloom.plans.q_flows import DAY
+from netloom.plans.q_metrics import TAGGED_METRICS, model_metrics
+from netloom.plans.registry import query
+from netloom.plans.views import RAW_KEY, table, view
+from netloom.session import scratch
+from netloom.sources import readers, writers
+
+CSV_COUNTS = """SELECT label, count(*) AS n, count(*) FILTER (WHERE isinf(f2)) AS n_infinite,
+  count(*) FILTER (WHERE f1 IS NULL) AS n_null, count(*) FILTER (WHERE isnan(f3)) AS n_nan FROM raw_flows GROUP BY label"""
+
+
+def csv_folder(spark, sf):
+    """The raw flows as CSV the way pandas spells it: inf, -inf, NaN."""
+    path = scratch(spark, "csv")
+    spell = lambda c: F.when(F.col(c) == float("inf"), "inf").when(F.col(c) == float("-inf"), "-inf").otherwise(F.col(c).cast("string"))
+    raw(spark, sf).select(*[spell(f).alias(f) for f in FEATS], "label").write.option("header", True).csv(path)
+    return path
+
+
+def csv_counts(df):
+    return df.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs("f2") == float("inf")).alias("n_infinite"),
+                                   F.count_if(F.col("f1").isNull()).alias("n_null"), F.count_if(F.isnan("f3")).alias("n_nan"))
+
+
+@query("s1_csv_header", "", "SELECT unnest(['f1', 'f2', 'f3', 'f4', 'f5']) AS feature")
+def _(spark, sf):
+    names = readers.csv_features(spark, csv_folder(spark, sf))
+    return spark.createDataFrame([(n,) for n in names], "feature string")
+
+
+@query("s2_csv_scan", "raw_flows", CSV_COUNTS)
+def _(spark, sf):
+    return csv_counts(readers.read_flows_csv(spark, csv_folder(spark, sf), readers.flow_schema(FEATS)))
+
+
+@query("s3_row_limited_scan", "raw_flows", "SELECT flow_no, label FROM raw_flows ORDER BY flow_no, part_no, supp_no LIMIT 1000")
+def _(spark, sf):
+    return readers.first_rows(raw(spark, sf), RAW_KEY, 1000).select("flow_no", "label")
+
+
+@query("s4_csv_glob", "raw_flows", CSV_COUNTS)
+def _(spark, sf):
+    return csv_counts(readers.read_flows_csv(spark, csv_folder(spark, sf) + "/*.csv", readers.flow_schema(FEATS)))
+
+
+@query("s5_parquet_scan", "", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY ALL")
+def _(spark, sf):
+    rows = readers.read_table(spark, f"{sf}/lineitem.parquet")
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+
+
+@query("s6_projected_scan", "", "SELECT l_orderkey, l_discount FROM lineitem")
+def _(spark, sf):
+    return readers.read_table(spark, f"{sf}/lineitem.parquet", ["l_orderkey", "l_discount"])
+
+
+@query("s7_row_count", "", "SELECT count(*) AS n_rows, 11 AS n_columns FROM lineitem")
+def _(spark, sf):
+    return readers.table_shape(table(spark, sf, "lineitem"))
+
+
+@query("s8_batched_scan", "", "SELECT count(*) AS n, count(DISTINCT l_orderkey) AS n_orders FROM lineitem")
+def _(spark, sf):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        rows = readers.read_in_batches(spark, f"{sf}/lineitem.parquet", 4 * 1024 * 1024)
+        return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("n_orders"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@query("s9_split_loader", "raw_flows", """
+SELECT 'smote' AS variant, 'train' AS split, 2 * count(*) AS n FROM raw_flows WHERE split = 'train'
+UNION ALL SELECT 'original', split, count(*) FROM raw_flows WHERE split <> 'train' GROUP BY split""")
+def _(spark, sf):
+    root, rows = scratch(spark, "variants"), raw(spark, sf)
+    train = rows.filter("split = 'train'")
+    both = rows.withColumn("variant", F.lit("original")).unionByName(
+        train.unionByName(train).withColumn("variant", F.lit("smote")))
+    writers.write_table(both, root, ["variant", "split"])
+    parts = readers.load_splits(spark, root, "smote")
+    out = None
+    for name, df in parts.items():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit("smote" if name == "train" else "original").alias("variant"), F.lit(name).alias("split"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def scored_flows46(spark, sf):
+    """Flows with 46 features and a decision from their protocol and size."""
+    rows = flows.flow_features(view(spark, sf, "packets"), DAY)
+    named = rows.withColumns({"predicted_class": F.when(F.col("TCP") == 1, "DDoS").when(F.col("UDP") == 1, "DoS").otherwise("Benign"),
+                              "confidence": F.least(F.lit(1.0), F.col("AVG") / 4000)})
+    return alerts.decide(named)
+
+
+@query("s10_latest_snapshot")
+def _(spark, sf):
+    folder, rows = scratch(spark, "sniffer"), scored_flows46(spark, sf)
+    writers.write_scored(rows.filter("is_attack"), folder, datetime(2025, 1, 1))
+    writers.write_scored(rows, folder, datetime(2025, 1, 2))
+    return readers.latest_predictions(spark, folder).groupBy("protocol", "is_attack").agg(
+        F.count(F.lit(1)).alias("n"), F.count("timestamp").alias("n_timestamps"))
+
+
+@query("k5_scored_csv", "packets", """SELECT count(*) AS n FROM packets HAVING count(*) > 0""")
+def _(spark, sf):
+    # the packet counts of all written flows add up to the packets read
+    path = writers.write_scored(scored_flows46(spark, sf), scratch(spark, "sniffer"))
+    back = spark.read.schema(readers.SCORED_SCHEMA).option("header", True).csv(path)
+    return back.agg(F.sum("Number").cast("long").alias("n"))
+
+
+REPORT = f"""{TAGGED_METRICS} SELECT algorithm, dataset, round(accuracy, 6) AS accuracy, round((accuracy + "precision" + recall + f1) / 4, 6) AS mean_score FROM weighted"""
+
+
+@query("s11_comparison_read", "scored_flows", REPORT)
+def _(spark, sf):
+    folder = scratch(spark, "report")
+    writers.write_report(model_metrics(spark, sf), folder)
+    return readers.read_comparison(spark, f"{folder}/comparison_results_csv").select(
+        "algorithm", "dataset", F.round("accuracy", 6).alias("accuracy"), F.round("mean_score", 6).alias("mean_score"))
+
+
+@query("s12_model_inventory")
+def _(spark, sf):
+    from netloom.operators import models
+    from netloom.plans.q_models import FEATURES, learnable, split
+    root = scratch(spark, "models")
+    train = split(learnable(spark, sf), "train")
+    model = models.fit(models.decision_tree(FEATURES, max_depth=4), train)
+    models.save_model(model, root, "DecisionTree", "tree_original")
+    models.save_model(model, root, "DecisionTree", "tree_smote")
+    return readers.model_inventory(spark, root).select("algorithm", "file", (F.col("size_mb") > 0).alias("has_size"))
+
+
+@query("k1_parquet_sink", "raw_flows", f"{PREPARED_SQL} SELECT split, y_macro_encoded, count(*) AS n FROM prepared GROUP BY ALL")
+def _(spark, sf):
+    path = scratch(spark, "processed")
+    writers.write_table(encode.narrow(prepared(spark, sf), FEATS), path, ["split"])
+    return spark.read.parquet(path).groupBy("split", "y_macro_encoded").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k1_shuffled_sink", "raw_flows", "SELECT split, count(*) AS n FROM raw_flows GROUP BY split")
+def _(spark, sf):
+    from netloom.operators.ranking import with_shuffle_key
+    path = scratch(spark, "shuffled")
+    writers.write_shuffled(with_shuffle_key(raw(spark, sf), RAW_KEY), path)
+    return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k2_merged_sink", "vectors", """sizes AS (SELECT cls, count(*) AS n FROM vectors GROUP BY cls)
+SELECT is_synthetic, CAST(sum(m) AS BIGINT) AS n FROM (SELECT false AS is_synthetic, n AS m FROM sizes
+UNION ALL SELECT true, (SELECT max(n) FROM sizes) - n FROM sizes) t GROUP BY is_synthetic""")
+def _(spark, sf):
+    base, path = view(spark, sf, "vectors"), scratch(spark, "train_smote")
+    writers.write_merged(base.select("cls", "vec"), synth.smote(base).select("cls", "vec", "is_synthetic"), path)
+    return spark.read.parquet(path).groupBy("is_synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k3_augmentation_info", "raw_flows", """SELECT 'original' AS phase, label AS class, count(*) AS n, 'SMOTE' AS method FROM raw_flows GROUP BY label
+UNION ALL SELECT 'sample', label, count(*), 'SMOTE' FROM raw_flows WHERE split = 'train' GROUP BY label""")
+def _(spark, sf):
+    path, rows = scratch(spark, "info"), raw(spark, sf)
+    writers.write_augmentation_info(path, "SMOTE", "label", {"original": rows, "sample": rows.filter("split = 'train'")})
+    return spark.read.json(path).select("phase", "class", "n", "method")
+
+
+@query("k3_mapping_info", "raw_flows", """SELECT count(DISTINCT label) AS n_specific_classes, (SELECT count(*) FROM raw_flows) AS total_rows_analyzed,
+  min(label) AS first_label FROM raw_flows""")
+def _(spark, sf):
+    path, rows = scratch(spark, "mapping"), raw(spark, sf)
+    codes = encode.label_dictionary(rows)
+    total = codes.agg(F.sum("n")).first()[0]
+    writers.write_json(writers.mapping_info(codes, total), path)
+    return spark.read.json(path).select("n_specific_classes", "total_rows_analyzed", F.col("idx_to_specific")["0"].alias("first_label"))
+
+
+@query("k8_production_batch", "raw_flows", """SELECT 'raw_flows' AS source_file, count(*) AS num_records, 5 AS num_features, true AS has_labels,
+  'datacenter-1' AS deployment_location, 60 AS capture_duration_minutes FROM raw_flows""")
+def _(spark, sf):
+    folder = scratch(spark, "production")
+    writers.write_production_batch(raw(spark, sf), folder, "batch", "raw_flows", FEATS, label="label",
+                                   location="datacenter-1", minutes=60)
+    meta = spark.read.json(f"{folder}/batch_metadata")
+    return meta.select("source_file", "num_records", F.col("num_features").cast("int").alias("num_features"), "has_labels",
+                       "deployment_location", F.col("capture_duration_minutes").cast("int").alias("capture_duration_minutes"))

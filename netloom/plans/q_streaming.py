@@ -1,0 +1,104 @@
+"""Structured Streaming queries, drained over the whole input table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from netloom.operators import encode, flows, models
+from netloom.plans.q_alerts import DECIDED, decided
+from netloom.plans.q_flows import DAY, RECORD_SQL, features_sql, segmented_sql, shown
+from netloom.plans.registry import query
+from netloom.plans.views import VIEW_SQL, table, view
+from netloom.sources.readers import packet_stream
+from netloom.streaming import flows as stream
+
+SHOWN = ["Number", "Tot sum", "Std", "IAT", "syn_count"]
+
+
+def events_stream(spark, sf):
+    return packet_stream(spark, sf, table(spark, sf, "events").schema, pathGlobFilter="events.parquet")
+
+
+def view_stream(spark, sf, name):
+    return spark.sql(VIEW_SQL[name], events=events_stream(spark, sf))
+
+
+def emitted(spark, sf):
+    return stream.run_append(stream.flow_stream(view_stream(spark, sf, "packets"), DAY), "flows")
+
+
+# the last watermark is the latest packet minus ten minutes, in whole milliseconds
+CLOSED = "(SELECT (epoch_us(max(ts)) // 1000 - 600000) * 1000 FROM packets)"
+
+
+@query("t2_timeout_emission", "packets", f"""{segmented_sql(DAY)}, {RECORD_SQL}
+SELECT flow_id, epoch_us(start_ts) AS start_us, epoch_us(last_ts) AS last_us, n FROM records
+WHERE epoch_us(last_ts) + {DAY * 1_000_000 - 1} <= {CLOSED}""")
+def _(spark, sf):
+    return emitted(spark, sf).select("flow_id", F.unix_micros("start_ts").alias("start_us"),
+                                     F.unix_micros("last_ts").alias("last_us"), F.col("Number").alias("n"))
+
+
+@query("t3_flush_at_end", "packets", features_sql(DAY, SHOWN))
+def _(spark, sf):
+    out = emitted(spark, sf)
+    tail = stream.flush_tail(view(spark, sf, "packets"), out, DAY)
+    return shown(out.unionByName(tail), SHOWN)
+
+
+@query("t1_session_batch_form", "packets", features_sql(DAY, SHOWN))
+def _(spark, sf):
+    return shown(stream.flow_stream(view(spark, sf, "packets"), DAY), SHOWN)
+
+
+@query("t4_scored_stream")
+def _(spark, sf):
+    """A tree learned on the batch flows scores the same flows as they leave the stream."""
+    known = flows.flow_features(view(spark, sf, "packets"), DAY).withColumn(
+        models.LABEL, F.when(F.col("TCP") == 1, 2).when(F.col("UDP") == 1, 3).otherwise(0))
+    scaler = encode.fit_scaler(known, flows.FEATURES)
+    rows = stream.scaled_training_rows(known, scaler)
+    model = models.fit(models.decision_tree(stream.scaled_names(scaler), max_depth=5), rows)
+    scored, blocked = stream.monitor(view_stream(spark, sf, "packets"), model, scaler, "monitor", DAY)
+    per_class = scored.groupBy("protocol", "predicted_class", "is_attack").agg(F.count(F.lit(1)).alias("n"))
+    sources = blocked.agg(F.count(F.lit(1)).alias("n"))
+    return per_class.unionByName(sources.select(
+        F.lit("blocked sources").alias("protocol"), F.lit("").alias("predicted_class"), F.lit(True).alias("is_attack"), "n"))
+
+
+def decided_stream(spark, sf):
+    from netloom.operators import alerts
+    return alerts.decide(view_stream(spark, sf, "decided"))
+
+
+@query("t5_block_stream", "decided", f"{DECIDED} SELECT DISTINCT src_ip FROM alerts WHERE blocked")
+def _(spark, sf):
+    return stream.run_append(stream.block_stream(decided_stream(spark, sf)), "blocks").select("src_ip")
+
+
+@query("t6_running_counters", "decided", f"""{DECIDED}
+SELECT count(*) AS flows_completed, count(*) FILTER (WHERE is_attack) AS attacks_detected,
+  count(*) FILTER (WHERE NOT is_attack) AS benign_flows, count(*) FILTER (WHERE blocked) AS blocked_flows FROM alerts""")
+def _(spark, sf):
+    return stream.run_counters(stream.counter_stream(decided_stream(spark, sf)), "counters")
+
+
+@query("t7_timeline_stream", "decided", f"""{DECIDED}
+SELECT epoch_us(date_trunc('hour', ts)) AS hour, is_attack, count(*) AS n FROM alerts
+GROUP BY 1, 2 HAVING epoch_us(date_trunc('hour', ts)) + 3600000000 <= (SELECT (epoch_us(max(ts)) // 1000 - 600000) * 1000 FROM alerts)""")
+def _(spark, sf):
+    out = stream.run_append(stream.timeline_stream(decided_stream(spark, sf)), "timeline")
+    return out.withColumn("hour", F.unix_micros("hour"))
+
+
+@query("s14_packet_stream", "packets", "SELECT proto, count(*) AS n FROM packets GROUP BY proto")
+def _(spark, sf):
+    out = stream.run_append(view_stream(spark, sf, "packets"), "packets")
+    return out.groupBy("proto").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a32_stream_equals_batch", "decided", f"""{DECIDED} SELECT count(*) FILTER (WHERE blocked) AS n FROM alerts""")
+def _(spark, sf):
+    streamed = stream.run_counters(stream.counter_stream(decided_stream(spark, sf)), "counters").select("blocked_flows")
+    batch = decided(spark, sf).agg(F.count_if("blocked").alias("n"))
+    return batch.join(streamed, F.col("n") == F.col("blocked_flows")).select("n")
