@@ -48,7 +48,8 @@ def with_flow_id(packets: DataFrame) -> DataFrame:
     low, high = F.least(end("src"), end("dst")), F.greatest(end("src"), end("dst"))
     text = lambda e: F.concat(e["ip"], F.lit(":"), e["port"].cast("string"))
     prefix = F.when(has_ports, F.col("proto")).otherwise("OTHER")
-    return packets.withColumn("flow_id", F.concat_ws("_", prefix, text(low), text(high)))
+    return packets.withColumns({"flow_id": F.concat_ws("_", prefix, text(low), text(high)),
+                                "from_low": end("src") <= end("dst")})
 
 
 def with_flag_columns(packets: DataFrame) -> DataFrame:
@@ -66,16 +67,29 @@ def with_service_columns(packets: DataFrame) -> DataFrame:
         for name, (proto, port) in SERVICES.items()})
 
 
+PROTOCOLS = ("TCP", "UDP", "ICMP", "OTHER")
+
+
 def packet_parts(packets: DataFrame) -> DataFrame:
+    """Packets with their key, flags and the two columns that find a flow's first packet.
+
+    ``order`` ranks packets by (ts, pkt_id) and ``code`` packs the packet's
+    direction and protocol. Both have a fixed width, so the aggregation over
+    them stays a hash aggregation without a sort.
+    """
     usable = packets.filter(F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull())
-    return with_service_columns(with_flag_columns(with_flow_id(usable)))
+    keyed = with_service_columns(with_flag_columns(with_flow_id(usable)))
+    proto = F.when(F.col("proto") == "TCP", 0).when(F.col("proto") == "UDP", 1).when(F.col("proto") == "ICMP", 2).otherwise(3)
+    order = (F.unix_micros("ts").cast("decimal(18,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)")
+             + F.col("pkt_id").cast("decimal(19,0)")).cast("decimal(38,0)")
+    return keyed.withColumns({"code": proto + F.when(F.col("from_low"), 0).otherwise(4), "order": order})
 
 
 def partial_aggregates():
     """Mergeable measures of a set of packets; integers, so merging is exact."""
     size = F.col("size").cast("long")
-    first = F.min_by(F.struct("src_ip", "dst_ip", "proto"), F.struct("ts", "pkt_id"))
-    return [F.min("ts").alias("start_ts"), F.max("ts").alias("last_ts"), first.alias("first"),
+    return [F.min("ts").alias("start_ts"), F.max("ts").alias("last_ts"),
+            F.min_by("code", "order").alias("first_code"), F.min("order").alias("first_order"),
             F.count(F.lit(1)).alias("n"), F.sum(size).alias("sum_size"),
             F.sum(size * size).alias("sum_sq"), F.min(size).alias("min_size"),
             F.max(size).alias("max_size"),
@@ -85,7 +99,7 @@ def partial_aggregates():
 
 def _merge_aggregates():
     return [F.min("start_ts").alias("start_ts"), F.max("last_ts").alias("last_ts"),
-            F.min_by("first", "start_ts").alias("first"), F.sum("n").alias("n"),
+            F.min_by("first_code", "first_order").alias("first_code"), F.sum("n").alias("n"),
             F.sum("sum_size").alias("sum_size"), F.sum(F.col("sum_sq").cast("decimal(38,0)")).alias("sum_sq"),
             F.min("min_size").alias("min_size"), F.max("max_size").alias("max_size"),
             *[F.sum(name).alias(name) for name in TCP_FLAGS],
@@ -128,7 +142,7 @@ def feature_columns(iat_compat: bool = False):
     # n * sum(x^2) - sum(x)^2 in whole numbers: no cancellation
     spread = (wide("n") * wide("sum_sq") - wide("sum_size") * wide("sum_size")).cast("double")
     variance = spread / (n * n)
-    proto = F.col("first.proto")
+    proto = first_protocol()
     iat = F.when(F.col("n") > 1, seconds / (n - 1)).otherwise(0.0)
     values = {
         "flow_duration": seconds, "Duration": seconds,
@@ -149,14 +163,19 @@ def feature_columns(iat_compat: bool = False):
     return [values[f].alias(f) for f in FEATURES]
 
 
-FLOW_KEYS = ["flow_id", "start_ts", "last_ts", "src_ip", "dst_ip", "protocol"]
+def first_protocol():
+    """Protocol of the flow's first packet."""
+    return F.element_at(F.array(*[F.lit(p) for p in PROTOCOLS]), F.col("first_code") % 4 + 1)
 
 
 def flow_keys():
-    proto = F.col("first.proto")
+    """Key columns; the first packet's endpoints are read back from the flow id."""
+    ends = r"^[^_]+_(.*):\d+_(.*):\d+$"
+    low, high = F.regexp_extract("flow_id", ends, 1), F.regexp_extract("flow_id", ends, 2)
+    forward = F.col("first_code") < 4
     return [F.col("flow_id"), F.col("start_ts"), F.col("last_ts"),
-            F.col("first.src_ip").alias("src_ip"), F.col("first.dst_ip").alias("dst_ip"),
-            F.when(proto.isin("TCP", "UDP", "ICMP"), proto).otherwise("OTHER").alias("protocol")]
+            F.when(forward, low).otherwise(high).alias("src_ip"),
+            F.when(forward, high).otherwise(low).alias("dst_ip"), first_protocol().alias("protocol")]
 
 
 def flow_features(packets: DataFrame, timeout_s: int = 60, iat_compat: bool = False) -> DataFrame:

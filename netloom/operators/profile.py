@@ -73,55 +73,68 @@ def exact_quantiles(df: DataFrame, features, probs, by=(), accuracy: int = 10_00
     """Exact interpolated quantiles: (by..., feature, prob, quantile).
 
     ``percentile`` keeps every distinct value of a group in one task. Instead a
-    sketch brackets the two order statistics around each quantile (its rank
-    error is at most n / accuracy), one more scan counts the rows below the
-    bracket, and only the distinct values inside it are ranked.
+    sketch brackets the order statistics around each quantile (its rank error is
+    at most n / accuracy), a second scan counts the rows below each bracket, and
+    a third ranks only the distinct values inside it.
     """
-    by = list(by)
-    keys = [*by, "feature"]
-    cells = (long_form(df, features, by)
-             .filter(F.col("value").isNotNull() & ~F.isnan("value")))
+    keys = list(by) or ["_g"]
     slack = 2.0 / accuracy
-    edges = []
-    for p in probs:
-        edges += [max(p - slack, 0.0), min(p + slack, 1.0)]
-    sketch = (cells.groupBy(*keys)
-              .agg(F.percentile_approx("value", F.array(*[F.lit(e) for e in edges]),
-                                       F.lit(accuracy)).alias("_e"),
-                   F.min("value").alias("_min"), F.max("value").alias("_max"),
-                   F.count(F.lit(1)).alias("_n")))
-    few = F.col("_n") <= 4 * accuracy       # too few rows for a rank bracket: keep them all
-    brackets = F.array(*[
-        F.struct(F.lit(float(p)).alias("prob"),
-                 F.when(few | F.lit(p <= slack), F.col("_min"))
-                  .otherwise(F.element_at("_e", 2 * i + 1)).alias("_lo"),
-                 F.when(few | F.lit(p + slack >= 1), F.col("_max"))
-                  .otherwise(F.element_at("_e", 2 * i + 2)).alias("_hi"))
-        for i, p in enumerate(probs)])
-    brackets = small_side(sketch.select(*keys, "_n", F.inline(brackets)))
-    # rows below the bracket share one NULL place; rows inside keep their value
-    place = F.when(F.col("value") >= F.col("_lo"), F.col("value"))
-    inside = (cells.join(brackets, keys).filter(F.col("value") <= F.col("_hi"))
-              .groupBy(*keys, "prob", "_n", place.alias("_v"))
+    edges = F.array(*[F.lit(e) for p in probs for e in (max(p - slack, 0.0), min(p + slack, 1.0))])
+    cell = lambda f: F.when(~F.isnan(col(f).cast("double")), col(f).cast("double"))
+    base = df.withColumn("_g", F.lit(0)).select(*[col(k) for k in keys],
+                                                *[cell(f).alias(f"v{i}") for i, f in enumerate(features)])
+    stats = []
+    for i in range(len(features)):
+        v = F.col(f"v{i}")
+        stats += [F.percentile_approx(v, edges, F.lit(accuracy)).alias(f"e{i}"), F.min(v).alias(f"a{i}"),
+                  F.max(v).alias(f"z{i}"), F.count(v).alias(f"n{i}")]
+    spots = [(i, j) for i in range(len(features)) for j in range(len(probs))]
+
+    def bracket(i, j):
+        few = F.col(f"n{i}") <= 4 * accuracy        # too few rows for a rank bracket: keep them all
+        low = F.when(few | F.lit(probs[j] <= slack), F.col(f"a{i}")).otherwise(F.element_at(f"e{i}", 2 * j + 1))
+        high = F.when(few | F.lit(probs[j] + slack >= 1), F.col(f"z{i}")).otherwise(F.element_at(f"e{i}", 2 * j + 2))
+        return [low.alias(f"lo{i}_{j}"), high.alias(f"hi{i}_{j}")]
+
+    brackets = small_side(base.groupBy(*keys).agg(*stats).select(
+        *keys, *[F.col(f"n{i}") for i in range(len(features))], *[c for i, j in spots for c in bracket(i, j)]))
+    bounded = base.join(brackets, keys)
+    below = bounded.groupBy(*keys).agg(
+        *[F.first(f"n{i}").alias(f"n{i}") for i in range(len(features))],
+        *[F.count_if(F.col(f"v{i}") < F.col(f"lo{i}_{j}")).alias(f"b{i}_{j}") for i, j in spots])
+    below = below.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.col(f"n{i}").alias("_n"),
+                 F.col(f"b{i}_{j}").alias("_below")) for i, j in spots])))
+    inside = F.filter(F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"),
+                 F.when(F.col(f"v{i}").between(F.col(f"lo{i}_{j}"), F.col(f"hi{i}_{j}")), F.col(f"v{i}")).alias("_v"))
+        for i, j in spots]), lambda x: x["_v"].isNotNull())
+    values = (bounded.select(*keys, F.inline(inside)).groupBy(*keys, "_i", "_j", "_v")
               .agg(F.count(F.lit(1)).alias("_c")))
-    upto = (W.partitionBy(*keys, "prob").orderBy(F.col("_v").asc_nulls_first())
-             .rowsBetween(W.unboundedPreceding, 0))
-    ranked = inside.withColumn("_cum", F.sum("_c").over(upto))
+    spot = [*keys, "_i", "_j"]
+    upto = W.partitionBy(*spot).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = values.join(small_side(below), spot).withColumn("_cum", F.col("_below") + F.sum("_c").over(upto))
     # 0-based position p * (n - 1); the value at rank r is the first with cum > r
-    pos = F.col("prob") * (F.col("_n") - 1)
+    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_j") + 1)
+    name = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_i") + 1)
+    pos = prob * (F.col("_n") - 1)
     at = lambda r: F.min(F.when(F.col("_cum") > r, F.col("_v")))
-    return (ranked.groupBy(*keys, "prob", "_n")
-            .agg(at(F.floor(pos)).alias("_a"), at(F.ceil(pos)).alias("_b"))
-            .select(*keys, "prob", (F.col("_a") + (F.col("_b") - F.col("_a"))
-                                    * (pos - F.floor(pos))).alias("quantile")))
+    return (ranked.groupBy(*spot, "_n").agg(at(F.floor(pos)).alias("_a"), at(F.ceil(pos)).alias("_b"))
+            .select(*by, name.alias("feature"), prob.alias("prob"),
+                    (F.col("_a") + (F.col("_b") - F.col("_a")) * (pos - F.floor(pos))).alias("quantile")))
 
 
 def describe(df: DataFrame, features) -> DataFrame:
     """feature, n, mean, sample std, min, quartiles, max (missing cells left out)."""
-    cells = long_form(df, features).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    base = cells.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
+    aggs = []
+    for i, f in enumerate(features):
+        v = F.when(~F.isnan(col(f).cast("double")), col(f).cast("double"))
+        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
+                 F.min(v).alias(f"a{i}"), F.max(v).alias(f"z{i}")]
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean"),
+                              F.col(f"s{i}").alias("std"), F.col(f"a{i}").alias("min"), F.col(f"z{i}").alias("max"))
+                     for i, f in enumerate(features)])
+    base = df.agg(*aggs).select(F.inline(rows))
     quart = (exact_quantiles(df, features, (0.25, 0.5, 0.75))
              .groupBy("feature").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
              .toDF("feature", "q25", "q50", "q75"))
@@ -162,21 +175,25 @@ def box_stats(df: DataFrame, features, cls: str, whisker: float = 1.5) -> DataFr
                  F.count_if(~inside).alias("n_outliers")))
 
 
-def pearson(a, b):
-    """Pearson r over rows where both are present; NULL for a constant column."""
+def pearson(a, b, complete: bool = False):
+    """Pearson r over rows where both are present; NULL for a constant column.
+
+    On ``complete`` columns the deviations are shared by all pairs of a column.
+    """
     a, b = a.cast("double"), b.cast("double")
-    both = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)
-    a, b = F.when(both, a), F.when(both, b)
+    if not complete:
+        both = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)
+        a, b = F.when(both, a), F.when(both, b)
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
-def correlation(df: DataFrame, features) -> DataFrame:
+def correlation(df: DataFrame, features, complete: bool = False) -> DataFrame:
     """Upper triangle of the Pearson matrix in one scan; constant columns drop out.
 
     (pos_a, pos_b) keep the column order of the input.
     """
     pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
-    aggs = [pearson(col(features[i]), col(features[j])).alias(f"c{i}_{j}")
+    aggs = [pearson(col(features[i]), col(features[j]), complete).alias(f"c{i}_{j}")
             for i, j in pairs]
     rows = F.array(*[
         F.struct(F.lit(i).alias("pos_a"), F.lit(j).alias("pos_b"), F.lit(features[i]).alias("feature_a"),
@@ -186,9 +203,10 @@ def correlation(df: DataFrame, features) -> DataFrame:
               .filter(F.col("r").isNotNull()))
 
 
-def label_correlation(df: DataFrame, features, target: str, k: int = 15) -> DataFrame:
+def label_correlation(df: DataFrame, features, target: str, k: int = 15,
+                      complete: bool = False) -> DataFrame:
     """The k features most correlated with the target by absolute value."""
-    aggs = [pearson(col(f), col(target)).alias(f"c{i}")
+    aggs = [pearson(col(f), col(target), complete).alias(f"c{i}")
             for i, f in enumerate(features)]
     rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.abs(F.col(f"c{i}")).alias("abs_r"))
                      for i, f in enumerate(features)])
@@ -196,9 +214,10 @@ def label_correlation(df: DataFrame, features, target: str, k: int = 15) -> Data
               .orderBy(F.desc("abs_r"), "feature").limit(k))
 
 
-def high_pairs(df: DataFrame, features, threshold: float = 0.9, k: int = 10) -> DataFrame:
+def high_pairs(df: DataFrame, features, threshold: float = 0.9, k: int = 10,
+               complete: bool = False) -> DataFrame:
     """The first k pairs, in column order, with abs(r) above the threshold."""
-    return (correlation(df, features).filter(F.abs("r") > threshold)
+    return (correlation(df, features, complete).filter(F.abs("r") > threshold)
             .orderBy("pos_a", "pos_b").limit(k).select("feature_a", "feature_b", "r"))
 
 

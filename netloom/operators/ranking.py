@@ -52,8 +52,9 @@ def take_per_class(df: DataFrame, quotas: DataFrame, group: str, ids, n_rows: in
                    seed: int = 42) -> DataFrame:
     """Exactly ``quota`` rows of each class, picked by the seeded key.
 
-    ``quotas`` has (group, quota). Bins below a class's cut pass through without
-    any shuffle; only the one bin that straddles the cut is ranked.
+    ``quotas`` has (group, quota). Bin counts show which bin straddles a class's
+    quota; ranking that one bin gives the last key that is still in. The draw
+    itself is then a filter against one row per class, without any shuffle.
     """
     binned = _binned(df, ids, seed, bin_digits(n_rows))
     cuts = (_bins_before(binned, group).join(quotas.select(group, "quota"), group)
@@ -61,13 +62,12 @@ def take_per_class(df: DataFrame, quotas: DataFrame, group: str, ids, n_rows: in
             .groupBy(group)
             .agg(F.max("_bin").alias("_cut"),
                  F.max_by(F.col("quota") - F.col("_before"), F.col("_bin")).alias("_left")))
-    marked = binned.join(small_side(cuts), group)
-    whole = marked.filter(F.col("_bin") < F.col("_cut"))
-    at_cut = W.partitionBy(group, "_bin").orderBy("_key", *ids)
-    edge = (marked.filter(F.col("_bin") == F.col("_cut"))
-                  .withColumn("_rn", F.row_number().over(at_cut))
-                  .filter(F.col("_rn") <= F.col("_left")).drop("_rn"))
-    return whole.unionByName(edge).select(*df.columns)
+    key = F.struct("_key", *ids)
+    at_cut = W.partitionBy(group).orderBy(key)
+    last = (binned.join(small_side(cuts), group).filter(F.col("_bin") == F.col("_cut"))
+            .withColumn("_rn", F.row_number().over(at_cut)).filter(F.col("_rn") <= F.col("_left"))
+            .groupBy(group).agg(F.max(key).alias("_last")))
+    return binned.join(small_side(last), group).filter(key <= F.col("_last")).select(*df.columns)
 
 
 def take_rows(df: DataFrame, ids, n: int, n_rows: int, seed: int = 42) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from netloom.functions.columns import col, is_infinite
 from netloom.operators import clean, encode, profile, ranking
+from netloom.plans import prepare
 from netloom.plans.registry import query
 from netloom.plans.views import RAW_FEATURES as FEATS
 from netloom.plans.views import RAW_KEY, view
+from netloom.session import materialise
 from netloom.taxonomy import LABELS_BY_MACRO, MACRO_CODE, macro_name, taxonomy
 
 R6 = lambda c: F.round(c, 6)
@@ -44,13 +46,14 @@ def cleaned(spark, sf):
     return clean.clean(raw(spark, sf), FEATS, by=["split"])
 
 
+def cleaned_table(spark, sf):
+    """The cleaned rows written once, for work that scans them several times."""
+    return materialise(cleaned(spark, sf), "cleaned")
+
+
 def prepared(spark, sf):
     """Clean, encode and standardise; everything is learned from train only."""
-    rows = cleaned(spark, sf)
-    train = rows.filter(F.col("split") == "train")
-    coded = encode.encode_labels(rows, encode.label_dictionary(train))
-    scaled = encode.standardise(coded, encode.fit_scaler(train, FEATS))
-    return scaled.select(*FEATS, *encode.LABEL_COLS, "split")
+    return prepare.prepare(raw(spark, sf), FEATS).rows
 
 
 @query("prepare_macro_report", "raw_flows", f"""{PREPARED_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netloom.operators import encode, profile
-from netloom.plans.q_columns import CLEAN_SQL, FEATS, PREPARED_SQL, R6, TAXONOMY_SQL, cleaned, raw
+from netloom.plans.q_columns import CLEAN_SQL, FEATS, PREPARED_SQL, R6, TAXONOMY_SQL, cleaned, cleaned_table, raw
 from netloom.plans.registry import query
 
 NUMERIC = ["f1", "f2", "f3", "f4"]
@@ -47,7 +47,7 @@ SELECT split, count(*) AS n_rows,
   count(*) FILTER (WHERE y_specific < 0 OR y_specific >= (SELECT count(*) FROM codes)) AS bad_specific,
   count(*) FILTER (WHERE y_macro_encoded < 0 OR y_macro_encoded > 7) AS bad_macro FROM prepared GROUP BY split""")
 def _(spark, sf):
-    rows = cleaned(spark, sf)
+    rows = cleaned_table(spark, sf)
     codes = encode.label_dictionary(rows.filter(F.col("split") == "train"))
     return profile.split_check(encode.encode_labels(rows, codes), codes.count())
 
@@ -67,7 +67,7 @@ SELECT feature, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_samp(v
   round({_Q(0.25)}, 6) AS q25, round({_Q(0.5)}, 6) AS q50, round({_Q(0.75)}, 6) AS q75, max(value) AS max
 FROM cells GROUP BY feature""")
 def _(spark, sf):
-    d = profile.describe(cleaned(spark, sf), NUMERIC)
+    d = profile.describe(cleaned_table(spark, sf), NUMERIC)
     return d.withColumns({**{c: F.round(c, 4) for c in ("mean", "std")}, **{q: R6(q) for q in ("q25", "q50", "q75")}})
 
 
@@ -75,7 +75,7 @@ def _(spark, sf):
 {" UNION ALL ".join(f"SELECT split, feature, CAST({p} AS DOUBLE) AS prob, round({_Q(p)}, 6) AS quantile FROM cells GROUP BY split, feature" for p in (0.05, 0.5, 0.99))}""")
 def _(spark, sf):
     # a coarse sketch, so that the bracket path is taken on this table
-    q = profile.exact_quantiles(cleaned(spark, sf), NUMERIC, (0.05, 0.5, 0.99), ["split"], accuracy=100)
+    q = profile.exact_quantiles(cleaned_table(spark, sf), NUMERIC, (0.05, 0.5, 0.99), ["split"], accuracy=100)
     return q.withColumn("quantile", R6("quantile"))
 
 
@@ -110,7 +110,7 @@ SELECT binary_label, feature, round(q25, 6) AS q25, round(q50, 6) AS q50, round(
   count(*) FILTER (WHERE value < q25 - (q75 - q25) * 1.5 OR value > q75 + (q75 - q25) * 1.5) AS n_outliers
 FROM cells JOIN q USING (binary_label, feature) GROUP BY binary_label, feature, q25, q50, q75""")
 def _(spark, sf):
-    box = profile.box_stats(encode.binary_label(cleaned(spark, sf)), NUMERIC, "binary_label")
+    box = profile.box_stats(encode.binary_label(cleaned_table(spark, sf)), NUMERIC, "binary_label")
     return box.withColumns({q: R6(q) for q in ("q25", "q50", "q75")})
 
 
@@ -124,7 +124,7 @@ _CORR_SQL = (f"{CLEAN_SQL}, b AS (SELECT *, CASE WHEN label = 'BenignTraffic' TH
 @query("a12_correlation", "raw_flows", f"""{_CORR_SQL}
 SELECT feature_a, feature_b, round(r, 6) AS r FROM pairs WHERE r IS NOT NULL AND NOT isnan(r)""")
 def _(spark, sf):
-    c = profile.correlation(encode.binary_label(cleaned(spark, sf)), _WITH_LABEL)
+    c = profile.correlation(encode.binary_label(cleaned(spark, sf)), _WITH_LABEL, complete=True)
     return c.select("feature_a", "feature_b", R6("r").alias("r"))
 
 
@@ -132,7 +132,7 @@ def _(spark, sf):
 SELECT feature_a AS feature, round(abs(r), 6) AS abs_r FROM pairs
 WHERE feature_b = 'binary_label' AND r IS NOT NULL AND NOT isnan(r) ORDER BY abs(r) DESC LIMIT 15""")
 def _(spark, sf):
-    c = profile.label_correlation(encode.binary_label(cleaned(spark, sf)), FEATS, "binary_label")
+    c = profile.label_correlation(encode.binary_label(cleaned(spark, sf)), FEATS, "binary_label", complete=True)
     return c.withColumn("abs_r", R6("abs_r"))
 
 
@@ -146,7 +146,7 @@ def _(spark, sf):
     size = F.col("size").cast("double")
     wide = view(spark, sf, "packets").select("size", (size * 2 + F.col("pkt_id") % 3).alias("twice"),
                                              (-size).alias("negated"), F.col("tcp_flags").alias("flags"))
-    return profile.high_pairs(wide, wide.columns).withColumn("r", R6("r"))
+    return profile.high_pairs(wide, wide.columns, complete=True).withColumn("r", R6("r"))
 
 
 @query("a15_dataset_summary", "raw_flows", """SELECT count(*) AS n_rows, 5 AS n_features, count(DISTINCT label) AS n_labels,
@@ -167,7 +167,7 @@ def _(spark, sf):
 m AS (SELECT feature, avg(value) FILTER (WHERE split = 'train') AS a, avg(value) FILTER (WHERE split = 'test') AS b FROM cells GROUP BY feature)
 SELECT feature, round(a, 4) AS base_mean, round(b, 4) AS other_mean, round(abs(a - b), 4) AS abs_diff FROM m""")
 def _(spark, sf):
-    rows = cleaned(spark, sf)
+    rows = cleaned_table(spark, sf)
     drift = profile.mean_drift(rows.filter("split = 'train'"), rows.filter("split = 'test'"), NUMERIC)
     return drift.select("feature", *[F.round(c, 4).alias(c) for c in ("base_mean", "other_mean", "abs_diff")])
 
@@ -176,7 +176,7 @@ def _(spark, sf):
 m AS (SELECT feature, avg(value) FILTER (WHERE split = 'train') AS a, avg(value) FILTER (WHERE split = 'test') AS b FROM cells GROUP BY feature)
 SELECT round(avg(abs(a - b)), 4) AS drift_score, avg(abs(a - b)) > 10 AS drifted FROM m""")
 def _(spark, sf):
-    rows = cleaned(spark, sf)
+    rows = cleaned_table(spark, sf)
     score = profile.drift_score(rows.filter("split = 'train'"), rows.filter("split = 'test'"), NUMERIC, 10.0)
     return score.withColumn("drift_score", F.round("drift_score", 4))
 
