@@ -18,12 +18,8 @@ from netloom.operators.metrics import weighted_metrics, with_class_weight
 from netloom.taxonomy import macro_name
 
 LABEL, WEIGHT = "y_macro_encoded", "weight"
-# The hyper-parameters of the original training tools.
-TREE = {"max_depth": 20, "min_leaf": 10}
-FOREST = {"n_estimators": 100, "max_depth": 25, "min_leaf": 5}
-BOOST = {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1, "subsample": 0.8, "min_gain": 0.1}
-NETWORK = {"hidden": (128, 64), "max_iter": 50, "batch": 256, "tol": 1e-4}
-DEEP_NETWORK = {"hidden": (256, 128, 64), "max_iter": 100, "batch": 256, "tol": 1e-4}
+# Defaults below are fixed values: the hyper-parameters of the original training tools.
+DEEP_NETWORK = {"hidden": (256, 128, 64), "max_iter": 100}
 
 
 def _pipeline(features, classifier) -> Pipeline:

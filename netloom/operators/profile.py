@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from netloom.functions.columns import col, is_missing, percent
 from netloom.operators.encode import with_macro
 from netloom.operators.small import small_side
+from netloom.session import materialise
 
 
 def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
@@ -69,13 +70,36 @@ def long_form(df: DataFrame, features, keep=()) -> DataFrame:
     return df.select(*[col(k) for k in keep], F.inline(cells))
 
 
+RANKED_AT_ONCE, MAX_ROUNDS, GRID = 2_000_000, 4, 256
+
+
+def _narrow(values: DataFrame, state: DataFrame, spot, prob):
+    """Shrink brackets that still hold too many rows, about a hundredfold per round."""
+    values = materialise(values, "quantile-bracket")
+    grid = values.groupBy(*spot).agg(F.percentile_approx(
+        "_v", F.array(*[F.lit(g / GRID) for g in range(GRID + 1)]), F.lit(40 * GRID)).alias("_g"))
+    pos = prob * (F.col("_n") - 1)
+    share = lambda r: (r - F.col("_below")) * GRID / F.col("_m")
+    low = F.greatest(F.floor(share(F.floor(pos))) - 1, F.lit(0)).cast("int")
+    high = F.least(F.ceil(share(F.ceil(pos) + 1)) + 1, F.lit(GRID)).cast("int")
+    edges = small_side(grid.join(state, spot).select(
+        *spot, "_n", "_below", F.get("_g", low).alias("_lo"), F.get("_g", high).alias("_hi")))
+    cut = values.join(edges, spot)
+    state = small_side(cut.groupBy(*spot, "_n", "_below").agg(
+        F.count_if(F.col("_v") < F.col("_lo")).alias("_less"),
+        F.count_if(F.col("_v").between(F.col("_lo"), F.col("_hi"))).alias("_m"))
+        .select(*spot, "_n", (F.col("_below") + F.col("_less")).alias("_below"), "_m"))
+    return cut.filter(F.col("_v").between(F.col("_lo"), F.col("_hi"))).select(*spot, "_v"), state
+
+
 def exact_quantiles(df: DataFrame, features, probs, by=(), accuracy: int = 10_000) -> DataFrame:
     """Exact interpolated quantiles: (by..., feature, prob, quantile).
 
     ``percentile`` keeps every distinct value of a group in one task. Instead a
     sketch brackets the order statistics around each quantile (its rank error is
     at most n / accuracy), a second scan counts the rows below each bracket, and
-    a third ranks only the distinct values inside it.
+    only the distinct values inside it are ranked; a bracket that still holds
+    millions of rows is narrowed first.
     """
     keys = list(by) or ["_g"]
     slack = 2.0 / accuracy
@@ -99,23 +123,28 @@ def exact_quantiles(df: DataFrame, features, probs, by=(), accuracy: int = 10_00
     brackets = small_side(base.groupBy(*keys).agg(*stats).select(
         *keys, *[F.col(f"n{i}") for i in range(len(features))], *[c for i, j in spots for c in bracket(i, j)]))
     bounded = base.join(brackets, keys)
-    below = bounded.groupBy(*keys).agg(
+    inside = lambda i, j: F.col(f"v{i}").between(F.col(f"lo{i}_{j}"), F.col(f"hi{i}_{j}"))
+    tallies = bounded.groupBy(*keys).agg(
         *[F.first(f"n{i}").alias(f"n{i}") for i in range(len(features))],
-        *[F.count_if(F.col(f"v{i}") < F.col(f"lo{i}_{j}")).alias(f"b{i}_{j}") for i, j in spots])
-    below = below.select(*keys, F.inline(F.array(*[
+        *[F.count_if(F.col(f"v{i}") < F.col(f"lo{i}_{j}")).alias(f"b{i}_{j}") for i, j in spots],
+        *[F.count_if(inside(i, j)).alias(f"m{i}_{j}") for i, j in spots])
+    spot = [*keys, "_i", "_j"]
+    state = small_side(tallies.select(*keys, F.inline(F.array(*[
         F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.col(f"n{i}").alias("_n"),
-                 F.col(f"b{i}_{j}").alias("_below")) for i, j in spots])))
-    inside = F.filter(F.array(*[
-        F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"),
-                 F.when(F.col(f"v{i}").between(F.col(f"lo{i}_{j}"), F.col(f"hi{i}_{j}")), F.col(f"v{i}")).alias("_v"))
+                 F.col(f"b{i}_{j}").alias("_below"), F.col(f"m{i}_{j}").alias("_m")) for i, j in spots]))))
+    kept = F.filter(F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.when(inside(i, j), F.col(f"v{i}")).alias("_v"))
         for i, j in spots]), lambda x: x["_v"].isNotNull())
-    values = (bounded.select(*keys, F.inline(inside)).groupBy(*keys, "_i", "_j", "_v")
-              .agg(F.count(F.lit(1)).alias("_c")))
-    spot = [*keys, "_i", "_j"]
+    values = bounded.select(*keys, F.inline(kept))
+    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_j") + 1)
+    for _ in range(MAX_ROUNDS):
+        if (state.agg(F.max("_m")).first()[0] or 0) <= RANKED_AT_ONCE:
+            break
+        values, state = _narrow(values, state, spot, prob)
+    counts = values.groupBy(*spot, "_v").agg(F.count(F.lit(1)).alias("_c"))
     upto = W.partitionBy(*spot).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = values.join(small_side(below), spot).withColumn("_cum", F.col("_below") + F.sum("_c").over(upto))
+    ranked = counts.join(state, spot).withColumn("_cum", F.col("_below") + F.sum("_c").over(upto))
     # 0-based position p * (n - 1); the value at rank r is the first with cum > r
-    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_j") + 1)
     name = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_i") + 1)
     pos = prob * (F.col("_n") - 1)
     at = lambda r: F.min(F.when(F.col("_cum") > r, F.col("_v")))

@@ -19,6 +19,7 @@ from netloom.operators.encode import MACRO_COL, SPECIFIC_COL
 from netloom.operators.knn import foreign_neighbours, nearest
 from netloom.operators.ranking import hashed_rank
 from netloom.operators.small import bounded_rows, small_side
+from netloom.session import materialise
 
 DRAWS_PER_BLOCK = 10_000
 
@@ -122,13 +123,17 @@ def smote(points: DataFrame, k: int = 5, strategy="auto", seed: int = 42, **knn_
     return _emit(near.join(drawn, "id"), seed)
 
 
-def adasyn_counts(points: DataFrame, k: int = 5, strategy="auto", **knn_options) -> DataFrame:
-    """id, cls, n_foreign, n_draws: deficits shared by how foreign a neighbourhood is."""
-    sizes = class_sizes(points)
+def adasyn_counts(points: DataFrame, k: int = 5, strategy="auto", sizes: dict | None = None,
+                  **knn_options) -> DataFrame:
+    """id, cls, n_foreign, n_draws: deficits shared by how foreign a neighbourhood is.
+
+    The neighbour search is written once; the totals and the counts both read it.
+    """
+    sizes = sizes or class_sizes(points)
     short = class_deficits(sizes, strategy)
     k = fitting_k(min(sizes.values()), k)
     bases = points.join(_deficit_frame(points, sizes, short), "cls")
-    hard = foreign_neighbours(nearest(bases, points, k, **knn_options)).drop("nn", "vec")
+    hard = materialise(foreign_neighbours(nearest(bases, points, k, **knn_options)).drop("nn", "vec"), "hardness")
     totals = small_side(hard.groupBy("cls").agg(F.sum("n_foreign").alias("_t")))
     # the neighbour count cancels out of r_i / sum(r); whole numbers keep the rounding stable
     share = F.rint(F.col("n_foreign") * F.col("deficit") / F.col("_t"))
@@ -147,7 +152,7 @@ def adasyn(points: DataFrame, k: int = 5, strategy="auto", seed: int = 42, **knn
     short = class_deficits(sizes, strategy)
     if not short or min(sizes.values()) < 2:
         return _none(points)
-    counts = adasyn_counts(points, k, strategy, **knn_options)
+    counts = adasyn_counts(points, k, strategy, sizes, **knn_options)
     spread = bounded_rows(counts.groupBy("cls").agg(F.sum("n_foreign").alias("t")))
     if any(r["t"] == 0 for r in spread):
         return _none(points)
@@ -157,9 +162,10 @@ def adasyn(points: DataFrame, k: int = 5, strategy="auto", seed: int = 42, **knn
     return _emit(near.join(counts.select("id", "n_draws"), "id"), seed)
 
 
-def border_status(points: DataFrame, m: int = 10, strategy="auto", **knn_options) -> DataFrame:
+def border_status(points: DataFrame, m: int = 10, strategy="auto", sizes: dict | None = None,
+                  **knn_options) -> DataFrame:
     """noise (all m neighbours foreign), danger (half or more), else safe."""
-    sizes = class_sizes(points)
+    sizes = sizes or class_sizes(points)
     short = class_deficits(sizes, strategy)
     m = fitting_k(min(sizes.values()), m)
     bases = points.join(_deficit_frame(points, sizes, short), "cls")
@@ -181,11 +187,11 @@ def borderline_smote(points: DataFrame, k: int = 5, m: int = 10, kind: str = "bo
     short = class_deficits(sizes, strategy)
     if not short or min(sizes.values()) < 2:
         return _none(points)
-    status = border_status(points, m, strategy, **knn_options)
-    danger = status.filter(F.col("status") == "danger")
+    status = border_status(points, m, strategy, sizes, **knn_options)
+    danger = materialise(status.filter(F.col("status") == "danger").drop("n_class", "deficit", "status"), "danger")
     seeded = small_side(danger.groupBy("cls").agg(F.count(F.lit(1)).alias("n_seed")))
-    ranked = hashed_rank(danger.join(seeded, "cls").drop("nn", "vec"), "cls", ["id"],
-                         max(sizes[c] for c in short), seed)
+    bases = danger.select("id", "cls").join(seeded, "cls").join(_deficit_frame(points, sizes, short), "cls")
+    ranked = hashed_rank(bases, "cls", ["id"], max(sizes[c] for c in short), seed)
     drawn = _even_draws(ranked).select("id", "n_draws")
     k = fitting_k(min(sizes.values()), k)
     seeds = points.join(_deficit_frame(points, sizes, short).select("cls"), "cls", "left_semi")
@@ -195,10 +201,10 @@ def borderline_smote(points: DataFrame, k: int = 5, m: int = 10, kind: str = "bo
         near = _with_vectors(own, seeds, lambda x: F.lit(1.0))
     else:
         others = danger.select("id", F.filter("nn", lambda x: x["nn_cls"] != F.col("cls")).alias("_far"))
-        both = own.join(others, "id").withColumn("_cls", F.col("cls"))
+        both = own.join(others, "id")
         tagged = F.concat(F.transform("nn", lambda x: F.struct(x["nn_id"].alias("nn_id"), F.lit(1.0).alias("reach"))),
                           F.transform("_far", lambda x: F.struct(x["nn_id"].alias("nn_id"), F.lit(0.5).alias("reach"))))
-        near = _with_vectors(both.withColumn("nn", tagged).drop("_far", "_cls"), points, lambda x: x["reach"])
+        near = _with_vectors(both.withColumn("nn", tagged).drop("_far"), points, lambda x: x["reach"])
     return _emit(near.join(drawn, "id"), seed)
 
 

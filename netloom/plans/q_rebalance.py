@@ -43,6 +43,12 @@ def _(spark, sf):
     return drawn.select("flow_no", "label")
 
 
+@query("u2_per_class_union", "raw_flows", f"""{QUOTAS} SELECT label, quota AS n FROM quotas WHERE quota > 0""")
+def _(spark, sf):
+    # one pass over all classes takes the place of a filter and a union per class
+    return quotas.class_counts(quotas.stratified_sample(raw(spark, sf), "label", RAW_KEY, TARGET, MINORITY), "label")
+
+
 @query("b3_minority_classes", "raw_flows", f"""{COUNTS}
 SELECT label, n, round(100.0 * n / (SELECT sum(n) FROM counts), 6) AS pct,
   100.0 * n / (SELECT sum(n) FROM counts) < 1.0 OR n < 1000 AS is_minority FROM counts""")

@@ -69,14 +69,21 @@ def _(spark, sf):
     return readers.table_shape(table(spark, sf, "lineitem"))
 
 
-@query("s8_batched_scan", "", "SELECT count(*) AS n, count(DISTINCT l_orderkey) AS n_orders FROM lineitem")
-def _(spark, sf):
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    try:
-        rows = readers.read_in_batches(spark, f"{sf}/lineitem.parquet", 4 * 1024 * 1024)
-        return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("n_orders"))
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+@query("s8_batch_iteration", "", """SELECT l_linenumber, count(*) AS n, round(sum(l_quantity), 2) AS qty, true AS bounded
+FROM lineitem GROUP BY l_linenumber""")
+def _(spark, sf):
+    import pyarrow as pa
+
+    def tally(batch):
+        t = pa.Table.from_batches([batch]).group_by("l_linenumber").aggregate([("l_quantity", "sum"), ("l_quantity", "count")])
+        out = pa.table({"l_linenumber": t.column("l_linenumber"), "n": t.column("l_quantity_count"), "qty": t.column("l_quantity_sum"),
+                        "rows": pa.array([batch.num_rows] * t.num_rows, pa.int32())})
+        return out.combine_chunks().to_batches()[0]
+
+    rows = table(spark, sf, "lineitem").select("l_linenumber", "l_quantity")
+    parts = readers.map_batches(rows, tally, "l_linenumber int, n long, qty double, rows int", 5_000)
+    return parts.groupBy("l_linenumber").agg(F.sum("n").alias("n"), F.round(F.sum("qty"), 2).alias("qty"),
+                                             (F.max("rows") <= 5_000).alias("bounded"))
 
 
 @query("s9_split_loader", "raw_flows", """

@@ -58,10 +58,17 @@ def table_shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
 
 
-def read_in_batches(spark: SparkSession, path: str, batch_bytes: int) -> DataFrame:
-    """A scan whose tasks take at most ``batch_bytes`` of file each."""
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(batch_bytes))
-    return spark.read.parquet(path)
+BATCH_ROWS = 100_000
+
+
+def map_batches(df: DataFrame, fn, schema, rows: int = BATCH_ROWS) -> DataFrame:
+    """Apply ``fn`` to Arrow record batches of at most ``rows`` rows, inside the tasks."""
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                yield fn(batch.slice(start, rows))
+
+    return df.mapInArrow(run, schema)
 
 
 def load_splits(spark: SparkSession, root: str, variant: str = "original") -> dict[str, DataFrame]:

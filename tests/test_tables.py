@@ -83,6 +83,17 @@ def test_exact_quantiles_with_brackets(spark, accuracy):
         assert got[p] == pytest.approx(np.quantile(values, p), abs=1e-12)
 
 
+def test_crowded_brackets_are_narrowed(spark, monkeypatch):
+    monkeypatch.setattr(profile, "RANKED_AT_ONCE", 50)
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.exponential(size=6000), np.full(3000, 0.7)])
+    df = spark.createDataFrame([(float(v), i % 2) for i, v in enumerate(values)], "x double, g int").repartition(6)
+    got = {(r["g"], r["prob"]): r["quantile"] for r in profile.exact_quantiles(df, ["x"], (0.1, 0.5, 0.999), ["g"], accuracy=40).collect()}
+    for g in (0, 1):
+        for p in (0.1, 0.5, 0.999):
+            assert got[(g, p)] == pytest.approx(np.quantile(values[g::2], p), abs=1e-12)
+
+
 def test_correlation_pairwise_missing_and_constant(spark):
     df = spark.createDataFrame([(1.0, 2.0, 4.0), (2.0, 4.0, 4.0), (3.0, None, 4.0), (4.0, 8.5, 4.0)], "a double, b double, c double")
     rows = {(r["feature_a"], r["feature_b"]): r["r"] for r in profile.correlation(df, ["a", "b", "c"]).collect()}
