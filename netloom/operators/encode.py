@@ -17,7 +17,11 @@ LABEL_COLS = (MACRO_COL, SPECIFIC_COL)
 
 def label_dictionary(train: DataFrame, label: str = "label") -> DataFrame:
     """label -> rank among the labels seen in train (unknown labels included)."""
-    seen = train.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return _dictionary(train.groupBy(label).agg(F.count(F.lit(1)).alias("n")), label)
+
+
+def _dictionary(counts: DataFrame, label: str) -> DataFrame:
+    seen = counts.filter(F.col(label).isNotNull())
     ordered = W.partitionBy(F.lit(0)).orderBy(label)   # one row per label
     return seen.select(label, "n", (F.row_number().over(ordered) - 1).cast("int").alias("idx"))
 
@@ -67,6 +71,27 @@ def fit_scaler(train: DataFrame, features) -> dict[str, tuple[float, float]]:
     return {r["feature"]: (r["mean"], r["scale"]) for r in scaler_frame(train, features).collect()}
 
 
+def fit_train(train: DataFrame, features, label: str = "label"):
+    """Label dictionary and scaler from one scan of train.
+
+    The scan keeps count, mean and variance per label; both results are put
+    together from that small table (one row per label).
+    """
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, f in enumerate(features):
+        x = col(f).cast("double")
+        aggs += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
+    per_label = small_side(train.groupBy(label).agg(*aggs))
+    picks = range(len(features))
+    total = per_label.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in picks],
+                          *[F.sum(F.col(f"c{i}") * F.col(f"m{i}")).alias(f"s{i}") for i in picks]).first()
+    means = [total[f"s{i}"] / total[f"c{i}"] for i in picks]
+    within = lambda i: F.col(f"c{i}") * (F.col(f"v{i}") + (F.col(f"m{i}") - means[i]) * (F.col(f"m{i}") - means[i]))
+    spread = per_label.agg(*[F.sum(within(i)).alias(f"q{i}") for i in picks]).first()
+    scaler = {f: (means[i], (spread[f"q{i}"] / total[f"c{i}"]) ** 0.5 or 1.0) for i, f in enumerate(features)}
+    return _dictionary(per_label.select(label, "n"), label), scaler
+
+
 def standardise(df: DataFrame, scaler, dtype: str = "double") -> DataFrame:
     """(x - mean) / scale, bound by column name and computed in double."""
     out = []

@@ -192,7 +192,7 @@ def prepare_features(df: DataFrame, names=FEATURES) -> DataFrame:
                         else F.lit(0.0)).alias(f) for f in names])
 
 
-def inter_arrival(packets: DataFrame, slot_s: int = 60) -> DataFrame:
+def inter_arrival(packets: DataFrame, slot_s: int = 10) -> DataFrame:
     """Packets with ``gap_us`` since the previous packet of their flow.
 
     Gaps inside a time slot come from a window per (flow, slot); only the first

@@ -26,6 +26,7 @@ from netloom.session import materialise
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
 MAX_PIVOTS = 2048
+PIVOT_CELLS = 2_000_000        # numbers held by all pivots together, shipped with each task
 CELLS_MAX = 500_000
 
 
@@ -131,44 +132,45 @@ def _merge(found: DataFrame, need: int) -> DataFrame:
 
 def _candidate_cells(bounded: DataFrame, pivots: np.ndarray, radius: dict) -> DataFrame:
     """The other cells that may hold a point nearer than a query's bound."""
-    spread = np.sqrt(np.maximum(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(-1), 0.0)) \
-        if len(pivots) <= 256 else None
+    spread = np.stack([np.sqrt(((pivots - p) ** 2).sum(axis=1)) for p in pivots])
+    p2 = (pivots * pivots).sum(axis=1)
+    reach = {}
+    for scope, cell, far in radius:
+        cells, fars = reach.setdefault(scope, ([], []))
+        cells.append(cell)
+        fars.append(far)
+    reach = {s: (np.array(c), np.array(f)) for s, (c, f) in reach.items()}
+
+    def visits(v, own, bound, scopes):
+        """(row, cell) pairs that pass both lower bounds on the distance to the cell."""
+        to_pivot = np.sqrt(np.maximum((v * v).sum(1)[:, None] + p2[None, :] - 2.0 * (v @ pivots.T), 0.0))
+        slack = 1e-6 * (1.0 + to_pivot.max())            # covers rounding in the matrix product
+        rows, cells = [], []
+        for scope in set(scopes.tolist()):
+            where = np.nonzero(scopes == scope)[0]
+            cand, far = reach.get(scope, (np.zeros(0, int), np.zeros(0)))
+            dist, home = to_pivot[np.ix_(where, cand)], to_pivot[where, own[where]][:, None]
+            gap = spread[own[where]][:, cand]
+            # a point of another cell is no nearer to the own pivot than to its own
+            plane = np.where(gap > 0, (dist ** 2 - home ** 2) / np.maximum(2.0 * gap, 1e-300), 0.0)
+            low = np.maximum(dist - far[None, :], plane)
+            r, c = np.nonzero((low <= bound[where][:, None] + slack) & (cand[None, :] != own[where][:, None]))
+            rows.append(where[r])
+            cells.append(cand[c])
+        return np.concatenate(rows), np.concatenate(cells)
 
     def run(batches):
-        reach = {}
-        for scope, cell, far in radius:
-            cells, fars = reach.setdefault(scope, ([], []))
-            cells.append(cell)
-            fars.append(far)
-        reach = {s: (np.array(c), np.array(f)) for s, (c, f) in reach.items()}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = matrix(batch.column("vec"))
-            own = batch.column("_cell").to_numpy()
-            bound = batch.column("_bound").to_numpy()
-            scopes = np.array(batch.column("_scope").to_pylist(), dtype=object)
-            to_pivot = np.sqrt(np.maximum((v * v).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :]
-                                          - 2.0 * (v @ pivots.T), 0.0))
-            slack = 1e-6 * (1.0 + to_pivot.max())
-            take, cells = [], []
-            for scope in set(scopes.tolist()):
-                where = np.nonzero(scopes == scope)[0]
-                cand, far = reach.get(scope, (np.zeros(0, int), np.zeros(0)))
-                low = to_pivot[np.ix_(where, cand)] - far[None, :]
-                if spread is not None:      # a point of cell j is no nearer to the own pivot
-                    gap = spread[own[where]][:, cand]
-                    plane = (to_pivot[np.ix_(where, cand)] ** 2
-                             - to_pivot[where, own[where]][:, None] ** 2) / np.maximum(2.0 * gap, 1e-300)
-                    low = np.maximum(low, np.where(gap > 0, plane, 0.0))
-                r, c = np.nonzero((low <= bound[where][:, None] + slack) & (cand[None, :] != own[where][:, None]))
-                take.append(where[r])
-                cells.append(cand[c])
-            take = pa.array(np.concatenate(take))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("qid").take(take), batch.column("vec").take(take),
-                 batch.column("_scope").take(take), pa.array(np.concatenate(cells), pa.int32())],
-                names=["qid", "vec", "_scope", "_cell"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                scopes = np.array(batch.column("_scope").to_pylist(), dtype=object)
+                rows, cells = visits(matrix(batch.column("vec")), batch.column("_cell").to_numpy(),
+                                     batch.column("_bound").to_numpy(), scopes)
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("qid").take(take), batch.column("vec").take(take),
+                     batch.column("_scope").take(take), pa.array(cells, pa.int32())],
+                    names=["qid", "vec", "_scope", "_cell"])
 
     kinds = {f.name: f.dataType for f in bounded.schema.fields}
     schema = T.StructType([T.StructField("qid", kinds["qid"]), T.StructField("vec", kinds["vec"]),
@@ -195,6 +197,8 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, within: str | None = No
     wanted = n_pivots or (1 if n_data <= block_rows else min(MAX_PIVOTS, math.ceil(2 * n_data / block_rows)))
     pivots = np.zeros((1, 1))
     if wanted > 1:
+        width = d.select(F.size("vec")).first()[0]
+        wanted = max(2, min(wanted, PIVOT_CELLS // max(width, 1)))
         sample = d.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").collect()
         pivots = np.unique(np.array([r["vec"] for r in sample], dtype="float64"), axis=0)
     d, q = _assign(d, pivots), _assign(q, pivots)

@@ -24,11 +24,10 @@ class Prepared:
 
 def prepare(df: DataFrame, features, label: str = "label", split: str = "split") -> Prepared:
     """The cleaned rows are written once: the duplicate removal is the only wide
-    shuffle, and both learning steps and the final pass read its result."""
+    shuffle, and the learning scan and the final pass read its result."""
     rows = materialise(clean.clean(df, features, label, by=[split]), "cleaned")
     train = rows.filter(F.col(split) == "train")
-    dictionary = encode.label_dictionary(train, label)
-    scaler = encode.fit_scaler(train, features)
+    dictionary, scaler = encode.fit_train(train, features, label)
     coded = encode.encode_labels(rows, dictionary, label)
     scaled = encode.standardise(coded, scaler).select(
         *[encode.col(f) for f in features], *encode.LABEL_COLS, split)

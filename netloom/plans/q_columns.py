@@ -186,10 +186,17 @@ def _(spark, sf):
     return flows.select("event_id", iso.alias("iso"), F.unix_micros(F.date_trunc("hour", back)).alias("hour_us"))
 
 
-@query("p24_numeric_columns")
+_NUMERIC = {"flow_no": "bigint", "part_no": "bigint", "supp_no": "bigint", **{f: "double" for f in FEATS}}
+
+
+@query("p24_numeric_columns", "raw_flows", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{t}' AS type, count({c}) AS n_present FROM raw_flows" for c, t in _NUMERIC.items()))
 def _(spark, sf):
     flows = raw(spark, sf)
-    return profile.column_types(flows.select(*clean.numeric_columns(flows)))
+    numeric, kinds = clean.numeric_columns(flows), dict(flows.dtypes)
+    present = flows.agg(*[F.count(col(c)).alias(c) for c in numeric])
+    return present.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("type"), col(c).alias("n_present")) for c in numeric])))
 
 
 @query("p25_preview", "raw_flows", "SELECT flow_no, label, f4 FROM raw_flows ORDER BY flow_no, part_no, supp_no LIMIT 5")

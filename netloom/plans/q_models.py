@@ -80,7 +80,7 @@ def _(spark, sf):
     return models.score(model, split(rows, "test")).select("event_id", "prediction", "predicted_class", F.round("confidence", 6).alias("confidence"))
 
 
-@query("p20_confidence")
+@query("p20_confidence", "scored_flows", "SELECT count(*) FILTER (WHERE split = 'val') AS n, CAST(0 AS BIGINT) AS n_bad FROM scored_flows")
 def _(spark, sf):
     rows = learnable(spark, sf)
     model = models.fit(models.linear_svm(FEATURES, max_iter=10), split(rows, "train"), balanced=False)
@@ -88,7 +88,8 @@ def _(spark, sf):
     return scored.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("confidence") <= 0) | (F.col("confidence") > 1)).alias("n_bad"))
 
 
-@query("m8_train_grid")
+@query("m8_train_grid", "", """SELECT a AS algorithm, d AS dataset, (SELECT count(*) FROM events) > 0 AS success
+FROM (SELECT unnest(['Decision Tree', 'Random Forest']) AS a) x, (SELECT unnest(['original', 'smote']) AS d) y""")
 def _(spark, sf):
     rows = learnable(spark, sf)
     train = split(rows, "train")
@@ -109,7 +110,7 @@ def _(spark, sf):
     return found.select("algorithm", "dataset", *[F.round(m, 4).alias(m) for m in metrics.METRICS])
 
 
-@query("k6_model_round_trip")
+@query("k6_model_round_trip", "scored_flows", "SELECT count(*) FILTER (WHERE split = 'test') AS n, CAST(0 AS BIGINT) AS n_changed FROM scored_flows")
 def _(spark, sf):
     rows = learnable(spark, sf)
     model = models.fit(models.decision_tree(FEATURES, max_depth=6), split(rows, "train"))

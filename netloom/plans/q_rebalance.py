@@ -188,17 +188,29 @@ def _(spark, sf):
     return synth.border_status(points(spark, sf)).select("id", "cls", "n_foreign", "status")
 
 
-@query("b7_borderline_smote", "vectors", f"""{STATUS},
+SEEDED = f"""{STATUS},
 seeds AS (SELECT id, cls, n, count(*) OVER (PARTITION BY cls) AS n_seed,
   row_number() OVER (PARTITION BY cls ORDER BY md5(concat_ws(':', CAST(id AS VARCHAR), '42')), id) AS rnk FROM status WHERE status = 'danger'),
-shares AS (SELECT id, cls, CAST(greatest(ceil((top - n - (rnk - 1)) / CAST(n_seed AS DOUBLE)), 0) AS BIGINT) AS n_draws FROM seeds, smallest),
-{emit_sql('shares', KFIT.format(k=5))}
-{SHOW}""")
+shares AS (SELECT id, cls, CAST(greatest(ceil((top - n - (rnk - 1)) / CAST(n_seed AS DOUBLE)), 0) AS BIGINT) AS n_draws FROM seeds, smallest)"""
+
+
+@query("b7_borderline_smote", "vectors", f"{SEEDED}, {emit_sql('shares', KFIT.format(k=5))} {SHOW}")
 def _(spark, sf):
     return show(synth.borderline_smote(points(spark, sf)))
 
 
-@query("b7_borderline_kind_2")
+# own-class neighbours first, then the foreign ones among the m nearest, reached half way
+@query("b7_borderline_kind_2", "vectors", f"""{SEEDED},
+mixed AS (SELECT id, nn_id, 1.0::DOUBLE AS reach, pos AS place FROM own WHERE pos <= {KFIT.format(k=5)}
+  UNION ALL SELECT id, nn_id, 0.5::DOUBLE, 1000 + pos FROM everyone WHERE nn_cls <> cls AND pos <= {KFIT.format(k=10)}),
+near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place) AS pos, count(*) OVER (PARTITION BY id) AS width FROM mixed),
+draw AS (SELECT id, cls, unnest(generate_series(0, n_draws - 1)) AS draw FROM shares WHERE n_draws > 0),
+picked AS (SELECT *, md5(concat_ws(':', CAST(id AS VARCHAR), CAST(draw AS VARCHAR), '42')) AS h FROM draw),
+chosen AS (SELECT p.id, p.cls, p.draw, n.nn_id, CAST(concat('0x', substr(h, 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE * reach AS u
+  FROM picked p JOIN near n ON n.id = p.id AND n.pos = CAST(concat('0x', substr(h, 9, 8)) AS BIGINT) % n.width + 1),
+made AS (SELECT c.cls, c.id AS base_id, c.nn_id, c.draw, c.u, list_transform(list_zip(x.vec, y.vec), lambda p: p[1] + c.u * (p[2] - p[1])) AS vec
+  FROM chosen c JOIN vectors x ON x.id = c.id JOIN vectors y ON y.id = c.nn_id)
+{SHOW}""")
 def _(spark, sf):
     return show(synth.borderline_smote(points(spark, sf), kind="borderline-2"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from netloom.operators import alerts, encode, flows, synth
 from netloom.plans.q_columns import FEATS, PREPARED_SQL, prepared, raw
-from netloom.plans.q_flows import DAY
+from netloom.plans.q_flows import DAY, RECORD_SQL, segmented_sql
 from netloom.plans.q_metrics import TAGGED_METRICS, model_metrics
 from netloom.plans.registry import query
 from netloom.plans.views import RAW_KEY, table, view
@@ -112,7 +112,8 @@ def scored_flows46(spark, sf):
     return alerts.decide(named)
 
 
-@query("s10_latest_snapshot")
+@query("s10_latest_snapshot", "packets", f"""{segmented_sql(DAY)}, {RECORD_SQL}
+SELECT proto AS protocol, proto IN ('TCP', 'UDP') AS is_attack, count(*) AS n, count(start_ts) AS n_timestamps FROM records GROUP BY proto""")
 def _(spark, sf):
     folder, rows = scratch(spark, "sniffer"), scored_flows46(spark, sf)
     writers.write_scored(rows.filter("is_attack"), folder, datetime(2025, 1, 1))
@@ -140,7 +141,8 @@ def _(spark, sf):
         "algorithm", "dataset", F.round("accuracy", 6).alias("accuracy"), F.round("mean_score", 6).alias("mean_score"))
 
 
-@query("s12_model_inventory")
+@query("s12_model_inventory", "", """SELECT 'DecisionTree' AS algorithm, unnest(['tree_original', 'tree_smote']) AS file,
+  (SELECT count(*) FROM events) > 0 AS has_size""")
 def _(spark, sf):
     from netloom.operators import models
     from netloom.plans.q_models import FEATURES, learnable, split

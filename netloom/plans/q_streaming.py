@@ -51,7 +51,11 @@ def _(spark, sf):
     return shown(stream.flow_stream(view(spark, sf, "packets"), DAY), SHOWN)
 
 
-@query("t4_scored_stream")
+@query("t4_scored_stream", "packets", f"""{segmented_sql(DAY)}, {RECORD_SQL},
+closed AS (SELECT * FROM records WHERE epoch_us(last_ts) + {DAY * 1_000_000 - 1} <= {CLOSED})
+SELECT proto AS protocol, CASE proto WHEN 'TCP' THEN 'DDoS' WHEN 'UDP' THEN 'DoS' ELSE 'Benign' END AS predicted_class,
+  proto IN ('TCP', 'UDP') AS is_attack, count(*) AS n FROM closed GROUP BY proto
+UNION ALL SELECT 'blocked sources', '', true, count(DISTINCT src_ip) FILTER (WHERE proto IN ('TCP', 'UDP')) FROM closed""")
 def _(spark, sf):
     """A tree learned on the batch flows scores the same flows as they leave the stream."""
     known = flows.flow_features(view(spark, sf, "packets"), DAY).withColumn(
