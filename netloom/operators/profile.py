@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -153,17 +155,24 @@ def exact_quantiles(df: DataFrame, features, probs, by=(), accuracy: int = 10_00
                     (F.col("_a") + (F.col("_b") - F.col("_a")) * (pos - F.floor(pos))).alias("quantile")))
 
 
-def describe(df: DataFrame, features) -> DataFrame:
-    """feature, n, mean, sample std, min, quartiles, max (missing cells left out)."""
+def feature_stats(df: DataFrame, features) -> DataFrame:
+    """feature, n, mean, sample std, population variance, min, max of the present cells: one wide scan."""
     aggs = []
     for i, f in enumerate(features):
         v = F.when(~F.isnan(col(f).cast("double")), col(f).cast("double"))
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
+        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.var_pop(v).alias(f"v{i}"),
                  F.min(v).alias(f"a{i}"), F.max(v).alias(f"z{i}")]
+    sample = lambda i: F.when(F.col(f"n{i}") > 1, F.sqrt(F.col(f"v{i}") * F.col(f"n{i}") / (F.col(f"n{i}") - 1)))
     rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean"),
-                              F.col(f"s{i}").alias("std"), F.col(f"a{i}").alias("min"), F.col(f"z{i}").alias("max"))
+                              sample(i).alias("std"), F.col(f"v{i}").alias("variance"),
+                              F.col(f"a{i}").alias("min"), F.col(f"z{i}").alias("max"))
                      for i, f in enumerate(features)])
-    base = df.agg(*aggs).select(F.inline(rows))
+    return df.agg(*aggs).select(F.inline(rows))
+
+
+def describe(df: DataFrame, features) -> DataFrame:
+    """feature, n, mean, sample std, min, quartiles, max (missing cells left out)."""
+    base = feature_stats(df, features).drop("variance")
     quart = (exact_quantiles(df, features, (0.25, 0.5, 0.75))
              .groupBy("feature").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
              .toDF("feature", "q25", "q50", "q75"))
@@ -204,49 +213,75 @@ def box_stats(df: DataFrame, features, cls: str, whisker: float = 1.5) -> DataFr
                  F.count_if(~inside).alias("n_outliers")))
 
 
-def pearson(a, b, complete: bool = False):
-    """Pearson r over rows where both are present; NULL for a constant column.
+def pair_moments(df: DataFrame, features, centre) -> DataFrame:
+    """(i, j, n, sx, sy, qx, qy, p) per column pair: counts and sums over rows where both are present.
 
-    On ``complete`` columns the deviations are shared by all pairs of a column.
+    Every task multiplies its blocks as matrices and emits one row per pair, so
+    a wide table costs one scan and a shuffle of features^2 numbers per task.
     """
-    a, b = a.cast("double"), b.cast("double")
-    if not complete:
-        both = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)
-        a, b = F.when(both, a), F.when(both, b)
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-
-
-def correlation(df: DataFrame, features, complete: bool = False) -> DataFrame:
-    """Upper triangle of the Pearson matrix in one scan; constant columns drop out.
-
-    (pos_a, pos_b) keep the column order of the input.
+    d = len(features)
+    left, right = np.triu_indices(d, 1)
+    means = np.array(centre, dtype="float64")
+
+    def run(batches):
+        n, s, q, p = (np.zeros((d, d)) for _ in range(4))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - means
+            here = ~np.isnan(x)
+            x[~here] = 0.0
+            m = here.astype("float64")
+            n += m.T @ m
+            s += x.T @ m                                  # s[i, j]: sum of x_i where j is present
+            q += (x * x).T @ m
+            p += x.T @ x
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(left, pa.int32()), pa.array(right, pa.int32()),
+             *[pa.array(v) for v in (n[left, right], s[left, right], s[right, left],
+                                     q[left, right], q[right, left], p[left, right])]],
+            names=["i", "j", "n", "sx", "sy", "qx", "qy", "p"])
+
+    sums = ["n", "sx", "sy", "qx", "qy", "p"]
+    schema = "i int, j int, " + ", ".join(f"{c} double" for c in sums)
+    return (df.select(*[col(f).cast("double") for f in features]).mapInArrow(run, schema)
+              .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums]))
+
+
+def correlation(df: DataFrame, features) -> DataFrame:
+    """Upper triangle of the Pearson matrix over pairwise present rows; constant columns drop out.
+
+    (pos_a, pos_b) keep the column order of the input. A first scan finds the
+    means, because centred sums do not cancel.
     """
-    pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
-    aggs = [pearson(col(features[i]), col(features[j]), complete).alias(f"c{i}_{j}")
-            for i, j in pairs]
-    rows = F.array(*[
-        F.struct(F.lit(i).alias("pos_a"), F.lit(j).alias("pos_b"), F.lit(features[i]).alias("feature_a"),
-                 F.lit(features[j]).alias("feature_b"), F.col(f"c{i}_{j}").alias("r"))
-        for i, j in pairs])
-    return (df.agg(*aggs).select(F.inline(rows))
-              .filter(F.col("r").isNotNull()))
-
-
-def label_correlation(df: DataFrame, features, target: str, k: int = 15,
-                      complete: bool = False) -> DataFrame:
+    aggs = []
+    for i, f in enumerate(features):
+        v = F.when(~F.isnan(col(f).cast("double")), col(f).cast("double"))
+        aggs += [F.avg(v).alias(f"m{i}"), (F.min(v) < F.max(v)).alias(f"varies{i}")]
+    first = df.agg(*aggs).first()
+    live = [i for i in range(len(features)) if first[f"varies{i}"]]
+    if len(live) < 2:
+        return df.sparkSession.createDataFrame([], "pos_a int, pos_b int, feature_a string, feature_b string, r double")
+    names = F.array(*[F.lit(f) for f in features])
+    places = F.array(*[F.lit(i) for i in live])
+    sums = pair_moments(df, [features[i] for i in live], [first[f"m{i}"] for i in live])
+    cov = F.col("n") * F.col("p") - F.col("sx") * F.col("sy")
+    spread = (F.col("n") * F.col("qx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("qy") - F.col("sy") * F.col("sy"))
+    return (sums.select(F.get(places, F.col("i")).alias("pos_a"), F.get(places, F.col("j")).alias("pos_b"),
+                        F.when(spread > 0, F.try_divide(cov, F.sqrt(F.greatest(spread, F.lit(0.0))))).alias("r"))
+            .select("pos_a", "pos_b", F.get(names, F.col("pos_a")).alias("feature_a"),
+                    F.get(names, F.col("pos_b")).alias("feature_b"), "r")
+            .filter(F.col("r").isNotNull() & ~F.isnan("r")))
+
+
+def label_correlation(df: DataFrame, features, target: str, k: int = 15) -> DataFrame:
     """The k features most correlated with the target by absolute value."""
-    aggs = [pearson(col(f), col(target), complete).alias(f"c{i}")
-            for i, f in enumerate(features)]
-    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.abs(F.col(f"c{i}")).alias("abs_r"))
-                     for i, f in enumerate(features)])
-    return (df.agg(*aggs).select(F.inline(rows)).filter(F.col("abs_r").isNotNull())
-              .orderBy(F.desc("abs_r"), "feature").limit(k))
+    pairs = correlation(df, [*features, target]).filter(F.col("feature_b") == target)
+    return (pairs.select(F.col("feature_a").alias("feature"), F.abs("r").alias("abs_r"))
+            .orderBy(F.desc("abs_r"), "feature").limit(k))
 
 
-def high_pairs(df: DataFrame, features, threshold: float = 0.9, k: int = 10,
-               complete: bool = False) -> DataFrame:
+def high_pairs(df: DataFrame, features, threshold: float = 0.9, k: int = 10) -> DataFrame:
     """The first k pairs, in column order, with abs(r) above the threshold."""
-    return (correlation(df, features, complete).filter(F.abs("r") > threshold)
+    return (correlation(df, features).filter(F.abs("r") > threshold)
             .orderBy("pos_a", "pos_b").limit(k).select("feature_a", "feature_b", "r"))
 
 
@@ -257,10 +292,18 @@ def summary(df: DataFrame, n_features: int, label: str = "label") -> DataFrame:
 
 
 def scale_check(df: DataFrame, features) -> DataFrame:
-    """Global min, max, mean and deviation of a feature matrix, with a warning flag."""
-    flat = long_form(df, features)
-    return (flat.agg(F.min("value").alias("min"), F.max("value").alias("max"),
-                     F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    """Global min, max, mean and deviation of a feature matrix, with a warning flag.
+
+    Put together from the per-feature statistics: the variance of the whole is the
+    mean of the variances plus the variance of the means.
+    """
+    stats = feature_stats(df, features)
+    total = F.sum("n").over(W.partitionBy(F.lit(0)))            # one row per feature
+    centre = F.sum(F.col("n") * F.col("mean")).over(W.partitionBy(F.lit(0))) / total
+    off = (F.col("mean") - F.col("_centre")) * (F.col("mean") - F.col("_centre"))
+    return (stats.withColumn("_centre", centre)
+            .agg(F.min("min").alias("min"), F.max("max").alias("max"), F.first("_centre").alias("mean"),
+                 F.sqrt(F.sum(F.col("n") * (F.col("variance") + off)) / F.sum("n")).alias("std"))
             .withColumn("needs_scaling", (F.abs("mean") > 1) | (F.col("std") > 10)))
 
 
@@ -275,8 +318,7 @@ def column_types(df: DataFrame) -> DataFrame:
 
 def mean_drift(base: DataFrame, other: DataFrame, features) -> DataFrame:
     """feature, base mean, other mean, absolute difference."""
-    def means(df, name):
-        return long_form(df, features).groupBy("feature").agg(F.avg("value").alias(name))
+    means = lambda df, name: feature_stats(df, features).select("feature", F.col("mean").alias(name))
     return (means(base, "base_mean").join(means(other, "other_mean"), "feature")
             .withColumn("abs_diff", F.abs(F.col("base_mean") - F.col("other_mean"))))
 

@@ -124,7 +124,7 @@ _CORR_SQL = (f"{CLEAN_SQL}, b AS (SELECT *, CASE WHEN label = 'BenignTraffic' TH
 @query("a12_correlation", "raw_flows", f"""{_CORR_SQL}
 SELECT feature_a, feature_b, round(r, 6) AS r FROM pairs WHERE r IS NOT NULL AND NOT isnan(r)""")
 def _(spark, sf):
-    c = profile.correlation(encode.binary_label(cleaned(spark, sf)), _WITH_LABEL, complete=True)
+    c = profile.correlation(encode.binary_label(cleaned_table(spark, sf)), _WITH_LABEL)
     return c.select("feature_a", "feature_b", R6("r").alias("r"))
 
 
@@ -132,7 +132,7 @@ def _(spark, sf):
 SELECT feature_a AS feature, round(abs(r), 6) AS abs_r FROM pairs
 WHERE feature_b = 'binary_label' AND r IS NOT NULL AND NOT isnan(r) ORDER BY abs(r) DESC LIMIT 15""")
 def _(spark, sf):
-    c = profile.label_correlation(encode.binary_label(cleaned(spark, sf)), FEATS, "binary_label", complete=True)
+    c = profile.label_correlation(encode.binary_label(cleaned_table(spark, sf)), FEATS, "binary_label")
     return c.withColumn("abs_r", R6("abs_r"))
 
 
@@ -146,7 +146,7 @@ def _(spark, sf):
     size = F.col("size").cast("double")
     wide = view(spark, sf, "packets").select("size", (size * 2 + F.col("pkt_id") % 3).alias("twice"),
                                              (-size).alias("negated"), F.col("tcp_flags").alias("flags"))
-    return profile.high_pairs(wide, wide.columns, complete=True).withColumn("r", R6("r"))
+    return profile.high_pairs(wide, wide.columns).withColumn("r", R6("r"))
 
 
 @query("a15_dataset_summary", "raw_flows", """SELECT count(*) AS n_rows, 5 AS n_features, count(DISTINCT label) AS n_labels,

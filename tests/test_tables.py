@@ -98,6 +98,7 @@ def test_correlation_pairwise_missing_and_constant(spark):
     df = spark.createDataFrame([(1.0, 2.0, 4.0), (2.0, 4.0, 4.0), (3.0, None, 4.0), (4.0, 8.5, 4.0)], "a double, b double, c double")
     rows = {(r["feature_a"], r["feature_b"]): r["r"] for r in profile.correlation(df, ["a", "b", "c"]).collect()}
     assert set(rows) == {("a", "b")}
+    assert profile.correlation(df, ["a", "c"]).count() == 0
     assert rows[("a", "b")] == pytest.approx(np.corrcoef([1, 2, 4], [2, 4, 8.5])[0, 1])
 
 
