@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom.functions.columns import col
+from netloom.operators.cells import cells, feature_name
 from netloom.operators.small import small_side
 from netloom.taxonomy import BENIGN_LABEL, taxonomy
 
@@ -55,15 +56,9 @@ def binary_label(df: DataFrame, label: str = "label", out: str = "binary_label")
 
 def scaler_frame(train: DataFrame, features) -> DataFrame:
     """feature, mean, scale (population deviation; 0 counts as 1), one scan."""
-    aggs = []
-    for i, f in enumerate(features):
-        aggs += [F.avg(col(f).cast("double")).alias(f"m{i}"),
-                 F.stddev_pop(col(f).cast("double")).alias(f"s{i}")]
-    rows = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f"m{i}").alias("mean"),
-                 F.when(F.col(f"s{i}") == 0, 1.0).otherwise(F.col(f"s{i}")).alias("scale"))
-        for i, f in enumerate(features)])
-    return train.agg(*aggs).select(F.inline(rows))
+    stats = cells(train, features).groupBy("i").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    return stats.select(feature_name(features).alias("feature"), "mean",
+                        F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd")).alias("scale"))
 
 
 def fit_scaler(train: DataFrame, features) -> dict[str, tuple[float, float]]:
@@ -77,19 +72,17 @@ def fit_train(train: DataFrame, features, label: str = "label"):
     The scan keeps count, mean and variance per label; both results are put
     together from that small table (one row per label).
     """
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, f in enumerate(features):
-        x = col(f).cast("double")
-        aggs += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
-    per_label = small_side(train.groupBy(label).agg(*aggs))
-    picks = range(len(features))
-    total = per_label.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in picks],
-                          *[F.sum(F.col(f"c{i}") * F.col(f"m{i}")).alias(f"s{i}") for i in picks]).first()
-    means = [total[f"s{i}"] / total[f"c{i}"] for i in picks]
-    within = lambda i: F.col(f"c{i}") * (F.col(f"v{i}") + (F.col(f"m{i}") - means[i]) * (F.col(f"m{i}") - means[i]))
-    spread = per_label.agg(*[F.sum(within(i)).alias(f"q{i}") for i in picks]).first()
-    scaler = {f: (means[i], (spread[f"q{i}"] / total[f"c{i}"]) ** 0.5 or 1.0) for i, f in enumerate(features)}
-    return _dictionary(per_label.select(label, "n"), label), scaler
+    per_label = small_side(cells(train, features, [label]).groupBy(label, "i").agg(
+        F.count(F.lit(1)).alias("n"), F.count("value").alias("c"), F.avg("value").alias("m"),
+        F.var_pop("value").alias("v")))
+    feature = W.partitionBy("i")                            # one row per label and feature
+    centre = F.sum(F.col("c") * F.col("m")).over(feature) / F.sum("c").over(feature)
+    off = (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean"))
+    stats = per_label.withColumn("mean", centre).groupBy("i").agg(
+        F.first("mean").alias("mean"), F.sqrt(F.sum(F.col("c") * (F.col("v") + off)) / F.sum("c")).alias("sd"))
+    scaler = {r["feature"]: (r["mean"], r["sd"] or 1.0)
+              for r in stats.select(feature_name(features).alias("feature"), "mean", "sd").collect()}
+    return _dictionary(per_label.filter("i = 0").select(label, "n"), label), scaler
 
 
 def standardise(df: DataFrame, scaler, dtype: str = "double") -> DataFrame:

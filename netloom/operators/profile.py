@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom.functions.columns import col, is_missing, percent
+from netloom.operators.cells import cells, feature_name
 from netloom.operators.encode import with_macro
 from netloom.operators.small import small_side
 from netloom.session import materialise
@@ -156,18 +157,11 @@ def exact_quantiles(df: DataFrame, features, probs, by=(), accuracy: int = 10_00
 
 
 def feature_stats(df: DataFrame, features) -> DataFrame:
-    """feature, n, mean, sample std, population variance, min, max of the present cells: one wide scan."""
-    aggs = []
-    for i, f in enumerate(features):
-        v = F.when(~F.isnan(col(f).cast("double")), col(f).cast("double"))
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.var_pop(v).alias(f"v{i}"),
-                 F.min(v).alias(f"a{i}"), F.max(v).alias(f"z{i}")]
-    sample = lambda i: F.when(F.col(f"n{i}") > 1, F.sqrt(F.col(f"v{i}") * F.col(f"n{i}") / (F.col(f"n{i}") - 1)))
-    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean"),
-                              sample(i).alias("std"), F.col(f"v{i}").alias("variance"),
-                              F.col(f"a{i}").alias("min"), F.col(f"z{i}").alias("max"))
-                     for i, f in enumerate(features)])
-    return df.agg(*aggs).select(F.inline(rows))
+    """feature, n, mean, sample std, population variance, min, max of the present cells."""
+    stats = cells(df, features).groupBy("i").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.var_pop("value").alias("variance"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return stats.select(feature_name(features).alias("feature"), "n", "mean", "std", "variance", "min", "max")
 
 
 def describe(df: DataFrame, features) -> DataFrame:
@@ -252,17 +246,13 @@ def correlation(df: DataFrame, features) -> DataFrame:
     (pos_a, pos_b) keep the column order of the input. A first scan finds the
     means, because centred sums do not cancel.
     """
-    aggs = []
-    for i, f in enumerate(features):
-        v = F.when(~F.isnan(col(f).cast("double")), col(f).cast("double"))
-        aggs += [F.avg(v).alias(f"m{i}"), (F.min(v) < F.max(v)).alias(f"varies{i}")]
-    first = df.agg(*aggs).first()
-    live = [i for i in range(len(features)) if first[f"varies{i}"]]
+    first = {r["feature"]: r for r in feature_stats(df, features).collect()}      # one row per feature
+    live = [i for i, f in enumerate(features) if f in first and first[f]["n"] and first[f]["min"] < first[f]["max"]]
     if len(live) < 2:
         return df.sparkSession.createDataFrame([], "pos_a int, pos_b int, feature_a string, feature_b string, r double")
     names = F.array(*[F.lit(f) for f in features])
     places = F.array(*[F.lit(i) for i in live])
-    sums = pair_moments(df, [features[i] for i in live], [first[f"m{i}"] for i in live])
+    sums = pair_moments(df, [features[i] for i in live], [first[features[i]]["mean"] for i in live])
     cov = F.col("n") * F.col("p") - F.col("sx") * F.col("sy")
     spread = (F.col("n") * F.col("qx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("qy") - F.col("sy") * F.col("sy"))
     return (sums.select(F.get(places, F.col("i")).alias("pos_a"), F.get(places, F.col("j")).alias("pos_b"),
