@@ -5,15 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netloom.llm import oracles, quality_rules, url_rules
+from netloom.llm import licenses, oracles, packing, quality_rules, secrets, topk, url_rules
 from netloom.llm.common import table
 from netloom.session import adopt
 
+TOKENIZER = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_path() -> str:
+    """Where the public tokenizer file lies; it is installed alike on the driver and the executors."""
+    import public_tokenizers
+    return public_tokenizers.path(TOKENIZER)
+
+
 def query(name: str, oracle: str | None = None):
     def register(fn):
         QUERIES[name] = lambda spark, sf_dir: fn(adopt(spark), str(sf_dir))
@@ -23,11 +32,31 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_top_k_search", oracles.TOP_K)
+def op1_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), 20, F.col("vec_id") % 20 == 0)
+
+
 @query("op2_quality_rules", oracles.QUALITY_RULES)
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+@query("op4_secret_scans")
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_license_scans")
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @query("op10_url_filters", oracles.URL_RULES)
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
