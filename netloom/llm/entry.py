@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import licenses, oracles, packing, quality_rules, secrets, topk, url_rules
+from netloom.llm import (
+    html_text,
+    licenses,
+    mixing,
+    oracles,
+    packing,
+    quality_rules,
+    secrets,
+    topk,
+    url_rules,
+)
 from netloom.llm.common import table
 from netloom.session import adopt
 
@@ -42,11 +52,21 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+@query("op3_html_extraction")
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.report(table(spark, sf_dir, "pages"))
+
+
 @query("op4_secret_scans")
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+@query("op6_source_mixing")
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 @query("op7_license_scans")
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))

@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from netloom.operators.small import bounded_rows
 from netloom.session import materialise
@@ -175,7 +176,7 @@ def mix(docs: DataFrame) -> DataFrame:
     return taken.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else taken
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def runs(text: pd.Series, parts: pd.Series) -> pd.Series:
     out = []
     for t, p in zip(text.tolist(), parts.tolist()):
