@@ -11,6 +11,7 @@ from netloom.llm import (
     html_text,
     licenses,
     mixing,
+    ngram_join,
     oracles,
     packing,
     quality_rules,
@@ -77,6 +78,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op9_ngram_jaccard_join", oracles.NGRAM_JOIN)
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.links(table(spark, sf_dir, "documents"))
+
+
 @query("op10_url_filters", oracles.URL_RULES)
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))

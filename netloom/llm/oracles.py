@@ -69,3 +69,18 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(C
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+NGRAM_JOIN = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b, k, p.n AS na, q.n AS nb FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 5 * k >= 4 * (p.n + q.n - k)),
+r(doc_id, o) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.o = e.a)
+SELECT d.doc_id,
+  least(d.doc_id, coalesce((SELECT min(b) FROM e WHERE e.a = d.doc_id AND k = na AND k = nb), d.doc_id)) AS class_id,
+  (SELECT min(o) FROM r WHERE r.doc_id = d.doc_id) AS group_id,
+  (SELECT count(*) FROM e WHERE e.a = d.doc_id) AS n_links
+FROM d
+"""
