@@ -29,7 +29,7 @@ from pyspark.sql.types import StringType
 from netloom.operators.small import bounded_rows
 from netloom.session import materialise
 
-BLOCK_WORDS, SHARD_SLOTS, BIN_ROWS, MAX_REPEATS, SEED = 64, 8192, 50_000, 3, 20_260
+BLOCK_WORDS, SHARD_SLOTS, BIN_ROWS, MAX_REPEATS, SEED = 64, 8192, 4096, 3, 20_260
 MAX_SOURCES = 200_000
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
