@@ -94,7 +94,8 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def draws(sources: DataFrame) -> DataFrame:
-    """si, block, epoch of every slot of the mix."""
+    """si, block, epoch of every slot of the mix. It grows with the input although it starts from a short range, from which
+    the optimiser would guess it small; joins with it must ask for a merge join."""
     spark = sources.sparkSession
     table = [r.asDict() for r in sources.orderBy("si").collect()]       # one row per source, bounded by MAX_SOURCES
     quota = np.array([r["quota"] for r in table], float)
@@ -150,7 +151,7 @@ def report(docs: DataFrame) -> DataFrame:
     rows = placed(sized, sources)
     keys = ["si", "at", "doc_id", "size", "source_size", "target"]
     times = draws(sources).groupBy("si", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = pieces(rows.select(*keys)).join(times, ["si", "block"], "left").groupBy(*keys).agg(
+    taken = pieces(rows.select(*keys)).join(times.hint("merge"), ["si", "block"], "left").groupBy(*keys).agg(
         F.sum(F.coalesce("times", F.lit(0)) * F.col("words")).alias("taken"))
     empty = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     columns = ["doc_id", "size", "source_size", "target", "taken"]
@@ -168,7 +169,7 @@ def mix(docs: DataFrame) -> DataFrame:
     row = materialise(row, "mix")
     sources = source_table(row)
     rows = materialise(placed(row, sources), "mix")
-    drawn = pieces(rows.select("si", "at", "size")).join(draws(sources), ["si", "block"]).groupBy("si", "at", "epoch").agg(
+    drawn = pieces(rows.select("si", "at", "size")).join(draws(sources).hint("merge"), ["si", "block"]).groupBy("si", "at", "epoch").agg(
         F.sort_array(F.collect_list(F.struct("from", "words"))).alias("parts"), F.sum("words").alias("n"))
     joined = rows.join(drawn, ["si", "at"]).where("size > 0")
     text = F.when(F.col("n") == F.col("size"), F.col("row.text")).otherwise(runs(F.col("row.text"), F.col("parts")))
