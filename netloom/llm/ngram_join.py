@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.llm.common import fresh
 from netloom.session import materialise
 
 SHINGLE, TREES, DEPTH = 5, 16, 8
@@ -360,6 +361,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     but for exact repeats, of which one stays; rows without an id stay."""
     stay = links(docs).where("doc_id = group_id").select("doc_id").distinct()
     known = docs.where(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy(F.lit(1)))
-    known = known.withColumn("_text", F.xxhash64("text")).withColumn("_row", first).where("_row = 1")
+    text, row = fresh(docs, "_text"), fresh(docs, "_row")
+    first = F.row_number().over(Window.partitionBy("doc_id", text).orderBy(F.lit(1)))
+    known = known.withColumn(text, F.xxhash64("text")).withColumn(row, first).where(F.col(row) == 1)
     return known.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
