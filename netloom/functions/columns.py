@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,11 +45,6 @@ def unit_interval(text: Column, start: int) -> Column:
     return hex_number(text, start).cast("double") / F.lit(4294967296.0)
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    diffs = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.aggregate(diffs, F.lit(0.0), lambda s, d: s + d)
-
-
 def interpolate(a: Column, b: Column, u: Column) -> Column:
     """a + u * (b - a), element by element."""
     return F.zip_with(a, b, lambda x, y: x + u * (y - x))
@@ -59,11 +52,3 @@ def interpolate(a: Column, b: Column, u: Column) -> Column:
 
 def as_vector(names) -> Column:
     return F.array(*[col(n).cast("double") for n in names])
-
-
-def any_of(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
-def micros(ts: Column) -> Column:
-    return F.unix_micros(ts)

@@ -21,8 +21,9 @@ def class_weights(df: DataFrame, cls: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, cls: str, out: str = "weight") -> DataFrame:
-    weights = class_weights(df, cls).select(cls, F.col("weight").alias(out))
-    return df.join(small_side(weights), cls)
+    """df with the weight of its class; rows without a class are a class of their own, as in the counts."""
+    weights = small_side(class_weights(df, cls).select(F.col(cls).alias("_cls"), F.col("weight").alias(out)))
+    return df.join(weights, F.col(cls).eqNullSafe(F.col("_cls")), "left").drop("_cls")
 
 
 def confusion_cells(df: DataFrame, truth: str, pred: str, by=()) -> DataFrame:

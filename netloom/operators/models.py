@@ -18,6 +18,7 @@ from netloom.operators.metrics import weighted_metrics, with_class_weight
 from netloom.taxonomy import macro_name
 
 LABEL, WEIGHT = "y_macro_encoded", "weight"
+PARALLEL_FITS = 8               # one-vs-rest fits one model per class; so many at a time
 # Defaults below are fixed values: the hyper-parameters of the original training tools.
 DEEP_NETWORK = {"hidden": (256, 128, 64), "max_iter": 100}
 
@@ -29,9 +30,9 @@ def _pipeline(features, classifier) -> Pipeline:
 
 def decision_tree(features, label=LABEL, weight=WEIGHT, max_depth=20, min_leaf=10, seed=42) -> Pipeline:
     """Leaves of at least 10 rows already imply splits of at least 20."""
-    return _pipeline(features, DecisionTreeClassifier(
-        labelCol=label, weightCol=weight, maxDepth=max_depth, minInstancesPerNode=min_leaf,
-        impurity="gini", seed=seed, maxMemoryInMB=1024))
+    tree = DecisionTreeClassifier(labelCol=label, maxDepth=max_depth, minInstancesPerNode=min_leaf,
+                                  impurity="gini", seed=seed, maxMemoryInMB=1024)
+    return _pipeline(features, tree.setWeightCol(weight) if weight else tree)
 
 
 def random_forest(features, label=LABEL, weight=WEIGHT, n_estimators=100, max_depth=25, min_leaf=5, seed=42) -> Pipeline:
@@ -45,7 +46,7 @@ def boosted_trees(features, label=LABEL, weight=None, n_estimators=100, max_dept
     """One boosted model per class; MLlib has no L1/L2 terms and no column sampling by share per tree."""
     gbt = GBTClassifier(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate,
                         subsamplingRate=subsample, minInfoGain=min_gain, seed=seed)
-    return _pipeline(features, OneVsRest(classifier=gbt, labelCol=label, parallelism=2))
+    return _pipeline(features, OneVsRest(classifier=gbt, labelCol=label, parallelism=PARALLEL_FITS))
 
 
 def neural_network(features, n_classes: int, label=LABEL, weight=None, hidden=(128, 64), max_iter=50,
@@ -58,7 +59,7 @@ def neural_network(features, n_classes: int, label=LABEL, weight=None, hidden=(1
 
 def linear_svm(features, label=LABEL, weight=None, max_iter=100, reg=0.01) -> Pipeline:
     return _pipeline(features, OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=reg), labelCol=label,
-                                         parallelism=2))
+                                         parallelism=PARALLEL_FITS))
 
 
 BUILDERS: dict[str, Callable] = {
@@ -71,8 +72,8 @@ def fit(pipeline: Pipeline, train: DataFrame, label: str = LABEL, balanced: bool
     return pipeline.fit(rows.withColumn(label, F.col(label).cast("double")))
 
 
-def score(model: PipelineModel, df: DataFrame, names: bool = True) -> DataFrame:
-    """df plus prediction, predicted_class and confidence (the largest probability).
+def score(model: PipelineModel, df: DataFrame, names: bool = True, probabilities: bool = False) -> DataFrame:
+    """df plus prediction, predicted_class and confidence (the largest probability), and all probabilities if asked for.
 
     One-vs-rest models give margins only; a softmax turns them into probabilities.
     """
@@ -84,8 +85,8 @@ def score(model: PipelineModel, df: DataFrame, names: bool = True) -> DataFrame:
         weights = F.transform(raw, lambda x: F.exp(x - F.array_max(raw)))
         total = F.aggregate(weights, F.lit(0.0), lambda s, x: s + x)
         probs = F.transform(weights, lambda x: x / total)
-    keep = df.columns + ["prediction", "confidence"]
-    out = out.withColumn("confidence", F.array_max(probs)).withColumn("prediction", F.col("prediction").cast("int"))
+    keep = df.columns + ["prediction", "confidence"] + ["probabilities"] * probabilities
+    out = out.withColumn("probabilities", probs).withColumn("confidence", F.array_max("probabilities")).withColumn("prediction", F.col("prediction").cast("int"))
     out = out.select(*[f"`{c}`" for c in keep])
     return out.withColumn("predicted_class", macro_name(F.col("prediction"))) if names else out
 
@@ -94,14 +95,19 @@ def evaluate(model: PipelineModel, df: DataFrame, label: str = LABEL, by=()) ->
     return weighted_metrics(score(model, df, names=False), label, "prediction", by)
 
 
-def evaluate_models(models: dict[tuple[str, str], PipelineModel], test: DataFrame, label: str = LABEL) -> DataFrame:
-    """Every model on the same original test rows, one metrics job for all."""
+def tagged_predictions(models: dict[tuple[str, str], PipelineModel], test: DataFrame, label: str = LABEL) -> DataFrame:
+    """algorithm, dataset, label and prediction of every model on the same rows."""
     tagged = None
     for (algorithm, dataset), model in models.items():
         part = score(model, test, names=False).select(
             F.lit(algorithm).alias("algorithm"), F.lit(dataset).alias("dataset"), F.col(label), "prediction")
         tagged = part if tagged is None else tagged.unionByName(part)
-    return weighted_metrics(tagged, label, "prediction", ["algorithm", "dataset"])
+    return tagged
+
+
+def evaluate_models(models: dict[tuple[str, str], PipelineModel], test: DataFrame, label: str = LABEL) -> DataFrame:
+    """Every model on the same original test rows, one metrics job for all."""
+    return weighted_metrics(tagged_predictions(models, test, label), label, "prediction", ["algorithm", "dataset"])
 
 
 def train_grid(spark: SparkSession, variants: dict[str, DataFrame], pipelines: dict[str, Pipeline],
@@ -149,6 +155,15 @@ def tree_shape(spark: SparkSession, model: PipelineModel) -> DataFrame:
                                  "depth int, n_leaves int, n_nodes int")
 
 
+def root_split(spark: SparkSession, model: PipelineModel) -> DataFrame:
+    """feature and threshold of a tree's first split; no row for a tree without one."""
+    import re
+    tree = _classifier(model)
+    found = re.search(r"If \(feature (\d+) <= (\S+)\)", tree.toDebugString)
+    rows = [(model.stages[0].getInputCols()[int(found[1])], float(found[2]))] if found else []
+    return spark.createDataFrame(rows, "feature string, threshold double")
+
+
 def loss_curve(spark: SparkSession, model: PipelineModel) -> DataFrame:
     """iteration, loss, and whether it is the best one so far."""
     history = [float(x) for x in _classifier(model).summary().objectiveHistory]

@@ -73,7 +73,7 @@ def long_form(df: DataFrame, features, keep=()) -> DataFrame:
     return df.select(*[col(k) for k in keep], F.inline(cells))
 
 
-RANKED_AT_ONCE, MAX_ROUNDS, GRID = 2_000_000, 4, 256
+RANKED_AT_ONCE, GRID = 2_000_000, 256
 
 
 def _narrow(values: DataFrame, state: DataFrame, spot, prob):
@@ -102,10 +102,19 @@ def exact_quantiles(df: DataFrame, features, probs, by=(), accuracy: int = 10_00
     sketch brackets the order statistics around each quantile (its rank error is
     at most n / accuracy), a second scan counts the rows below each bracket, and
     only the distinct values inside it are ranked; a bracket that still holds
-    millions of rows is narrowed first.
+    millions of rows is narrowed first, as long as that makes it smaller. Should the
+    counts show that a bracket misses its rank, all brackets are drawn wider.
     """
+    for slack in (2.0 / accuracy, 50.0 / accuracy, 1.0):
+        found = _bracketed_quantiles(df, features, probs, by, accuracy, slack)
+        if found is not None:
+            return found
+    raise AssertionError("a bracket over all rows holds every rank")
+
+
+def _bracketed_quantiles(df: DataFrame, features, probs, by, accuracy: int, slack: float) -> DataFrame | None:
+    """exact_quantiles with brackets of a given slack; None if one of them misses its rank."""
     keys = list(by) or ["_g"]
-    slack = 2.0 / accuracy
     edges = F.array(*[F.lit(e) for p in probs for e in (max(p - slack, 0.0), min(p + slack, 1.0))])
     cell = lambda f: F.when(~F.isnan(col(f).cast("double")), col(f).cast("double"))
     base = df.withColumn("_g", F.lit(0)).select(*[col(k) for k in keys],
@@ -140,10 +149,14 @@ def exact_quantiles(df: DataFrame, features, probs, by=(), accuracy: int = 10_00
         for i, j in spots]), lambda x: x["_v"].isNotNull())
     values = bounded.select(*keys, F.inline(kept))
     prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_j") + 1)
-    for _ in range(MAX_ROUNDS):
-        if (state.agg(F.max("_m")).first()[0] or 0) <= RANKED_AT_ONCE:
-            break
+    spread = prob * (F.col("_n") - 1)
+    holds = (F.col("_below") <= F.floor(spread)) & (F.ceil(spread) < F.col("_below") + F.col("_m"))
+    if state.filter((F.col("_n") > 0) & ~holds).take(1):
+        return None
+    most, before = state.agg(F.max("_m")).first()[0] or 0, None
+    while most > RANKED_AT_ONCE and (before is None or most < before):
         values, state = _narrow(values, state, spot, prob)
+        most, before = state.agg(F.max("_m")).first()[0] or 0, most
     counts = values.groupBy(*spot, "_v").agg(F.count(F.lit(1)).alias("_c"))
     upto = W.partitionBy(*spot).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     ranked = counts.join(state, spot).withColumn("_cum", F.col("_below") + F.sum("_c").over(upto))

@@ -13,7 +13,7 @@ from netloom.operators.small import small_side
 # The defaults of the original command-line tools.
 TARGET_SAMPLE, MIN_MINORITY = 800_000, 50_000
 MINORITY_PCT, MINORITY_ABS = 1.0, 10_000
-GENERATION_SHARE, GENERATION_CAP = 0.8, 100_000
+GENERATION_SHARE = 0.8
 QUALITY_BANDS = ((3, "Excellent"), (10, "Good"), (20, "Risky"))
 
 
@@ -65,8 +65,11 @@ def draw(df: DataFrame, quotas: DataFrame, cls: str, ids, seed: int = 42) -> Dat
     return take_per_class(df, fitted.filter("quota > 0"), cls, ids, n_rows, seed)
 
 
-def stratified_sample(df: DataFrame, cls: str, ids, target: int = TARGET_SAMPLE,
+def stratified_sample(df: DataFrame, cls: str, ids, target: int | None = TARGET_SAMPLE,
                       min_minority: int = MIN_MINORITY, seed: int = 42) -> DataFrame:
+    """A quota sample of about ``target`` rows; all rows if there is no target."""
+    if target is None:
+        return df
     return draw(df, stratified_quotas(class_counts(df, cls), target, min_minority), cls, ids, seed)
 
 
@@ -75,11 +78,10 @@ def minority_first_subset(df: DataFrame, cls: str, ids, subset: int, pct: float
     return draw(df, minority_first_quotas(class_counts(df, cls), subset, pct, absolute), cls, ids, seed)
 
 
-def generation_targets(counts: DataFrame, share: float = GENERATION_SHARE,
-                       cap: int = GENERATION_CAP) -> DataFrame:
-    """Rows to generate: up to ``share`` of the largest class, at most ``cap``, never negative."""
+def generation_targets(counts: DataFrame, share: float = GENERATION_SHARE, cap: int | None = None) -> DataFrame:
+    """Rows to generate: up to ``share`` of the largest class, at most ``cap`` if one is given, never negative."""
     top = F.floor(F.max("n").over(all_classes()) * F.lit(share))
-    wanted = F.least(top - F.col("n"), F.lit(cap))
+    wanted = top - F.col("n") if cap is None else F.least(top - F.col("n"), F.lit(cap))
     return counts.withColumn("to_generate", F.greatest(wanted, F.lit(0)).cast("long"))
 
 

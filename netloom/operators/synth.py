@@ -54,6 +54,30 @@ def class_deficits(sizes: dict, strategy="auto") -> dict:
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
+def raisable(sizes: dict, on_failure: str = "skip") -> dict:
+    """Classes synthesis can work with. A class with a single row has no neighbour of its own: it is skipped, or with
+    ``on_failure="unchanged"`` it stops synthesis for all classes, as the original call did."""
+    if on_failure not in ("skip", "unchanged"):
+        raise ValueError(f"unknown on_failure {on_failure!r}")
+    if on_failure == "unchanged" and sizes and min(sizes.values()) < 2:
+        return {}
+    return {c: n for c, n in sizes.items() if n >= 2}
+
+
+def plan_of(points: DataFrame, strategy="auto", on_failure: str = "skip") -> tuple[dict, dict, int]:
+    """Class sizes, deficits of the classes to raise, and the size of the smallest class that has neighbours."""
+    sizes = class_sizes(points)
+    able = raisable(sizes, on_failure)
+    short = {c: d for c, d in class_deficits(sizes, strategy).items() if c in able} if able else {}
+    return sizes, short, min(able.values(), default=0)
+
+
+def skipped_classes(points: DataFrame, strategy="auto") -> list:
+    """Classes short of rows that synthesis cannot raise because they hold a single row."""
+    sizes = class_sizes(points)
+    return sorted((c for c in class_deficits(sizes, strategy) if sizes[c] < 2), key=str)
+
+
 def _deficit_frame(points: DataFrame, sizes: dict, short: dict) -> DataFrame:
     schema = T.StructType([points.schema["cls"], T.StructField("n_class", T.LongType()),
                            T.StructField("deficit", T.LongType())])
@@ -61,7 +85,7 @@ def _deficit_frame(points: DataFrame, sizes: dict, short: dict) -> DataFrame:
     return F.broadcast(points.sparkSession.createDataFrame(rows, schema))   # one row per class
 
 
-def _none(points: DataFrame) -> DataFrame:
+def none_of(points: DataFrame) -> DataFrame:
     schema = T.StructType([
         points.schema["cls"], T.StructField("base_id", T.LongType()), T.StructField("nn_id", T.LongType()),
         T.StructField("draw", T.LongType()), T.StructField("u", T.DoubleType()),
@@ -104,17 +128,12 @@ def _even_draws(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("n_draws", F.greatest(share, F.lit(0)).cast("long"))
 
 
-def smote(points: DataFrame, k: int = 5, strategy="auto", seed: int = 42, **knn_options) -> DataFrame:
-    """Raise every class to the largest by interpolating between same-class neighbours.
-
-    A class with a single row has no neighbour: like the original call, nothing
-    is generated then.
-    """
-    sizes = class_sizes(points)
-    short = class_deficits(sizes, strategy)
-    if not short or min(sizes.values()) < 2:
-        return _none(points)
-    k = fitting_k(min(sizes.values()), k)
+def smote(points: DataFrame, k: int = 5, strategy="auto", seed: int = 42, on_failure: str = "skip", **knn_options) -> DataFrame:
+    """Raise every class to the largest by interpolating between same-class neighbours; see ``raisable`` for single rows."""
+    sizes, short, smallest = plan_of(points, strategy, on_failure)
+    if not short:
+        return none_of(points)
+    k = fitting_k(smallest, k)
     bases = points.join(_deficit_frame(points, sizes, short), "cls")
     seeds = points.join(_deficit_frame(points, sizes, short).select("cls"), "cls", "left_semi")
     ranked = hashed_rank(bases, "cls", ["id"], max(sizes[c] for c in short), seed)
@@ -123,15 +142,14 @@ def smote(points: DataFrame, k: int = 5, strategy="auto", seed: int = 42, **knn_
     return _emit(near.join(drawn, "id"), seed)
 
 
-def adasyn_counts(points: DataFrame, k: int = 5, strategy="auto", sizes: dict | None = None,
+def adasyn_counts(points: DataFrame, k: int = 5, strategy="auto", on_failure: str = "skip",
                   **knn_options) -> DataFrame:
     """id, cls, n_foreign, n_draws: deficits shared by how foreign a neighbourhood is.
 
     The neighbour search is written once; the totals and the counts both read it.
     """
-    sizes = sizes or class_sizes(points)
-    short = class_deficits(sizes, strategy)
-    k = fitting_k(min(sizes.values()), k)
+    sizes, short, smallest = plan_of(points, strategy, on_failure)
+    k = fitting_k(smallest, k)
     bases = points.join(_deficit_frame(points, sizes, short), "cls")
     hard = materialise(foreign_neighbours(nearest(bases, points, k, **knn_options)).drop("nn", "vec"), "hardness")
     totals = small_side(hard.groupBy("cls").agg(F.sum("n_foreign").alias("_t")))
@@ -142,32 +160,31 @@ def adasyn_counts(points: DataFrame, k: int = 5, strategy="auto", sizes: dict |
         F.when(F.col("_t") > 0, share).otherwise(0.0).cast("long").alias("n_draws"))
 
 
-def adasyn(points: DataFrame, k: int = 5, strategy="auto", seed: int = 42, **knn_options) -> DataFrame:
+def adasyn(points: DataFrame, k: int = 5, strategy="auto", seed: int = 42, on_failure: str = "skip", **knn_options) -> DataFrame:
     """More synthetic rows where a class is surrounded by others.
 
-    If a class to be raised has no foreign neighbour at all the original call
-    fails and the table stays as it is; the same holds here.
+    A class without any foreign neighbour gets no rows; with ``on_failure="unchanged"`` it stops synthesis for all
+    classes, as the original call did.
     """
-    sizes = class_sizes(points)
-    short = class_deficits(sizes, strategy)
-    if not short or min(sizes.values()) < 2:
-        return _none(points)
-    counts = adasyn_counts(points, k, strategy, sizes, **knn_options)
-    spread = bounded_rows(counts.groupBy("cls").agg(F.sum("n_foreign").alias("t")))
-    if any(r["t"] == 0 for r in spread):
-        return _none(points)
+    sizes, short, smallest = plan_of(points, strategy, on_failure)
+    if not short:
+        return none_of(points)
+    counts = materialise(adasyn_counts(points, k, strategy, on_failure, **knn_options), "adasyn-counts")
+    if on_failure == "unchanged":
+        spread = bounded_rows(counts.groupBy("cls").agg(F.sum("n_foreign").alias("t")))
+        if any(r["t"] == 0 for r in spread):
+            return none_of(points)
     seeds = points.join(_deficit_frame(points, sizes, short).select("cls"), "cls", "left_semi")
-    k = fitting_k(min(sizes.values()), k)
+    k = fitting_k(smallest, k)
     near = _with_vectors(nearest(seeds, seeds, k, within="cls", **knn_options), seeds, lambda x: F.lit(1.0))
     return _emit(near.join(counts.select("id", "n_draws"), "id"), seed)
 
 
-def border_status(points: DataFrame, m: int = 10, strategy="auto", sizes: dict | None = None,
+def border_status(points: DataFrame, m: int = 10, strategy="auto", on_failure: str = "skip",
                   **knn_options) -> DataFrame:
     """noise (all m neighbours foreign), danger (half or more), else safe."""
-    sizes = sizes or class_sizes(points)
-    short = class_deficits(sizes, strategy)
-    m = fitting_k(min(sizes.values()), m)
+    sizes, short, smallest = plan_of(points, strategy, on_failure)
+    m = fitting_k(smallest, m)
     bases = points.join(_deficit_frame(points, sizes, short), "cls")
     foreign = foreign_neighbours(nearest(bases, points, m, **knn_options))
     status = (F.when(F.col("n_foreign") == m, "noise")
@@ -176,24 +193,23 @@ def border_status(points: DataFrame, m: int = 10, strategy="auto", sizes: dict |
 
 
 def borderline_smote(points: DataFrame, k: int = 5, m: int = 10, kind: str = "borderline-1",
-                     strategy="auto", seed: int = 42, **knn_options) -> DataFrame:
+                     strategy="auto", seed: int = 42, on_failure: str = "skip", **knn_options) -> DataFrame:
     """SMOTE seeded only by danger points; a class without any gets no rows.
 
     ``borderline-2`` also interpolates towards foreign neighbours, at most half way.
     """
     if kind not in ("borderline-1", "borderline-2"):
         raise ValueError(f"unknown kind {kind!r}")
-    sizes = class_sizes(points)
-    short = class_deficits(sizes, strategy)
-    if not short or min(sizes.values()) < 2:
-        return _none(points)
-    status = border_status(points, m, strategy, sizes, **knn_options)
+    sizes, short, smallest = plan_of(points, strategy, on_failure)
+    if not short:
+        return none_of(points)
+    status = border_status(points, m, strategy, on_failure, **knn_options)
     danger = materialise(status.filter(F.col("status") == "danger").drop("n_class", "deficit", "status"), "danger")
     seeded = small_side(danger.groupBy("cls").agg(F.count(F.lit(1)).alias("n_seed")))
     bases = danger.select("id", "cls").join(seeded, "cls").join(_deficit_frame(points, sizes, short), "cls")
     ranked = hashed_rank(bases, "cls", ["id"], max(sizes[c] for c in short), seed)
     drawn = _even_draws(ranked).select("id", "n_draws")
-    k = fitting_k(min(sizes.values()), k)
+    k = fitting_k(smallest, k)
     seeds = points.join(_deficit_frame(points, sizes, short).select("cls"), "cls", "left_semi")
     bases = danger.select("id", "cls", "vec")
     own = nearest(bases, seeds, k, within="cls", **knn_options)

@@ -34,9 +34,23 @@ def prepare(df: DataFrame, features, label: str = "label", split: str = "split")
     return Prepared(scaled, dictionary, scaler, list(features))
 
 
-def store(prepared: Prepared, root: str, split: str = "split", label: str = "label", strict: bool = True) -> None:
-    """float32 features partitioned by variant and split, artifacts beside them, checked in full."""
+UNKNOWN = ("raise", "drop", "keep")
+
+
+def store(prepared: Prepared, root: str, split: str = "split", label: str = "label", unknown: str = "raise") -> None:
+    """float32 features partitioned by variant and split, artifacts beside them.
+
+    Rows are checked in full before anything appears under ``root``. Labels outside the dictionary or taxonomy have
+    code -1: they end the job, are left out, or are kept, as ``unknown`` says.
+    """
+    if unknown not in UNKNOWN:
+        raise ValueError(f"unknown must be one of {UNKNOWN}")
     rows = encode.narrow(prepared.rows, prepared.features).withColumn("variant", F.lit("original"))
+    if unknown == "drop":
+        rows = known_rows(rows)
+    rows = materialise(rows, "to-store")
+    if unknown != "keep":
+        profile.assert_valid(profile.split_check(rows, prepared.dictionary.count(), split=split))
     writers.write_table(rows, f"{root}/table", ["variant", split])
     spark = rows.sparkSession
     scaler = spark.createDataFrame([(f, m, s) for f, (m, s) in prepared.scaler.items()],
@@ -44,9 +58,11 @@ def store(prepared: Prepared, root: str, split: str = "split", label: str = "lab
     scaler.coalesce(1).write.mode("overwrite").parquet(f"{root}/scaler")
     total = prepared.dictionary.agg(F.sum("n")).first()[0]
     writers.write_json(writers.mapping_info(prepared.dictionary, total, label), f"{root}/mapping_info")
-    if strict:
-        stored = spark.read.parquet(f"{root}/table")
-        profile.assert_valid(profile.split_check(stored, prepared.dictionary.count(), split=split))
+
+
+def known_rows(rows: DataFrame) -> DataFrame:
+    """Rows whose labels both have a code."""
+    return rows.filter(" AND ".join(f"`{c}` >= 0" for c in encode.LABEL_COLS))
 
 
 def load_scaler(spark, root: str) -> dict[str, tuple[float, float]]:

@@ -11,14 +11,20 @@ from netloom.plans.registry import query
 from netloom.plans.views import RAW_FEATURES as FEATS
 from netloom.plans.views import RAW_KEY, view
 from netloom.session import materialise
-from netloom.taxonomy import LABELS_BY_MACRO, MACRO_CODE, macro_name, taxonomy
+from netloom.taxonomy import macro_name, taxonomy
 
 R6 = lambda c: F.round(c, 6)
 
 # ---- the same steps as SQL parts ------------------------------------------------
-TAXONOMY_SQL = "taxonomy AS (SELECT * FROM (VALUES {}) t(label, macro, macro_code))".format(
-    ", ".join(f"('{label}', '{macro}', {MACRO_CODE[macro]})"
-              for macro, labels in LABELS_BY_MACRO.items() for label in labels))
+# The 34 labels by class and the classes' codes, written out so that an error in the library's table shows.
+TAXONOMY_SQL = """taxonomy AS (SELECT unnest(labels) AS label, macro, macro_code FROM (VALUES
+  (['DDoS-ICMP_Flood', 'DDoS-UDP_Flood', 'DDoS-TCP_Flood', 'DDoS-PSHACK_Flood', 'DDoS-RSTFINFlood', 'DDoS-SYN_Flood', 'DDoS-SynonymousIP_Flood',
+    'DDoS-ICMP_Fragmentation', 'DDoS-UDP_Fragmentation', 'DDoS-ACK_Fragmentation', 'DDoS-HTTP_Flood', 'DDoS-SlowLoris'], 'DDoS', 2),
+  (['DoS-UDP_Flood', 'DoS-TCP_Flood', 'DoS-SYN_Flood', 'DoS-HTTP_Flood'], 'DoS', 3),
+  (['Mirai-greeth_flood', 'Mirai-udpplain', 'Mirai-greip_flood'], 'Mirai', 4), (['MITM-ArpSpoofing', 'DNS_Spoofing'], 'Spoofing', 6),
+  (['Recon-HostDiscovery', 'Recon-OSScan', 'Recon-PortScan', 'Recon-PingSweep', 'VulnerabilityScan'], 'Recon', 5),
+  (['SqlInjection', 'XSS', 'CommandInjection', 'Uploading_Attack', 'BrowserHijacking', 'Backdoor_Malware'], 'Web', 7),
+  (['DictionaryBruteForce'], 'BruteForce', 1), (['BenignTraffic'], 'Benign', 0)) t(labels, macro, macro_code))"""
 _FILL = ", ".join(f"CASE WHEN {f} IS NULL OR isnan({f}) THEN 0 ELSE {f} END AS {f}" for f in FEATS)
 _MAX = ", ".join(f"max(CASE WHEN NOT isinf({f}) THEN {f} END) AS m_{f}" for f in FEATS)
 _SWAP = ", ".join(f"CASE WHEN isinf(a.{f}) THEN m_{f} ELSE a.{f} END AS {f}" for f in FEATS)

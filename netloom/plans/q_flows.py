@@ -20,6 +20,11 @@ def digits(feature: str) -> int:
     return 6 if feature in EXACT else 4
 
 
+# Fixed values as the twin knows them, written out here so that an error in the library's own tables shows.
+FLAG_BITS = {"fin": 1, "syn": 2, "rst": 4, "psh": 8, "ack": 16, "urg": 32, "ece": 64, "cwr": 128}
+SERVICE_PORTS = {"HTTP": ("TCP", 80), "HTTPS": ("TCP", 443), "DNS": ("UDP", 53), "SSH": ("TCP", 22)}
+NEVER_SET = ("Telnet", "SMTP", "IRC", "DHCP", "ARP", "LLC")
+
 KEYED_SQL = """
 ends AS (SELECT *, proto IN ('TCP', 'UDP') AS has_ports,
   CASE WHEN proto IN ('TCP', 'UDP') THEN src_port ELSE 0 END AS sp,
@@ -38,7 +43,7 @@ segmented AS (SELECT *, sum(CASE WHEN gap >= {seconds * 1_000_000} THEN 1 ELSE 0
 
 
 def _bit(name):
-    mask = flows.TCP_FLAGS[name]
+    mask = FLAG_BITS[name]
     return f"count(*) FILTER (WHERE proto = 'TCP' AND (tcp_flags & {mask}) > 0)"
 
 
@@ -53,8 +58,8 @@ RECORD_SQL = f"""records AS (SELECT flow_id, segment, min(ts) AS start_ts, max(t
   avg(size) AS mean, stddev_pop(size) AS sd, var_pop(size) AS va,
   coalesce(avg(CASE WHEN gap IS NOT NULL AND NOT fresh THEN gap / 1e6 END), 0) AS iat,
   (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS secs,
-  {', '.join(f"{_bit(f)} AS {f}" for f in flows.TCP_FLAGS)},
-  {', '.join(f'{_port(*v)} AS "{k}"' for k, v in flows.SERVICES.items())}
+  {', '.join(f"{_bit(f)} AS {f}" for f in FLAG_BITS)},
+  {', '.join(f'{_port(*v)} AS "{k}"' for k, v in SERVICE_PORTS.items())}
   FROM (SELECT *, row_number() OVER (PARTITION BY flow_id, segment ORDER BY ts, pkt_id) = 1 AS fresh FROM segmented) s
   GROUP BY flow_id, segment)"""
 
@@ -65,9 +70,9 @@ _EXPR = {
     "Drate": "n / 2.0 / greatest(secs, 0.001)",
     **{f"{f}_flag_number": f for f in ("fin", "syn", "rst", "psh", "ack", "ece", "cwr")},
     **{f"{f}_count": f for f in ("ack", "syn", "fin", "urg", "rst")},
-    **{s: f'"{s}"' for s in flows.SERVICES},
+    **{s: f'"{s}"' for s in SERVICE_PORTS},
     **{p: f"CASE WHEN proto = '{p}' THEN 1 ELSE 0 END" for p in ("TCP", "UDP", "ICMP")},
-    **{a: "0" for a in flows.ABSENT}, "IPv": "4", "Tot sum": "total", "Tot size": "total", "Min": "smin", "Max": "smax",
+    **{a: "0" for a in NEVER_SET}, "IPv": "4", "Tot sum": "total", "Tot size": "total", "Min": "smin", "Max": "smax",
     "AVG": "mean", "Std": "sd", "IAT": "iat", "Number": "n", "Magnitue": "sqrt(total)", "Radius": "mean / 2",
     "Covariance": "va", "Variance": "va", "Weight": "total / CAST(n AS DOUBLE)",
 }
@@ -106,14 +111,14 @@ def _(spark, sf):
 
 @query("p16_tcp_flags", "packets", "SELECT pkt_id, " + ", ".join(
     f"CASE WHEN proto = 'TCP' AND (tcp_flags & {m}) > 0 THEN 1 ELSE 0 END AS {f}"
-    for f, m in flows.TCP_FLAGS.items()) + " FROM packets")
+    for f, m in FLAG_BITS.items()) + " FROM packets")
 def _(spark, sf):
     return flows.with_flag_columns(view(spark, sf, "packets")).select("pkt_id", *flows.TCP_FLAGS)
 
 
 @query("p17_service_flags", "packets", "SELECT pkt_id, " + ", ".join(
     f"CASE WHEN proto = '{p}' AND (src_port = {n} OR dst_port = {n}) THEN 1 ELSE 0 END AS \"{s}\""
-    for s, (p, n) in flows.SERVICES.items()) + " FROM packets")
+    for s, (p, n) in SERVICE_PORTS.items()) + " FROM packets")
 def _(spark, sf):
     return flows.with_service_columns(view(spark, sf, "packets")).select("pkt_id", *flows.SERVICES)
 
@@ -127,10 +132,18 @@ FROM segmented GROUP BY flow_id, segment""")
             "flow_id", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("last_ts").alias("last_us"), "n")
 
 
+@query("w11_segments_60s", "packets", f"""{segmented_sql(60)}
+SELECT flow_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM segmented GROUP BY flow_id, segment""")
+def _(spark, sf):
+    """The default timeout."""
+    return flows.flow_records(view(spark, sf, "packets"), 60).select(
+        "flow_id", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("last_ts").alias("last_us"), "n")
+
+
 @query("w11_inter_arrival", "packets", f"""{KEYED_SQL}
 SELECT pkt_id, flow_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY flow_id ORDER BY ts, pkt_id)) AS gap_us FROM keyed""")
 def _(spark, sf):
-    return flows.inter_arrival(view(spark, sf, "packets"), DAY).select("pkt_id", "flow_id", "gap_us")
+    return flows.inter_arrival(view(spark, sf, "packets"), 60).select("pkt_id", "flow_id", "gap_us")
 
 
 @query("t1_flow_endpoints", "packets", f"""{segmented_sql(DAY)}, {RECORD_SQL}
@@ -157,6 +170,11 @@ for _name, _feats in GROUPS.items():
         return shown(flows.flow_features(view(spark, sf, "packets"), DAY), names)
 
 
+@query("g_all_46_features_60s", "packets", features_sql(60, flows.FEATURES))
+def _(spark, sf):
+    return shown(flows.flow_features(view(spark, sf, "packets"), 60), flows.FEATURES)
+
+
 @query("g14_iat_compat", "packets", f"""{segmented_sql(DAY)}
 SELECT flow_id, epoch_us(min(ts)) AS start_us, CAST(0 AS DOUBLE) AS "IAT" FROM segmented GROUP BY flow_id, segment""")
 def _(spark, sf):

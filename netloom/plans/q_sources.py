@@ -32,7 +32,8 @@ def csv_counts(df):
                                    F.count_if(F.col("f1").isNull()).alias("n_null"), F.count_if(F.isnan("f3")).alias("n_nan"))
 
 
-@query("s1_csv_header", "", "SELECT unnest(['f1', 'f2', 'f3', 'f4', 'f5']) AS feature")
+@query("s1_csv_header", "", """SELECT column_name AS feature FROM (
+  SELECT unnest(['f1', 'f2', 'f3', 'f4', 'f5']) AS column_name) t WHERE (SELECT count(*) FROM lineitem) > 0""")
 def _(spark, sf):
     names = readers.csv_features(spark, csv_folder(spark, sf))
     return spark.createDataFrame([(n,) for n in names], "feature string")
@@ -43,6 +44,26 @@ def _(spark, sf):
     return csv_counts(readers.read_flows_csv(spark, csv_folder(spark, sf), readers.flow_schema(FEATS)))
 
 
+@query("s2_reordered_header", "raw_flows", CSV_COUNTS)
+def _(spark, sf):
+    """Columns written in another order, with one more, are still found by name."""
+    path = scratch(spark, "csv")
+    spark.read.option("header", True).csv(csv_folder(spark, sf)).select(
+        "label", F.lit("x").alias("extra"), *reversed(FEATS)).write.option("header", True).csv(path)
+    return csv_counts(readers.read_flows_csv(spark, path, readers.flow_schema(FEATS)))
+
+
+@query("s2_bad_lines", "raw_flows", """SELECT l AS label, count(*) AS n, count(*) FILTER (WHERE bad) AS n_bad
+FROM (SELECT flow_no % 50 = 0 AS bad, CASE WHEN flow_no % 50 = 0 THEN NULL ELSE label END AS l FROM raw_flows) t GROUP BY l""")
+def _(spark, sf):
+    """Every fiftieth flow is written with a word in place of a number; those lines are kept apart and counted."""
+    path = scratch(spark, "csv")
+    broken = F.when(F.col("flow_no") % 50 == 0, "broken").otherwise(F.col("f1").cast("string"))
+    raw(spark, sf).select(broken.alias("f1"), "f4", "f5", "label").write.option("header", True).csv(path)
+    back = readers.read_flows_csv(spark, path, readers.flow_schema(["f1", "f4", "f5"]), bad_lines="column")
+    return back.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(readers.BAD_LINE).isNotNull()).alias("n_bad"))
+
+
 @query("s3_row_limited_scan", "raw_flows", "SELECT flow_no, label FROM raw_flows ORDER BY flow_no, part_no, supp_no LIMIT 1000")
 def _(spark, sf):
     return readers.first_rows(raw(spark, sf), RAW_KEY, 1000).select("flow_no", "label")
@@ -115,7 +136,7 @@ def scored_flows46(spark, sf):
 @query("s10_latest_snapshot", "packets", f"""{segmented_sql(DAY)}, {RECORD_SQL}
 SELECT proto AS protocol, proto IN ('TCP', 'UDP') AS is_attack, count(*) AS n, count(start_ts) AS n_timestamps FROM records GROUP BY proto""")
 def _(spark, sf):
-    folder, rows = scratch(spark, "sniffer"), scored_flows46(spark, sf)
+    folder, rows = scratch(spark, "scored"), scored_flows46(spark, sf)
     writers.write_scored(rows.filter("is_attack"), folder, datetime(2025, 1, 1))
     writers.write_scored(rows, folder, datetime(2025, 1, 2))
     return readers.latest_predictions(spark, folder).groupBy("protocol", "is_attack").agg(
@@ -125,7 +146,7 @@ def _(spark, sf):
 @query("k5_scored_csv", "packets", """SELECT count(*) AS n FROM packets HAVING count(*) > 0""")
 def _(spark, sf):
     # the packet counts of all written flows add up to the packets read
-    path = writers.write_scored(scored_flows46(spark, sf), scratch(spark, "sniffer"))
+    path = writers.write_scored(scored_flows46(spark, sf), scratch(spark, "scored"))
     back = spark.read.schema(readers.SCORED_SCHEMA).option("header", True).csv(path)
     return back.agg(F.sum("Number").cast("long").alias("n"))
 

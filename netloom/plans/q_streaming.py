@@ -9,6 +9,7 @@ from netloom.plans.q_alerts import DECIDED, decided
 from netloom.plans.q_flows import DAY, RECORD_SQL, features_sql, segmented_sql, shown
 from netloom.plans.registry import query
 from netloom.plans.views import VIEW_SQL, table, view
+from netloom.session import scratch
 from netloom.sources.readers import packet_stream
 from netloom.streaming import flows as stream
 
@@ -51,19 +52,19 @@ def _(spark, sf):
     return shown(stream.flow_stream(view(spark, sf, "packets"), DAY), SHOWN)
 
 
-@query("t4_scored_stream", "packets", f"""{segmented_sql(DAY)}, {RECORD_SQL},
-closed AS (SELECT * FROM records WHERE epoch_us(last_ts) + {DAY * 1_000_000 - 1} <= {CLOSED})
+@query("t4_scored_stream", "packets", f"""{segmented_sql(DAY)}, {RECORD_SQL}
 SELECT proto AS protocol, CASE proto WHEN 'TCP' THEN 'DDoS' WHEN 'UDP' THEN 'DoS' ELSE 'Benign' END AS predicted_class,
-  proto IN ('TCP', 'UDP') AS is_attack, count(*) AS n FROM closed GROUP BY proto
-UNION ALL SELECT 'blocked sources', '', true, count(DISTINCT src_ip) FILTER (WHERE proto IN ('TCP', 'UDP')) FROM closed""")
+  proto IN ('TCP', 'UDP') AS is_attack, count(*) AS n FROM records GROUP BY proto
+UNION ALL SELECT 'blocked sources', '', true, count(DISTINCT src_ip) FILTER (WHERE proto IN ('TCP', 'UDP')) FROM records""")
 def _(spark, sf):
-    """A tree learned on the batch flows scores the same flows as they leave the stream."""
+    """A tree learned on the batch flows scores the same flows as they leave the stream, and those still open at its end."""
     known = flows.flow_features(view(spark, sf, "packets"), DAY).withColumn(
         models.LABEL, F.when(F.col("TCP") == 1, 2).when(F.col("UDP") == 1, 3).otherwise(0))
     scaler = encode.fit_scaler(known, flows.FEATURES)
     rows = stream.scaled_training_rows(known, scaler)
     model = models.fit(models.decision_tree(stream.scaled_names(scaler), max_depth=5), rows)
-    scored, blocked = stream.monitor(view_stream(spark, sf, "packets"), model, scaler, "monitor", DAY)
+    packets = view(spark, sf, "packets")
+    scored, blocked = stream.monitor(view_stream(spark, sf, "packets"), model, scaler, scratch(spark, "monitor"), DAY, recorded=packets)
     per_class = scored.groupBy("protocol", "predicted_class", "is_attack").agg(F.count(F.lit(1)).alias("n"))
     sources = blocked.agg(F.count(F.lit(1)).alias("n"))
     return per_class.unionByName(sources.select(
@@ -106,3 +107,30 @@ def _(spark, sf):
     streamed = stream.run_counters(stream.counter_stream(decided_stream(spark, sf)), "counters").select("blocked_flows")
     batch = decided(spark, sf).agg(F.count_if("blocked").alias("n"))
     return batch.join(streamed, F.col("n") == F.col("blocked_flows")).select("n")
+
+
+@query("s14_packet_limit", "packets", "SELECT least(count(*), 1000) AS n FROM packets")
+def _(spark, sf):
+    """A live run may end after a number of packets."""
+    out = stream.run_append(view_stream(spark, sf, "packets").limit(1000), "packets")
+    return out.agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s14_many_files", "packets", features_sql(DAY, SHOWN))
+def _(spark, sf):
+    """Packets arriving as several files, one per batch, in time order; open flows are flushed at the end."""
+    folder, rows = scratch(spark, "arriving"), view(spark, sf, "packets")
+    rows.repartitionByRange(4, "ts").write.parquet(folder)
+    arriving = packet_stream(spark, folder, rows.schema, max_files=1)
+    out = stream.run_append(stream.flow_stream(arriving, DAY), "flows")
+    return shown(out.unionByName(stream.flush_tail(rows, out, DAY)), SHOWN)
+
+
+@query("t7_kpi_refresh", "decided", f"""{DECIDED}
+SELECT count(*) AS total_flows, count(*) FILTER (WHERE is_attack) AS attack_count, count(*) FILTER (WHERE blocked) AS blocked_flows,
+  count(DISTINCT src_ip) FILTER (WHERE blocked) AS blocked_ips, count(DISTINCT src_ip) AS unique_ips, round(avg(confidence), 6) AS avg_confidence,
+  round(100.0 * count(*) FILTER (WHERE is_attack) / count(*), 6) AS attack_rate FROM alerts""")
+def _(spark, sf):
+    per_source = stream.run_counters(stream.kpi_stream(decided_stream(spark, sf)), "kpis")
+    return stream.kpis_of(per_source).select("total_flows", "attack_count", "blocked_flows", "blocked_ips", "unique_ips",
+                                             F.round("avg_confidence", 6).alias("avg_confidence"), F.round("attack_rate", 6).alias("attack_rate"))

@@ -1,9 +1,11 @@
-"""Session set-up and the shared scratch folder."""
+"""Session set-up, the shared scratch folder and run folders."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import SparkSession
@@ -17,10 +19,19 @@ SETTINGS = {
     # merge adjacent packets of a session before the shuffle, so a hot flow
     # leaves each task as a few partial sessions
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # streaming state lives on local disk, backed by the checkpoint, not in executor memory
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # long texts: few rows per batch that crosses to Python
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
+class NoSharedFolder(RuntimeError):
+    """Raised on a cluster without a folder that all executors see."""
+
+
 def build_session(app: str = "netloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -39,20 +50,44 @@ def adopt(spark: SparkSession) -> SparkSession:
 
 
 @cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="netloom-")
+def _one_machine_root() -> tempfile.TemporaryDirectory:
+    """Removed when this process ends."""
+    return tempfile.TemporaryDirectory(prefix="netloom-", ignore_cleanup_errors=True)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors see; a local one only where none is named."""
-    root = (spark.conf.get("spark.checkpoint.dir", None)
-            or spark.sparkContext.getCheckpointDir() or _local_root())
+    """The folder all executors see. Only a local master, one machine by definition, may do without a setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _one_machine_root().name
     return root.rstrip("/")
 
 
+_RUNS: list[str] = []
+
+
+@contextmanager
+def run_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """Keep what a flow writes on its way in one folder and delete it at the end.
+
+    Read or write the flow's results inside the block: tables made in it are gone afterwards.
+    """
+    path = scratch(spark, name)
+    _RUNS.append(path)
+    try:
+        yield path
+    finally:
+        _RUNS.remove(path)
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; never reused, so never cleared."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path under the innermost run folder or else the shared folder; never reused."""
+    return f"{_RUNS[-1] if _RUNS else shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialise(df, name: str = "step"):

@@ -37,10 +37,38 @@ def flow_schema(features=FEATURES, label: str = "label") -> T.StructType:
                         + [T.StructField(label, T.StringType())])
 
 
-def read_flows_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Typed, splittable CSV scan (a file, a folder or a glob) that keeps infinities."""
-    return (spark.read.schema(schema).option("header", True).option("nanValue", "NaN")
-            .option("positiveInf", "inf").option("negativeInf", "-inf").csv(path))
+BAD_LINE = "_bad_line"
+
+
+def read_csv_by_name(spark: SparkSession, path: str, schema: T.StructType | str, bad_lines: str = "fail", **options) -> DataFrame:
+    """Typed, splittable CSV scan (a file, a folder or a glob) that binds columns by their names in the header.
+
+    A missing column is an error, further columns are left out, and every file must have the same header. A line that does
+    not fit (in the columns used later) ends the job with ``bad_lines="fail"``; with ``"column"`` it is kept as text in ``_bad_line``, other cells null.
+    """
+    if bad_lines not in ("fail", "column"):
+        raise ValueError(f"unknown treatment of bad lines {bad_lines!r}")
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    header = spark.read.option("header", True).csv(path).columns
+    if missing := [f.name for f in wanted if f.name not in header]:
+        raise ValueError(f"columns {missing} not found in the header of {path}")
+    kinds = {f.name: f.dataType for f in wanted}
+    fields = [T.StructField(c, kinds.get(c, T.StringType())) for c in header]
+    reader = spark.read.option("header", True).option("enforceSchema", False).options(**options)
+    names = [f"`{f.name}`" for f in wanted]
+    if bad_lines == "fail":
+        return reader.schema(T.StructType(fields)).option("mode", "FAILFAST").csv(path).select(*names)
+    rows = reader.schema(T.StructType([*fields, T.StructField(BAD_LINE, T.StringType())])).option(
+        "columnNameOfCorruptRecord", BAD_LINE).csv(path)
+    # a length is never negative, but the planner does not know it: all cells are parsed, whichever columns are used later
+    never = F.length(F.concat_ws(",", *[F.col(f"`{c}`").cast("string") for c in header])) < 0
+    rows = rows.withColumn(BAD_LINE, F.coalesce(BAD_LINE, F.when(never, "")))
+    return rows.select(*[F.when(F.col(BAD_LINE).isNull(), F.col(n)).alias(n.strip("`")) for n in names], BAD_LINE)
+
+
+def read_flows_csv(spark: SparkSession, path: str, schema: T.StructType | str, bad_lines: str = "fail") -> DataFrame:
+    """Flow records by column name; infinities and NaN are kept."""
+    return read_csv_by_name(spark, path, schema, bad_lines, nanValue="NaN", positiveInf="inf", negativeInf="-inf")
 
 
 def first_rows(df: DataFrame, order, n: int) -> DataFrame:
@@ -91,12 +119,12 @@ def latest_predictions(spark: SparkSession, folder: str) -> DataFrame:
     newest = files.agg(F.max(F.struct("modificationTime", "snapshot")).alias("m")).first()["m"]
     if newest is None:
         raise FileNotFoundError(f"no predictions in {folder}")
-    rows = spark.read.schema(SCORED_SCHEMA).option("header", True).csv(newest["snapshot"])
+    rows = read_csv_by_name(spark, newest["snapshot"], SCORED_SCHEMA)
     return rows.withColumn("timestamp", F.to_timestamp("timestamp"))
 
 
 def read_comparison(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(COMPARISON_SCHEMA).option("header", True).csv(path)
+    return read_csv_by_name(spark, path, COMPARISON_SCHEMA)
 
 
 def model_inventory(spark: SparkSession, root: str) -> DataFrame:

@@ -7,9 +7,11 @@ is one microsecond shorter, because a window merges packets at exactly its gap.
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from netloom.functions.columns import percent
 from netloom.operators import alerts, encode, flows, models
 from netloom.session import scratch
 
@@ -74,30 +76,94 @@ def timeline_stream(decided: DataFrame, width: str = "1 hour", watermark: str =
             .select(F.col("w.start").alias("hour"), "is_attack", "n"))
 
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
-    """Drain all input into a Parquet table in the shared folder and read it back."""
+def kpi_stream(decided: DataFrame) -> DataFrame:
+    """Counts per source, for complete mode; ``kpis_of`` sums them up. State is one row per source, so sources are counted exactly."""
+    return decided.groupBy("src_ip").agg(
+        F.count(F.lit(1)).alias("flows"), F.count_if("is_attack").alias("attacks"), F.count_if("blocked").alias("blocked"),
+        F.sum("confidence").alias("confidence"))
+
+
+def kpis_of(per_source: DataFrame) -> DataFrame:
+    """The traffic figures of ``alerts.traffic_kpis`` from counts per source."""
+    total = per_source.agg(
+        F.coalesce(F.sum("flows"), F.lit(0)).alias("total_flows"), F.coalesce(F.sum("attacks"), F.lit(0)).alias("attack_count"),
+        F.coalesce(F.sum("blocked"), F.lit(0)).alias("blocked_flows"), F.count_if(F.col("blocked") > 0).alias("blocked_ips"),
+        F.count("src_ip").alias("unique_ips"), (F.sum("confidence") / F.sum("flows")).alias("avg_confidence"))
+    return total.withColumns({"benign_count": F.col("total_flows") - F.col("attack_count"),
+                              "attack_rate": percent(F.col("attack_count"), F.col("total_flows")),
+                              "block_rate": percent(F.col("blocked_flows"), F.col("attack_count"))})
+
+
+DRAIN = {"availableNow": True}
+
+
+def start_append(stream: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append to a Parquet table. Started again with the same two folders, it goes on where it stopped.
+
+    Without a trigger it runs until stopped; ``DRAIN`` ends it when the present input is used up.
+    """
+    writer = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start(out)
+
+
+def run_append(stream: DataFrame, name: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Drain all present input and read the table back; folders of its own unless given."""
     spark = stream.sparkSession
-    out, ckpt = scratch(spark, f"{name}-out"), scratch(spark, f"{name}-ckpt")
-    query = (stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", ckpt)
-             .trigger(availableNow=True).start(out))
-    query.awaitTermination()
+    out, checkpoint = out or scratch(spark, f"{name}-out"), checkpoint or scratch(spark, f"{name}-ckpt")
+    start_append(stream, out, checkpoint, DRAIN).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_counters(stream: DataFrame, name: str) -> DataFrame:
-    """Drain a complete-mode aggregate; each batch replaces the one before by its number."""
-    spark = stream.sparkSession
-    out, ckpt = scratch(spark, f"{name}-out"), scratch(spark, f"{name}-ckpt")
+class Snapshots:
+    """A small table that each batch replaces: one folder per batch number, of which the last two stay.
+
+    A batch that runs again finds the state before it and writes the same result.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema):
+        self.spark, self.root, self.schema = spark, root, schema
+        self.folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+        self.files = self.folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def numbers(self) -> list[int]:
+        if not self.files.exists(self.folder):
+            return []
+        names = [s.getPath().getName() for s in self.files.listStatus(self.folder)]
+        return sorted(int(n.removeprefix("batch_")) for n in names if n.startswith("batch_"))
+
+    def path(self, number: int) -> str:
+        return f"{self.root}/batch_{number}"
+
+    def before(self, number: int) -> DataFrame:
+        earlier = [n for n in self.numbers() if n < number]
+        return self.read(earlier[-1]) if earlier else self.spark.createDataFrame([], self.schema)
+
+    def read(self, number: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path(number))
 
-    def keep(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch_{epoch}")
+    def last(self) -> DataFrame:
+        numbers = self.numbers()
+        return self.read(numbers[-1]) if numbers else self.spark.createDataFrame([], self.schema)
 
-    query = (stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", ckpt)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    done = spark.read.option("recursiveFileLookup", True).parquet(out)
-    last = done.agg(F.max("epoch")).first()[0]
-    return done.filter(F.col("epoch") == last).drop("epoch")
+    def write(self, df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(self.path(number))
+        for old in [n for n in self.numbers() if n < number][:-1]:
+            self.files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path(old)), True)
+
+
+def start_snapshots(stream: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keep the result of a complete-mode aggregate as the latest snapshot under ``out``."""
+    kept = Snapshots(stream.sparkSession, out, stream.schema)
+    writer = stream.writeStream.outputMode("complete").foreachBatch(kept.write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def run_counters(stream: DataFrame, name: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Drain a complete-mode aggregate and read its latest snapshot."""
+    spark = stream.sparkSession
+    out, checkpoint = out or scratch(spark, f"{name}-out"), checkpoint or scratch(spark, f"{name}-ckpt")
+    start_snapshots(stream, out, checkpoint, DRAIN).awaitTermination()
+    return Snapshots(spark, out, stream.schema).last()
 
 
 def flush_tail(packets: DataFrame, emitted: DataFrame, timeout_s: int = 60) -> DataFrame:
@@ -112,32 +178,56 @@ def flush_tail(packets: DataFrame, emitted: DataFrame, timeout_s: int = 60) -> D
     return flows.flow_features(left, timeout_s)
 
 
-def monitor(packets: DataFrame, model: PipelineModel, scaler: dict, name: str, timeout_s: int = 60,
-            threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """packets -> flows -> scores -> decisions, with the block list kept beside them.
+class Monitor:
+    """packets -> flows -> scores -> decisions, with the block list beside them, in a folder that outlives a run.
 
-    Each batch appends its scored flows and merges its sources into the block
-    list by anti-join, so a replayed batch blocks nobody twice.
+    Each batch writes its scored flows under its number and the block list as a snapshot, so a batch that runs again
+    changes nothing. A monitor made with the same folder goes on where the last one stopped.
     """
-    spark = packets.sparkSession
-    out, ckpt = scratch(spark, f"{name}-scored"), scratch(spark, f"{name}-ckpt")
-    blocked = scratch(spark, f"{name}-blocked")
-    scored = score_flows(flow_stream(packets, timeout_s), model, scaler, threshold)
-
-    def land(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch_{epoch}")
-        stored = spark.read.schema(batch.schema).parquet(f"{out}/epoch_{epoch}")
-        found = alerts.block_list(stored.withColumn("ts", F.col("start_ts")), "flow_id")
-        if epoch:
-            known = (spark.read.schema(found.schema).option("recursiveFileLookup", True).parquet(blocked)
-                     .filter(F.col("_metadata.file_path").contains("/epoch_")
-                             & (F.regexp_extract("_metadata.file_path", r"/epoch_(\d+)/", 1).cast("long") < epoch)))
-            found = found.join(known, "src_ip", "left_anti")
-        found.write.mode("overwrite").parquet(f"{blocked}/epoch_{epoch}")
-
-    query = (scored.writeStream.foreachBatch(land).option("checkpointLocation", ckpt)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    read = lambda p, s: spark.read.schema(s).option("recursiveFileLookup", True).parquet(p)
-    listed = alerts.block_list(scored.withColumn("ts", F.col("start_ts")), "flow_id").schema
-    return read(out, scored.schema), read(blocked, listed)
+
+    def __init__(self, packets: DataFrame, model: PipelineModel, scaler: dict, root: str, timeout_s: int = 60,
+                 threshold: float = 0.8, max_packets: int | None = None):
+        self.spark, self.model, self.scaler, self.root = packets.sparkSession, model, scaler, root
+        self.timeout_s, self.threshold = timeout_s, threshold
+        packets = packets if max_packets is None else packets.limit(max_packets)
+        self.scored = score_flows(flow_stream(packets, timeout_s), model, scaler, threshold)
+        self.list_schema = self._sources(self.scored).schema
+        self.blocks = Snapshots(self.spark, f"{root}/blocked", self.list_schema)
+
+    @staticmethod
+    def _sources(scored: DataFrame) -> DataFrame:
+        return alerts.block_list(scored.withColumn("ts", F.col("start_ts")), "flow_id")
+
+    def _land(self, batch: DataFrame, number: int) -> None:
+        path = f"{self.root}/scored/batch_{number}"
+        batch.write.mode("overwrite").parquet(path)
+        found = self._sources(self.spark.read.schema(batch.schema).parquet(path))
+        known = self.blocks.before(number)
+        self.blocks.write(known.unionByName(found.join(known, "src_ip", "left_anti")), number)
+
+    def start(self, trigger: dict | None = None) -> StreamingQuery:
+        """Run until stopped, or to the end of the present input with ``DRAIN``."""
+        writer = self.scored.writeStream.foreachBatch(self._land).option("checkpointLocation", f"{self.root}/checkpoint")
+        return (writer.trigger(**trigger) if trigger else writer).start()
+
+    def finish(self, packets: DataFrame) -> None:
+        """Score and block the flows that were still open when the input ended; ``packets`` is the input as a table."""
+        tail = score_flows(flush_tail(packets, self.flows(), self.timeout_s), self.model, self.scaler, self.threshold)
+        numbers = self.blocks.numbers()
+        self._land(tail.select(*self.scored.columns), numbers[-1] + 1 if numbers else 0)
+
+    def flows(self) -> DataFrame:
+        return self.spark.read.schema(self.scored.schema).option("recursiveFileLookup", True).parquet(f"{self.root}/scored")
+
+    def blocked(self) -> DataFrame:
+        return self.blocks.last()
+
+
+def monitor(packets: DataFrame, model: PipelineModel, scaler: dict, root: str, timeout_s: int = 60, threshold: float = 0.8,
+            recorded: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Drain the present input under ``root``; with ``recorded``, the same packets as a table, open flows are scored too."""
+    run = Monitor(packets, model, scaler, root, timeout_s, threshold)
+    run.start(DRAIN).awaitTermination()
+    if recorded is not None:
+        run.finish(recorded)
+    return run.flows(), run.blocked()

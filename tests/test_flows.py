@@ -140,3 +140,55 @@ def test_header_needs_the_label(spark, tmp_path):
     assert readers.csv_features(spark, f"{tmp_path}/a") == ["f"]
     with pytest.raises(ValueError):
         readers.csv_features(spark, f"{tmp_path}/a", "missing")
+
+
+def test_monitor_goes_on_after_a_stop(spark):
+    """Stopped after the first file and started again for two more, it scores and blocks what the batch form does."""
+    from netloom.operators import encode, flows as ops, models
+    from netloom.plans.views import view
+    packets = view(spark, SF, "packets")
+    parts, day = [packets.filter(f"pkt_id % 3 = {i}") for i in range(3)], 86_400
+    bounds = packets.selectExpr("unix_micros(min(ts)) a", "unix_micros(max(ts)) b").first()
+    cut = [bounds["a"] + (bounds["b"] - bounds["a"]) * i // 3 for i in range(4)]
+    parts = [packets.filter(f"unix_micros(ts) >= {cut[i]} AND unix_micros(ts) {'<' if i < 2 else '<='} {cut[i + 1]}") for i in range(3)]
+    known = ops.flow_features(packets, day).selectExpr("*", f"CASE WHEN TCP = 1 THEN 2 WHEN UDP = 1 THEN 3 ELSE 0 END AS {models.LABEL}")
+    scaler = encode.fit_scaler(known, ops.FEATURES)
+    model = models.fit(models.decision_tree(stream.scaled_names(scaler), max_depth=5), stream.scaled_training_rows(known, scaler))
+    folder, root = scratch(spark, "arriving"), scratch(spark, "monitor")
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        if i != 1:                                                  # the second file waits until the third is there
+            run = stream.Monitor(readers.packet_stream(spark, folder, packets.schema), model, scaler, root, day)
+            run.start(stream.DRAIN).awaitTermination()
+    run.finish(packets)
+    got = sorted((r["flow_id"], r["start_ts"], r["Number"]) for r in run.flows().collect())
+    assert got == sorted((r["flow_id"], r["start_ts"], r["Number"]) for r in ops.flow_features(packets, day).collect())
+    blocked = [r["src_ip"] for r in run.blocked().collect()]
+    assert len(blocked) == len(set(blocked)) and set(blocked) == {r["src_ip"] for r in run.flows().filter("blocked").collect()}
+    assert len(run.blocks.numbers()) <= 2
+
+
+def test_recent_blocks(spark):
+    """With bounded state a source may be reported again, never missed."""
+    folder = scratch(spark, "decided")
+    rows = [(T0 + timedelta(seconds=i), f"10.0.0.{i % 3}", i % 3 < 2) for i in range(30)]
+    spark.createDataFrame(rows, "ts timestamp, src_ip string, blocked boolean").coalesce(1).write.parquet(folder)
+    source = spark.readStream.schema("ts timestamp, src_ip string, blocked boolean").parquet(folder)
+    out = stream.run_append(stream.block_stream_recent(source), "recent")
+    assert {r["src_ip"] for r in out.collect()} == {"10.0.0.0", "10.0.0.1"}
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from netloom.session import NoSharedFolder, run_folder, shared_root
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(
+        getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(NoSharedFolder):
+        shared_root(bare)
+    with run_folder(spark, "flow") as path:
+        kept = scratch(spark, "step")
+        assert kept.startswith(path)
+        spark.range(3).write.parquet(kept)
+    import os
+    assert not os.path.exists(path)

@@ -151,7 +151,7 @@ def test_minority_first_drops_empty_majority(spark):
 
 
 def test_generation_targets(spark):
-    t = {r["cls"]: r["to_generate"] for r in quotas.generation_targets(counts(spark, a=1_000_000, b=700_000, c=790_001, d=5)).collect()}
+    t = {r["cls"]: r["to_generate"] for r in quotas.generation_targets(counts(spark, a=1_000_000, b=700_000, c=790_001, d=5), cap=100_000).collect()}
     assert t == {"a": 0, "b": 100_000, "c": 9_999, "d": 100_000}
 
 
