@@ -308,7 +308,9 @@ def verified(docs: DataFrame, members: DataFrame) -> DataFrame:
                 out = part.assign(set=[s.tobytes() for s in made])[right]
                 yield out[["comp", "blocks", "cls", "docs", "set"]].drop_duplicates("cls")
 
-    texts = members.join(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep").select("comp", "blocks", "cls", "docs", "text")
+    # one way to fetch texts at every size: the member table grows with the input and is never broadcast
+    texts = members.hint("merge").join(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep").select(
+        "comp", "blocks", "cls", "docs", "text")
     block = F.pmod(F.xxhash64("cls"), "blocks").cast("int")
     spread = texts.mapInPandas(sets, "comp binary, blocks int, cls binary, docs long, set binary").withColumn("mine", block).withColumn(
         "its", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
