@@ -141,7 +141,7 @@ def points_of(train):
     return train.select("event_id", *FEATURES, LABEL)
 
 
-GRID = ("Decision Tree", "SVM"), ("original", "smote", "borderline", "adasyn", "conditional")
+GRID = ("Decision Tree", "Random Forest"), ("original", "smote", "borderline", "adasyn", "conditional")
 
 
 @query("m8_train_grid", "", f"""SELECT a AS algorithm, d AS dataset, (SELECT count(*) FROM events) > 0 AS success
@@ -152,7 +152,7 @@ def _(spark, sf):
     variants = {"original": train.select(*FEATURES, LABEL)}
     for method in GRID[1][1:]:
         variants[method] = materialise(augment(points_of(train), method, "event_id", FEATURES, LABEL)["final"], f"variant-{method}")
-    _, log = models.train_grid(spark, variants, {"Decision Tree": models.decision_tree(FEATURES), "SVM": models.linear_svm(FEATURES)}, LABEL)
+    _, log = models.train_grid(spark, variants, {"Decision Tree": models.decision_tree(FEATURES), "Random Forest": models.random_forest(FEATURES)}, LABEL)
     return log.select("algorithm", "dataset", "success")
 
 
