@@ -171,7 +171,7 @@ def mix(docs: DataFrame) -> DataFrame:
     rows = materialise(placed(row, sources), "mix")
     drawn = pieces(rows.select("si", "at", "size")).join(draws(sources).hint("merge"), ["si", "block"]).groupBy("si", "at", "epoch").agg(
         F.sort_array(F.collect_list(F.struct("from", "words"))).alias("parts"), F.sum("words").alias("n"))
-    joined = rows.join(drawn, ["si", "at"]).where("size > 0")
+    joined = rows.join(drawn.hint("merge"), ["si", "at"]).where("size > 0")
     text = F.when(F.col("n") == F.col("size"), F.col("row.text")).otherwise(runs(F.col("row.text"), F.col("parts")))
     taken = joined.select(*(F.col(f"row.{c}").alias(c) for c in names if c != "text"), text.alias("text")).select(*names)
     return taken.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else taken

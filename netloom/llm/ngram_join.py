@@ -362,7 +362,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without all but one of each group: the one with the smallest id stays. Rows that share an id stay or go together,
     but for exact repeats, of which one stays; rows without an id stay."""
     stay = links(docs).where("doc_id = group_id").select("doc_id").distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi")
+    known = docs.where(F.col("doc_id").isNotNull()).join(stay.hint("merge"), "doc_id", "left_semi")
     text, row = fresh(docs, "_text"), fresh(docs, "_row")
     first = F.row_number().over(Window.partitionBy("doc_id", text).orderBy(F.lit(1)))
     known = known.withColumn(text, F.xxhash64("text")).withColumn(row, first).where(F.col(row) == 1)
