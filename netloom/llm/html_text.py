@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE_PAGES = 500               # labelled pages the potentials are counted on
+SAMPLE_PAGES = 500               # labelled pages the potentials are counted on,
+SAMPLE_CHARS = 100_000           # none of them longer than this, so that the sample is small on the driver
 EVIDENCE = {"block": 0.5, "part": 0.25}   # exponents: neighbouring blocks, and parts of a block, repeat each other's evidence
 SEED_WEIGHT = 20                 # a page labelled here counts as much as so many sampled ones
 
@@ -305,8 +306,8 @@ def main_text(page: str | None, model: Model) -> str:
 
 
 def learned(pages: DataFrame, html: str = "html") -> Model:
-    """Potentials counted on a bounded sample: the pages with the smallest hashes."""
-    sample = pages.where(F.col(html).isNotNull()).select(html).orderBy(F.xxhash64(html)).limit(SAMPLE_PAGES)
+    """Potentials counted on a bounded sample: the pages with the smallest hashes, very long ones left aside."""
+    sample = pages.where(F.length(html) <= SAMPLE_CHARS).select(html).orderBy(F.xxhash64(html)).limit(SAMPLE_PAGES)
     return trained([r[0] for r in sample.collect()])
 
 
