@@ -124,8 +124,11 @@ def segment_slots(partials: DataFrame, timeout_s: int) -> DataFrame:
 
 def flow_records(packets: DataFrame, timeout_s: int = 60) -> DataFrame:
     """One row of merged measures per flow and segment."""
-    segments = segment_slots(slot_partials(packets, timeout_s), timeout_s)
-    return segments.groupBy("flow_id", "segment").agg(*_merge_aggregates())
+    return merged_slots(slot_partials(packets, timeout_s), timeout_s)
+
+
+def merged_slots(slots: DataFrame, timeout_s: int = 60) -> DataFrame:
+    return segment_slots(slots, timeout_s).groupBy("flow_id", "segment").agg(*_merge_aggregates())
 
 
 def feature_columns(iat_compat: bool = False):
@@ -200,7 +203,8 @@ def inter_arrival(packets: DataFrame, slot_s: int = 10) -> DataFrame:
     up in a table of slot edges. No window spans a whole hot flow.
     """
     slot = F.floor(F.unix_micros("ts") / F.lit(slot_s * 1_000_000)).cast("long")
-    keyed = with_flow_id(packets).withColumn("slot", slot)
+    usable = packets.filter(F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull())
+    keyed = with_flow_id(usable).withColumn("slot", slot)
     timeline = W.partitionBy("flow_id").orderBy("slot")
     edges = (keyed.groupBy("flow_id", "slot").agg(F.max("ts").alias("_last"))
              .select("flow_id", "slot", F.lag("_last").over(timeline).alias("_prev")))

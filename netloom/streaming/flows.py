@@ -170,12 +170,14 @@ def flush_tail(packets: DataFrame, emitted: DataFrame, timeout_s: int = 60) -> D
     """Flows still open when the input ended, from the packets after each flow's last emission.
 
     Sessions of a flow leave in time order, so whatever follows the last emitted
-    one is exactly what the stream still held.
+    one is exactly what the stream still held. Packets are first reduced per flow and
+    slot of the timeout's width, whose packets all belong to one session, so the
+    join carries at most one row per flow and slot.
     """
     last = emitted.groupBy("flow_id").agg(F.max("last_ts").alias("_done"))
-    left = (flows.with_flow_id(packets).join(last, "flow_id", "left")
-            .filter(F.col("_done").isNull() | (F.col("ts") > F.col("_done"))).drop("flow_id", "_done"))
-    return flows.flow_features(left, timeout_s)
+    slots = flows.slot_partials(packets, timeout_s).join(last, "flow_id", "left")
+    left = slots.filter(F.col("_done").isNull() | (F.col("start_ts") > F.col("_done"))).drop("_done")
+    return flows.merged_slots(left, timeout_s).select(*flows.flow_keys(), *flows.feature_columns())
 
 
 class Monitor:
