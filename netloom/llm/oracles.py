@@ -16,8 +16,8 @@ m AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
     coalesce(lin.dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lin.n, 0) AS n_lines
   FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lin USING (doc_id)),
 r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines AS soft,
-    200 * n_symbols > 10 * word_chars OR 200 * n_dup_lines > 30 * n_lines AS strict FROM m),
+    100 * n_symbols > 5 * word_chars OR 100 * n_dup_lines > 50 * n_lines AS soft,
+    200 * n_symbols > 5 * word_chars OR 200 * n_dup_lines > 50 * n_lines AS strict FROM m),
 h AS (SELECT source, count(*) AS docs, CAST(sum(CASE WHEN base_failed OR soft THEN 1 ELSE 0 END) AS BIGINT) AS f FROM r GROUP BY source),
 s AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(f * 1000000 // docs) AS DOUBLE) AS a,
   CAST(sum((f * 1000000 // docs) * (f * 1000000 // docs)) AS DOUBLE) AS b FROM h),

@@ -31,8 +31,8 @@ class Limits:
     """Hard limits fail a document anywhere; soft ones count against its host and bind where the host is no model."""
     min_words: int = 50
     max_repeat_pct: int = 50
-    max_symbol_pct: int = 10          # symbols per 100 characters of words
-    max_dup_line_pct: int = 30        # repeated lines per 100 lines with a word
+    max_symbol_pct: int = 5           # symbols per 100 characters of words
+    max_dup_line_pct: int = 50        # repeated lines per 100 lines with a word
     trusted_below: float = 0.02       # shrunk failure rate of a host that only the hard limits bind
     bad_above: float = 0.5            # shrunk failure rate of a host whose soft limits are halved
 
