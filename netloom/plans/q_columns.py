@@ -210,14 +210,6 @@ def _(spark, sf):
     return profile.preview(raw(spark, sf), RAW_KEY).select("flow_no", "label", "f4")
 
 
-@query("p26_train_only_rule", "raw_flows", """
-SELECT split, label, count(*) * (CASE WHEN split = 'train' THEN 2 ELSE 1 END) AS n FROM raw_flows GROUP BY split, label""")
-def _(spark, sf):
-    from netloom.plans.augment import augment_train_only
-    return (augment_train_only(raw(spark, sf), lambda train: train.unionByName(train))
-            .groupBy("split", "label").agg(F.count(F.lit(1)).alias("n")))
-
-
 @query("j1_lookup_join", "raw_flows", f"""{TAXONOMY_SQL}
 SELECT macro, macro_code, count(*) AS n FROM raw_flows JOIN taxonomy USING (label) GROUP BY macro, macro_code""")
 def _(spark, sf):

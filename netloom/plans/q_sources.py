@@ -12,7 +12,7 @@ from netloom.plans.q_flows import DAY, RECORD_SQL, segmented_sql
 from netloom.plans.q_metrics import TAGGED_METRICS, model_metrics
 from netloom.plans.registry import query
 from netloom.plans.views import RAW_KEY, table, view
-from netloom.session import scratch
+from netloom.session import materialise, scratch
 from netloom.sources import readers, writers
 
 CSV_COUNTS = """SELECT label, count(*) AS n, count(*) FILTER (WHERE isinf(f2)) AS n_infinite,
@@ -107,14 +107,29 @@ def _(spark, sf):
                                              (F.max("rows") <= 5_000).alias("bounded"))
 
 
-@query("s9_split_loader", "raw_flows", """
-SELECT 'smote' AS variant, 'train' AS split, 2 * count(*) AS n FROM raw_flows WHERE split = 'train'
-UNION ALL SELECT 'original', split, count(*) FROM raw_flows WHERE split <> 'train' GROUP BY split""")
+# the points split by id; SMOTE raises each class of train that has two rows at least
+SPLIT_POINTS_SQL = """parts AS (SELECT id, cls, CASE WHEN id % 10 < 7 THEN 'train' WHEN id % 10 < 9 THEN 'test' ELSE 'val' END AS split FROM vectors),
+sizes AS (SELECT cls, count(*) AS n FROM parts WHERE split = 'train' GROUP BY cls), top AS (SELECT max(n) AS m FROM sizes)"""
+
+
+def split_points(spark, sf):
+    part = F.when(F.col("id") % 10 < 7, "train").when(F.col("id") % 10 < 9, "test").otherwise("val")
+    return view(spark, sf, "vectors").withColumn("split", part)
+
+
+def raised_by_smote(train):
+    """Train points with the synthetic ones, told apart by is_synthetic."""
+    return synth.merge_synthetic(train.select("cls", "vec"), synth.smote(train.select("id", "cls", "vec")).select("cls", "vec", "is_synthetic"))
+
+
+@query("s9_split_loader", "vectors", f"""{SPLIT_POINTS_SQL}
+SELECT 'smote' AS variant, 'train' AS split, CAST(sum(CASE WHEN n > 1 THEN m ELSE n END) AS BIGINT) AS n FROM sizes, top
+UNION ALL SELECT 'original', split, count(*) FROM parts WHERE split <> 'train' GROUP BY split""")
 def _(spark, sf):
-    root, rows = scratch(spark, "variants"), raw(spark, sf)
+    root, rows = scratch(spark, "variants"), split_points(spark, sf)
     train = rows.filter("split = 'train'")
-    both = rows.withColumn("variant", F.lit("original")).unionByName(
-        train.unionByName(train).withColumn("variant", F.lit("smote")))
+    both = rows.select("cls", "vec", F.lit(False).alias("is_synthetic"), "split").withColumn("variant", F.lit("original")).unionByName(
+        raised_by_smote(train).withColumns({"split": F.lit("train"), "variant": F.lit("smote")}))
     writers.write_table(both, root, ["variant", "split"])
     parts = readers.load_splits(spark, root, "smote")
     out = None
@@ -125,6 +140,21 @@ def _(spark, sf):
     return out
 
 
+@query("p26_train_only_rule", "vectors", f"""{SPLIT_POINTS_SQL}
+SELECT 'train' AS split, cls, CASE WHEN n > 1 THEN m ELSE n END AS n FROM sizes, top
+UNION ALL SELECT split, cls, count(*) FROM parts WHERE split <> 'train' GROUP BY split, cls""")
+def _(spark, sf):
+    """SMOTE reaches train only; test and validation stay as they are."""
+    from netloom.plans.augment import augment_train_only
+    rows = split_points(spark, sf)
+
+    def change(train):
+        return raised_by_smote(train).select("cls", "vec").withColumn("split", F.lit("train"))
+
+    return augment_train_only(rows.select("id", "cls", "vec", "split"), lambda t: change(t).withColumn("id", F.lit(None).cast("long"))).groupBy(
+        "split", "cls").agg(F.count(F.lit(1)).alias("n"))
+
+
 def scored_flows46(spark, sf):
     """Flows with 46 features and a decision from their protocol and size."""
     rows = flows.flow_features(view(spark, sf, "packets"), DAY)
@@ -199,11 +229,14 @@ def _(spark, sf):
     return spark.read.parquet(path).groupBy("is_synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("k3_augmentation_info", "raw_flows", """SELECT 'original' AS phase, label AS class, count(*) AS n, 'SMOTE' AS method FROM raw_flows GROUP BY label
-UNION ALL SELECT 'sample', label, count(*), 'SMOTE' FROM raw_flows WHERE split = 'train' GROUP BY label""")
+@query("k3_augmentation_info", "vectors", f"""{SPLIT_POINTS_SQL}
+SELECT phase, CAST(cls AS VARCHAR) AS class, CASE WHEN phase IN ('original', 'sample') OR n < 2 THEN n ELSE m END AS n, 'SMOTE' AS method
+FROM sizes, top, (SELECT unnest(['original', 'sample', 'augmented', 'final']) AS phase) p""")
 def _(spark, sf):
-    path, rows = scratch(spark, "info"), raw(spark, sf)
-    writers.write_augmentation_info(path, "SMOTE", "label", {"original": rows, "sample": rows.filter("split = 'train'")})
+    """The record of a SMOTE run over all of train: four phases."""
+    path, train = scratch(spark, "info"), split_points(spark, sf).filter("split = 'train'")
+    final = materialise(raised_by_smote(train), "final")
+    writers.write_augmentation_info(path, "SMOTE", "cls", {"original": train, "sample": train, "augmented": final, "final": final})
     return spark.read.json(path).select("phase", "class", "n", "method")
 
 
