@@ -60,12 +60,19 @@ def source_table(sized: DataFrame) -> DataFrame:
         rows, "source string, si int, source_size long, target double, n_blocks long, n_bins int, quota double")
 
 
-def placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """The rows with si, bin and at: where on its source's line of words a document begins."""
+def binned(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """The rows with their source's figures and the bin they belong to on its line."""
     side = sources.select(F.col("source").alias("_src"), "si", "n_bins", "source_size", "target")
-    rows = sized.join(F.broadcast(side), F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
-    rows = rows.withColumn("bin", F.pmod(F.xxhash64("doc_id", "size"), F.greatest("n_bins", F.lit(1))).cast("int"))
-    bins = rows.groupBy("si", "bin").agg(F.sum("size").alias("words"))
+    rows = rows.join(F.broadcast(side), F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
+    return rows.withColumn("bin", F.pmod(F.xxhash64("doc_id", "size"), F.greatest("n_bins", F.lit(1))).cast("int"))
+
+
+def placed(rows: DataFrame, sized: DataFrame, sources: DataFrame) -> DataFrame:
+    """The rows with si and at: where on its source's line of words a document begins.
+
+    ``sized`` holds the same documents as ids, sources and sizes only; the bins' sums are taken from it.
+    """
+    rows, bins = binned(rows, sources), binned(sized, sources).groupBy("si", "bin").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("si").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
     bins = bins.select("si", "bin", F.coalesce(before, F.lit(0)).alias("bin_at"))
     inside = F.sum("size").over(Window.partitionBy("si", "bin").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
@@ -148,7 +155,7 @@ def report(docs: DataFrame) -> DataFrame:
     sized = materialise(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.regexp_count(
         F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("long").alias("size")), "mix")
     sources = source_table(sized)
-    rows = placed(sized, sources)
+    rows = placed(sized, sized, sources)
     keys = ["si", "at", "doc_id", "size", "source_size", "target"]
     times = draws(sources).groupBy("si", "block").agg(F.count(F.lit(1)).alias("times"))
     taken = pieces(rows.select(*keys)).join(times.hint("merge"), ["si", "block"], "left").groupBy(*keys).agg(
@@ -166,9 +173,9 @@ def mix(docs: DataFrame) -> DataFrame:
     names = docs.columns
     row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(
         F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("long").alias("size"), F.struct(*names).alias("row"))
-    row = materialise(row, "mix")
-    sources = source_table(row)
-    rows = materialise(placed(row, sources), "mix")
+    sized = materialise(row.drop("row"), "mix")
+    sources = source_table(sized)
+    rows = materialise(placed(row, sized, sources), "mix")
     drawn = pieces(rows.select("si", "at", "size")).join(draws(sources).hint("merge"), ["si", "block"]).groupBy("si", "at", "epoch").agg(
         F.sort_array(F.collect_list(F.struct("from", "words"))).alias("parts"), F.sum("words").alias("n"))
     joined = rows.join(drawn.hint("merge"), ["si", "at"]).where("size > 0")
