@@ -1,7 +1,7 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Candidates are grouped by length into bands of a fixed ratio, and a band is cut into blocks of bounded size. The longest
-band gives every query a first threshold, its k-th best product there. A query then visits only blocks whose longest vector could still
+vectors and as many others give every query a first threshold, its k-th best product among them. A query then visits only blocks whose longest vector could still
 beat its threshold. Inside a block the local cosine threshold picks the pruning: by length where any angle would
 do, by coordinates where the angle must be small. What is left is verified by exact products.
 
@@ -24,7 +24,7 @@ from netloom.session import materialise
 
 BLOCK_ROWS = 512                 # candidates in a block, queries in a block
 BAND_RATIO = 1.1                 # lengths in a band differ at most by this factor
-SEED_ROWS = 1024                 # longest vectors that give the first thresholds
+SEED_ROWS = 4096                 # vectors that give the first thresholds, half of them the longest, half by hash
 COSINE_FOR_COORDINATES = 0.6     # from this local cosine threshold on, coordinates prune better than length
 FOCUS = 3                        # coordinates looked at
 EXACT = float(2 ** 53)
@@ -109,8 +109,9 @@ def top_k(vectors: DataFrame, k: int = 20, query_if: Column | None = None, vec_i
     bands = rows.groupBy("dim", "band").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest"))
     bands = bands.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
 
-    # First thresholds from the longest vectors of each dimension: a bounded table by its limit.
-    seeds = rows.orderBy(F.desc("length"), "vec_id").limit(SEED_ROWS).select("vec_id", "q", "dim", "length")
+    # First thresholds from some of the vectors: a bounded table by its limits.
+    seeds = rows.orderBy(F.desc("length"), "vec_id").limit(SEED_ROWS // 2).union(
+        rows.orderBy(F.xxhash64("vec_id", "q"), "vec_id").limit(SEED_ROWS // 2)).select("vec_id", "q", "dim", "length").distinct()
     query_blocks = F.ceil(F.lit(picked.count()) / BLOCK_ROWS).cast("int")
     queries = picked.select(F.col("vec_id").alias("query_id"), "q", "dim", "length",
                             F.pmod(F.xxhash64("vec_id"), F.greatest(query_blocks, F.lit(1))).cast("int").alias("qb"))
