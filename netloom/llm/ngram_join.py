@@ -4,9 +4,9 @@
    are compared, so copies cost nothing.
 2. A signature of TREES x DEPTH minhashes per class is a path in each of TREES prefix tries. The matched prefix starts at
    full depth and is shortened as long as the target recall for pairs at the threshold is not reached.
-   A trie node with too many classes is left again for its longer prefixes; such classes are many near copies of each
-   other, which other trees and other members tie together.
-3. Inside a trie node, signatures are compared, and those that could belong to similar sets are tied by a spanning forest.
+   Every class stays at that depth. A trie node with many classes is cut into blocks by their hashes.
+3. Inside a block, then between every two blocks of a node, each two in a task of their own, signatures are compared, and those
+   that could belong to similar sets are tied by a spanning forest. What a block has tied already is not compared again.
    Components of these ties hold every pair that any trie proposes, and more.
 4. Within a component all sets are compared exactly, block against block. Verified links give link counts and groups.
 
@@ -20,6 +20,7 @@ empty table gives an empty result; texts are read whole, whatever their length;
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ SHINGLE, TREES, DEPTH = 5, 16, 8
 NUM, DEN = 4, 5                     # similarity NUM / DEN or more is a link
 TARGET_RECALL = 0.9995
 MAYBE = 0.6                         # share of equal minhashes from which a pair is worth an exact look; 0.8 less over five deviations
-NODE_CLASSES, BLOCK = 1024, 256     # most classes compared in a trie node; classes in a block of a component
+NODE_CLASSES, BLOCK = 1024, 256     # classes in a block of a trie node, and of a component
 BATCH_BYTES = 2 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -129,23 +130,14 @@ def profiles(docs: DataFrame) -> DataFrame:
 # --- candidates ----------------------------------------------------------------
 
 def forest_nodes(classes: DataFrame) -> DataFrame:
-    """tree, prefix, cls, sig of the classes that share a trie node, at the depth adapted to the recall and the node's size."""
-    depth = prefix_depth()
+    """tree, prefix, block, blocks, cls, sig of the classes that share a trie node, at the depth the recall asks for."""
     start = F.col("tree") * (2 * DEPTH) + 1
     paths = classes.select("cls", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig").select(
-        "cls", "tree", F.substring("sig", start, F.lit(2 * DEPTH)).alias("path"))
-    found, many = None, paths
-    while True:
-        prefix = F.substring("path", F.lit(1), F.lit(2 * depth))
-        level = materialise(many.withColumn("prefix", prefix).withColumn("here", F.count(F.lit(1)).over(
-            Window.partitionBy("tree", "prefix"))).where("here > 1"), "forest")
-        few = level if depth == DEPTH else level.where(F.col("here") <= NODE_CLASSES)
-        few = few.select("tree", "prefix", "cls")
-        found = few if found is None else found.union(few)
-        many = level.where(F.col("here") > NODE_CLASSES).select("cls", "tree", "path")
-        if depth == DEPTH or many.isEmpty():
-            return found.join(classes.select("cls", "sig"), "cls")
-        depth += 1
+        "cls", "tree", F.substring("sig", start, F.lit(2 * prefix_depth())).alias("prefix"))
+    level = paths.withColumn("here", F.count(F.lit(1)).over(Window.partitionBy("tree", "prefix"))).where("here > 1")
+    blocks = F.ceil(F.col("here") / NODE_CLASSES).cast("int")
+    cut = level.select("cls", "tree", "prefix", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"))
+    return cut.join(classes.select("cls", "sig"), "cls").select("tree", "prefix", "block", "blocks", "cls", "sig")
 
 
 class Forest:
@@ -205,38 +197,65 @@ def _bounds(frame: pd.DataFrame, keys: list[str]) -> list[tuple[int, int]]:
     return list(zip(starts, [*starts[1:], len(frame)]))
 
 
-def maybe_similar(sigs: np.ndarray) -> np.ndarray:
-    """Position pairs whose signatures agree often enough; a node beyond its limit is walked in blocks with one overlap."""
-    n, out = len(sigs), []
-    step = n if n <= NODE_CLASSES else NODE_CLASSES
-    for low in range(0, n, step):
-        block = sigs[max(0, low - 1):low + step]
-        offset = max(0, low - 1)
-        for i in range(len(block) - 1):
-            hit = np.flatnonzero((block[i + 1:] == block[i]).mean(axis=1) >= MAYBE)
-            out.append(np.column_stack([np.full(len(hit), offset + i), offset + i + 1 + hit]))
-    return np.concatenate(out) if out else np.empty((0, 2), int)
+def agreement(sigs: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """How many minhashes of each signature equal those of one: flags are summed eight at a time, as the bytes of a word."""
+    words = (sigs == sig).view(U).sum(axis=1, dtype=U)
+    return (words * U(0x0101010101010101)) >> U(56)
+
+
+def signature_ties(sigs: np.ndarray, label: np.ndarray, cut: int = 0) -> list[tuple[int, int]]:
+    """A spanning forest of the positions whose signatures agree often enough. Positions with equal labels are tied already; labels are
+    brought up to date in place. With a cut, only positions before it are compared with those from it on."""
+    least, out = math.ceil(MAYBE * TREES * DEPTH), []
+    for i in range(cut or len(sigs) - 1):
+        low = cut or i + 1
+        apart = low + np.flatnonzero(label[low:] != label[i])
+        for j in apart[agreement(sigs[apart], sigs[i]) >= least].tolist() if len(apart) else ():
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _signatures(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint16).reshape(-1, TREES * DEPTH)
 
 
 def candidate_ties(nodes: DataFrame) -> DataFrame:
     """a, b: ties between classes that may be similar, a spanning forest per trie node."""
-    keys = ["tree", "prefix"]
+    keys = ["tree", "prefix", "block"]
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _runs(batches, keys):
-            sigs = np.frombuffer(b"".join(frame["sig"]), np.uint16).reshape(len(frame), -1)
-            cls = frame["cls"].tolist()
-            pairs = []
+            sigs, cls, blocks = _signatures(b"".join(frame["sig"])), frame["cls"].tolist(), frame["blocks"].tolist()
+            at, out = [], []
             for low, high in _bounds(frame, keys):
-                if high - low == 2:
-                    if (sigs[low] == sigs[low + 1]).mean() >= MAYBE:
-                        pairs.append((low, low + 1))
-                elif high - low > 2:
-                    pairs += [(low + a, low + b) for a, b in spanning(maybe_similar(sigs[low:high]), high - low)]
-            if pairs:
-                yield pd.DataFrame({"a": [cls[max(p, key=lambda i: cls[i])] for p in pairs], "b": [cls[min(p, key=lambda i: cls[i])] for p in pairs]})
-    spread = nodes.repartition(*keys).sortWithinPartitions(*keys, "sig", "cls")
-    return spread.mapInPandas(rows, "a binary, b binary")
+                label = np.arange(high - low, dtype=np.int32)
+                pairs = signature_ties(sigs[low:high], label)
+                if pairs or blocks[low] > 1:
+                    held = (b"".join(cls[low:high]), sigs[low:high].tobytes(), label.tobytes()) if blocks[low] > 1 else (None, None, None)
+                    at.append(low)
+                    out.append(([cls[low + j] for _, j in pairs], [cls[low + i] for i, _ in pairs], *held))
+            if at:
+                made = frame.iloc[at][[*keys, "blocks"]].reset_index(drop=True)
+                yield made.assign(**{c: list(v) for c, v in zip(("a", "b", "all", "sigs", "label"), zip(*out))})
+
+    def between(frame: pd.DataFrame) -> pd.DataFrame:
+        names, pairs = [], []
+        if len(frame) == 2:                                     # a block may have stayed empty
+            sigs, label = [_signatures(x) for x in frame["sigs"]], [np.frombuffer(x, np.int32) for x in frame["label"]]
+            names = [x[k:k + 16] for x in frame["all"] for k in range(0, len(x), 16)]
+            cut = len(sigs[0])
+            pairs = signature_ties(np.concatenate(sigs), np.concatenate([label[0], label[1] + cut]), cut)
+        return pd.DataFrame({"a": [max(names[i], names[j]) for i, j in pairs], "b": [min(names[i], names[j]) for i, j in pairs]}, dtype=object)
+
+    spread = nodes.repartition(*keys).sortWithinPartitions(*keys, "cls")
+    made = materialise(spread.mapInPandas(inside, "tree int, prefix binary, block int, blocks int, a array<binary>, b array<binary>, "
+                                          "all binary, sigs binary, label binary"), "forest")
+    ties = made.select(F.explode(F.arrays_zip("a", "b")).alias("t")).select("t.a", "t.b")
+    met = made.where("blocks > 1").withColumn("its", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("its <> block")
+    met = met.select("tree", "prefix", F.least("block", "its").alias("x"), F.greatest("block", "its").alias("y"), "all", "sigs", "label")
+    return ties.union(met.groupBy("tree", "prefix", "x", "y").applyInPandas(between, "a binary, b binary"))
 
 
 def components(ties: DataFrame) -> DataFrame:

@@ -412,6 +412,36 @@ def test_one_of_each_group_stays(spark):
     assert ngram_join.keep_one(docs.limit(0)).count() == 0
 
 
+def test_large_trie_nodes_lose_no_pair(spark, monkeypatch):
+    """Pages of one template, below 0.6 to each other, with one near copy each, crowd the trie nodes."""
+    monkeypatch.setattr(ngram_join, "NODE_CLASSES", 8)
+    template, texts = [f"t{k}" for k in range(80)], []
+    for p in range(150):
+        page = template + [f"p{p}w{k}" for k in range(44)]
+        texts += [" ".join(page), " ".join([*page[:100], f"n{p}", *page[101:114], f"m{p}", *page[115:]])]
+    want = brute_links(list(enumerate(texts)))
+    assert all(n == 1 for *_, n in want.values())
+    got = {r["doc_id"]: tuple(r)[1:] for r in ngram_join.links(documents(spark, texts)).collect()}
+    assert got == want
+
+
+def test_pairs_that_meet_in_a_large_node_only_are_tied(spark, monkeypatch):
+    """All pages share one prefix of one tree; each near copy agrees with its page elsewhere but for the first place of every path."""
+    monkeypatch.setattr(ngram_join, "NODE_CLASSES", 8)
+    rng, rows, want, depth = np.random.default_rng(6), [], set(), ngram_join.prefix_depth()
+    for p in range(40):
+        page = rng.integers(0, 2 ** 16, (ngram_join.TREES, ngram_join.DEPTH)).astype(np.uint16)
+        page[0, :depth] = 7
+        copy = page.copy()
+        copy[1:, 0] ^= 1
+        copy[0, depth] ^= 1
+        names = [hashlib.blake2b(b"%d-%d" % (p, k), digest_size=16).digest() for k in range(2)]
+        rows += [(n, s.tobytes()) for n, s in zip(names, (page, copy))]
+        want.add((max(names), min(names)))
+    ties = ngram_join.candidate_ties(ngram_join.forest_nodes(spark.createDataFrame(rows, "cls binary, sig binary")))
+    assert {(bytes(r["a"]), bytes(r["b"])) for r in ties.collect()} == want
+
+
 def test_forest_depth_reaches_the_recall():
     depth = ngram_join.prefix_depth()
     recall = lambda d: 1 - (1 - 0.8 ** d) ** ngram_join.TREES
