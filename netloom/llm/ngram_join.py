@@ -134,7 +134,9 @@ def forest_nodes(classes: DataFrame) -> DataFrame:
     start = F.col("tree") * (2 * DEPTH) + 1
     paths = classes.select("cls", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig").select(
         "cls", "tree", F.substring("sig", start, F.lit(2 * prefix_depth())).alias("prefix"))
-    level = paths.withColumn("here", F.count(F.lit(1)).over(Window.partitionBy("tree", "prefix"))).where("here > 1")
+    # counted by sums of parts and joined back by merge, which adaptive execution splits: no task holds a whole node
+    sizes = paths.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("here")).where("here > 1")
+    level = paths.join(sizes.hint("merge"), ["tree", "prefix"])
     blocks = F.ceil(F.col("here") / NODE_CLASSES).cast("int")
     cut = level.select("cls", "tree", "prefix", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"))
     return cut.join(classes.select("cls", "sig"), "cls").select("tree", "prefix", "block", "blocks", "cls", "sig")

@@ -442,6 +442,15 @@ def test_pairs_that_meet_in_a_large_node_only_are_tied(spark, monkeypatch):
     assert {(bytes(r["a"]), bytes(r["b"])) for r in ties.collect()} == want
 
 
+def test_no_task_holds_a_large_trie_node(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "NODE_CLASSES", 8)
+    profile = ngram_join.profiles(documents(spark, near_copies(5, 1, 120))).distinct()
+    nodes = ngram_join.forest_nodes(profile.select("cls", "sig"))
+    assert "Window" not in nodes._jdf.queryExecution().toString()
+    sizes = [r["count"] for r in nodes.groupBy("tree", "prefix", "block").count().collect()]
+    assert sum(sizes) > 1000 and max(sizes) <= 24
+
+
 def test_forest_depth_reaches_the_recall():
     depth = ngram_join.prefix_depth()
     recall = lambda d: 1 - (1 - 0.8 ** d) ** ngram_join.TREES
