@@ -1,8 +1,9 @@
 """Mix sources to target weights by drawing fixed-length blocks.
 
 Every source's documents are laid end to end and cut into blocks of a fixed number of words. The mix is a row of slots, dealt to output
-shards of a fixed size. Each shard draws its source counts: the whole part of the expected count is fixed, what is left of the
-shard is drawn from a multinomial over the fractions. A source's slots are numbered through its shards, and slot j maps to block
+shards of a fixed size. Every source's total is fixed first: its expected slots, rounded so that the totals add up and no cap is passed.
+The totals are then spread over the shards: the shards are halved again and again, and each half's counts are a multivariate
+hypergeometric draw, so every shard is filled and every source gets its total. Its slots are numbered through its shards; slot j maps to block
 ``permutation(j mod n)`` of epoch ``j div n``, a keyed pseudorandom permutation of the source's n blocks, so an epoch
 uses each block once and no document is taken more than three times. Slots and documents meet in a join by block.
 
@@ -17,6 +18,7 @@ rows are documents of their own; empty tables give empty results; only doc_id, t
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -100,38 +102,82 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def totals(quota: list[float], blocks: list[int]) -> np.ndarray:
+    """Whole slots of each source: quotas rounded down, and the largest fractions up, until they add up to the rounded sum; a source
+    with words gets one at least (so the sum may be passed), and none more than its cap."""
+    quota, cap = np.array(quota, float), MAX_REPEATS * np.array(blocks, np.int64)
+    out = np.minimum(np.floor(quota + 1e-6).astype(np.int64), cap)
+    out[(out == 0) & (quota > 0)] = 1
+    spare = int(round(quota.sum())) - int(out.sum())
+    able = np.flatnonzero((out < cap) & (out < quota - 1e-6))
+    out[able[np.argsort(out[able] - quota[able], kind="stable")[:max(spare, 0)]]] += 1
+    return out
+
+
+def shard_counts(total: np.ndarray, shards: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """The slots of each source in the given shards. A range of shards is halved by a draw seeded by the range, so all tasks agree;
+    sums by source are the totals, and every shard but the last is full."""
+    wanted, n_shards = set(shards), -(-int(total.sum()) // SHARD_SLOTS)
+    todo = [(0, n_shards, total)]
+    while todo:
+        low, high, n = todo.pop()
+        if not any(low <= s < high for s in wanted):
+            continue
+        if high - low == 1:
+            yield low, n
+            continue
+        half = (low + high) // 2
+        left = dealt(np.random.default_rng([SEED, low, high]), n, (half - low) * SHARD_SLOTS)
+        todo += [(half, high, n - left), (low, half, left)]
+
+
+def dealt(rng: np.random.Generator, n: np.ndarray, most: int) -> np.ndarray:
+    """A multivariate hypergeometric draw of ``most`` slots out of n, source by source; beyond the generator's
+    range by the normal that has the same mean and variance."""
+    out, rest = np.zeros_like(n), int(n.sum())
+    for i in np.flatnonzero(n).tolist():
+        rest -= int(n[i])
+        out[i] = drawn_of(rng, int(n[i]), rest, most)
+        most -= int(out[i])
+        if not most:
+            break
+    return out
+
+
+def drawn_of(rng: np.random.Generator, good: int, bad: int, most: int) -> int:
+    if good + bad < 10 ** 9:
+        return int(rng.hypergeometric(good, bad, most))
+    share = good * most / (good + bad)
+    spread = math.sqrt(max(0.0, share * bad * (good + bad - most)) / (good + bad) / (good + bad))
+    return min(good, most, max(0, most - bad, int(round(rng.normal(share, spread)))))
+
+
 def draws(sources: DataFrame) -> DataFrame:
     """si, block, epoch of every slot of the mix. It grows with the input although it starts from a short range, from which
     the optimiser would guess it small; joins with it must ask for a merge join."""
     spark = sources.sparkSession
     table = [r.asDict() for r in sources.orderBy("si").collect()]       # one row per source, bounded by MAX_SOURCES
-    quota = np.array([r["quota"] for r in table], float)
-    slots = int(round(quota.sum()))
+    blocks = [int(r["n_blocks"]) for r in table]
+    total = totals([r["quota"] for r in table], blocks)
+    slots = int(total.sum())
     if not slots:
         return spark.createDataFrame([], "si int, block long, epoch int")
-    share, n_shards = quota / quota.sum(), -(-slots // SHARD_SLOTS)
+    n_shards = -(-slots // SHARD_SLOTS)
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for shard in batch["id"]:
-                expected = share * min(SHARD_SLOTS, slots - int(shard) * SHARD_SLOTS)
-                fixed = np.floor(expected + 1e-9)
-                spare = int(round(expected.sum() - fixed.sum()))
-                part = np.maximum(expected - fixed, 0)
-                if spare > 0 and part.sum() > 0:
-                    fixed += np.random.default_rng([SEED, int(shard)]).multinomial(spare, part / part.sum())
-                si = np.flatnonzero(fixed)
-                yield pd.DataFrame({"si": si.astype(np.int32), "shard": int(shard), "n": fixed[si].astype(np.int64)})
+            for shard, n in shard_counts(total, batch["id"].tolist()):
+                si = np.flatnonzero(n)
+                yield pd.DataFrame({"si": si.astype(np.int32), "shard": shard, "n": n[si]})
 
     drawn = spark.range(n_shards, numPartitions=max(1, min(n_shards, 200))).mapInPandas(counts, "si int, shard long, n long")
     first = F.sum("n").over(Window.partitionBy("si").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     numbered = drawn.withColumn("first", F.coalesce(first, F.lit(0)))
-    blocks = [int(r["n_blocks"]) for r in table]
 
     def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for si, start, n in zip(batch["si"].tolist(), batch["first"].tolist(), batch["n"].tolist()):
-                slot = np.arange(start, min(start + n, MAX_REPEATS * blocks[si]), dtype=np.int64)
+                slot = np.arange(start, start + n, dtype=np.int64)
                 epochs = slot // blocks[si]
                 for e in np.unique(epochs):
                     index = slot[epochs == e] % blocks[si]

@@ -273,6 +273,27 @@ def test_mix_texts_follow_the_report(spark):
     assert got == want
 
 
+def test_small_sources_beside_a_large_one_get_their_slots(spark, monkeypatch):
+    """Sources of one full block each: three slots at their cap, however many shards there are."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 256)
+    block = " ".join(["w"] * mixing.BLOCK_WORDS)
+    rows = [(i, block, f"s{i:03}") for i in range(300)] + [(1000 + i, " ".join([block] * 30), "zz") for i in range(200)]
+    got = mixing.report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["taken"] for r in got if r["doc_id"] < 300} == {3 * mixing.BLOCK_WORDS}
+    large = [r for r in got if r["doc_id"] >= 1000]
+    assert sum(r["taken"] for r in large) == pytest.approx(large[0]["target"]) == (6300 - 900) * mixing.BLOCK_WORDS
+
+
+def test_totals_are_dealt_in_full(monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)
+    total = mixing.totals([0.0, 0.2, 3.0, 2.5, 1.4, 2000.7, 299.9], [0, 1, 1, 2, 1, 900, 100])
+    assert total.tolist() == [0, 1, 3, 2, 1, 2001, 300] and mixing.totals([], []).sum() == 0
+    parts = dict(mixing.shard_counts(total, list(range(37))))
+    assert sum(parts.values()).tolist() == total.tolist()
+    assert [int(parts[k].sum()) for k in range(37)] == [64] * 36 + [int(total.sum()) - 36 * 64]
+    assert all((n == parts[k]).all() for k, n in mixing.shard_counts(total, [5, 20]))
+
+
 def test_permutation():
     for n in (1, 2, 3, 10, 257):
         assert sorted(mixing.permuted(np.arange(n), n, 9)) == list(range(n))
