@@ -23,7 +23,7 @@ from netloom.session import materialise
 LISTED = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCKED = "=blocked"
-MIN_SUPPORT, MIN_PAGES, MIN_CONFIDENCE, MAX_TOKENS = 0.01, 20, 0.9, 2
+MIN_SUPPORT, MIN_PAGES, MIN_CONFIDENCE = 0.01, 20, 0.9
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -54,11 +54,15 @@ def tokens(host: Column, path: Column) -> Column:
 
 
 def mine(listed: DataFrame, n_pages: int) -> DataFrame:
-    """rule_id, antecedent of the rules "these tokens -> blocked"."""
+    """rule_id, antecedent of the rules "these tokens -> blocked", of any length, without those that hold all tokens of a shorter one."""
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(MIN_SUPPORT, MIN_PAGES / n_pages)), minConfidence=MIN_CONFIDENCE).fit(listed)
-    found = model.associationRules.where(
-        (F.get("consequent", F.lit(0)) == BLOCKED) & (F.size("antecedent") <= MAX_TOKENS))
-    return found.select(F.xxhash64(F.sort_array("antecedent")).alias("rule_id"), "antecedent")
+    found = model.associationRules.where(F.get("consequent", F.lit(0)) == BLOCKED)
+    found = materialise(found.select(F.xxhash64(F.sort_array("antecedent")).alias("rule_id"), "antecedent"), "url-rules")
+    held = found.select("rule_id", F.size("antecedent").alias("n"), F.explode("antecedent").alias("token"))
+    inner = held.select(F.col("rule_id").alias("inner"), F.col("n").alias("needed"), "token")
+    longer = held.join(inner, "token").where("needed < n").groupBy("rule_id", "inner").agg(
+        F.count(F.lit(1)).alias("met"), F.first("needed").alias("needed")).where("met = needed").select("rule_id").distinct()
+    return found.join(longer, "rule_id", "left_anti")
 
 
 def judge(pages: DataFrame, rules=LISTED) -> DataFrame:

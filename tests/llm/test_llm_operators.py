@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -519,3 +520,26 @@ def test_mined_rules_block_what_lists_point_to(spark):
     rows += [(900, "http://casino-900.b.com/x/"), (901, "http://calm.b.com/y/")]
     verdicts = {r["page_id"]: r["verdict"] for r in url_rules.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert verdicts[900] == "block" and verdicts[901] == "allow" and verdicts[500] == "allow"
+
+
+def test_mined_rules_of_three_tokens(spark):
+    """Three tokens are blocked together while each two of them are not; verdicts equal those of brute force over all combinations."""
+    urls = [f"http://a-{i}-b.net/c/" for i in range(60)]
+    urls += [f"http://a-{i}-b.org/q/" for i in range(60)] + [f"http://a-{i}-z.org/c/" for i in range(60)] + [f"http://y-{i}-b.org/c/" for i in range(60)]
+    urls += ["http://a-900-b.com/c/", "http://a-901-b.com/z/", "http://a-902-y.com/c/"]
+    pages = []
+    for url in urls:
+        host, path, _, verdict = brute_url(url)
+        labels = host.split(".")
+        found = [("h:", labels), ("w:", [w for x in labels if "-" in x for w in x.split("-")]), ("p:", path.split("/"))]
+        pages.append((verdict, frozenset(t + x for t, xs in found for x in xs if x and not x.isdigit())))
+    seen, blocked = collections.Counter(), collections.Counter()
+    for verdict, held in pages:
+        for k in range(1, len(held) + 1):
+            for combo in itertools.combinations(sorted(held), k):
+                seen[combo] += 1
+                blocked[combo] += verdict == "block"
+    rules = [set(c) for c, n in blocked.items() if n >= 20 and n / seen[c] >= 0.9]
+    want = {i: v or ("block" if any(r <= held for r in rules) else "allow") for i, (v, held) in enumerate(pages)}
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert got == want and [got[i] for i in (240, 241, 242)] == ["block", "allow", "allow"]
