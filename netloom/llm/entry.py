@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm import (
+    collocations,
     html_text,
     licenses,
+    merkle,
     mixing,
     ngram_join,
     oracles,
@@ -17,6 +19,7 @@ from netloom.llm import (
     quality_rules,
     rule_ensemble,
     secrets,
+    sharding,
     topk,
     url_rules,
 )
@@ -92,3 +95,18 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_url_filters", oracles.URL_RULES)
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op11_sharding")
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_collocation_mining", oracles.COLLOCATIONS)
+def op12_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+@query("op13_merkle_manifest", oracles.MERKLE)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))

@@ -84,3 +84,63 @@ SELECT d.doc_id,
   (SELECT count(*) FROM e WHERE e.a = d.doc_id) AS n_links
 FROM d
 """
+
+COLLOCATIONS = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, doc_id,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS t FROM d),
+w AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),
+one AS (SELECT lang, x AS phrase, count(*) AS f FROM (SELECT lang, unnest(w) AS x FROM w) GROUP BY ALL),
+g AS (SELECT lang, w, unnest(range(1, len(w))) AS i FROM w),
+two AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+three AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, count(*) AS f FROM g WHERE i + 2 <= len(w) GROUP BY ALL HAVING count(*) >= 10),
+c2 AS (SELECT t.lang, w1 || ' ' || w2 AS phrase, t.f AS a, x.f AS l, y.f AS r,
+    CAST(1000000::HUGEINT * t.f * t.f // (x.f::HUGEINT * y.f) AS BIGINT) AS score,
+    (SELECT max(f) FROM three z WHERE z.lang = t.lang AND ((z.w1 = t.w1 AND z.w2 = t.w2) OR (z.w2 = t.w1 AND z.w3 = t.w2))) AS longest
+  FROM two t JOIN one x ON x.lang = t.lang AND x.phrase = t.w1 JOIN one y ON y.lang = t.lang AND y.phrase = t.w2),
+c3 AS (SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3 AS phrase, t.f AS a, x.f AS f1, q.f AS f23, p.f AS f12, z.f AS f3,
+    CAST(1000000::HUGEINT * t.f * t.f // (x.f::HUGEINT * q.f) AS BIGINT) AS s1, CAST(1000000::HUGEINT * t.f * t.f // (p.f::HUGEINT * z.f) AS BIGINT) AS s2
+  FROM three t JOIN one x ON x.lang = t.lang AND x.phrase = t.w1 JOIN one z ON z.lang = t.lang AND z.phrase = t.w3
+  JOIN two p ON p.lang = t.lang AND p.w1 = t.w1 AND p.w2 = t.w2 JOIN two q ON q.lang = t.lang AND q.w1 = t.w2 AND q.w2 = t.w3),
+u AS (SELECT lang, phrase, a, l, r, score FROM c2 WHERE longest IS NULL OR 100 * longest < 50 * a
+  UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN f1 ELSE f12 END, CASE WHEN s1 <= s2 THEN f23 ELSE f3 END, least(s1, s2) FROM c3),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM one GROUP BY lang),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INT) AS rank FROM u)
+SELECT k.lang, rank, phrase, a, l, r, n, score FROM k JOIN n ON n.lang = k.lang WHERE rank <= 2000
+"""
+
+MERKLE = r"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) t(i))),
+d AS (SELECT *, coalesce(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+    || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+    || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 0 AS hit FROM documents, crc),
+e AS (SELECT *, CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other FROM d),
+f AS (SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(octet_length(encode(other)) || ':' || other, '-')) AS altered FROM e),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, count(*) OVER (PARTITION BY lang) AS n FROM f),
+t AS (SELECT lang, 0 AS level, rank AS i, leaf AS h, n FROM l
+  UNION ALL SELECT lang, max(level) + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 7) // 8) FROM t WHERE n > 1 GROUP BY lang, i // 8),
+s AS (SELECT lang, h AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rank, count(*) OVER () AS n FROM t WHERE n = 1),
+c AS (SELECT 0 AS level, rank AS i, subroot AS h, n FROM s
+  UNION ALL SELECT max(level) + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 7) // 8) FROM c WHERE n > 1 GROUP BY i // 8),
+way AS (SELECT lang, level, i, (SELECT coalesce(string_agg(y.h, '' ORDER BY y.i), '') FROM t y WHERE y.lang IS NOT DISTINCT FROM x.lang AND y.level = x.level AND y.i // 8 = x.i // 8 AND y.i < x.i) AS b,
+    (SELECT coalesce(string_agg(y.h, '' ORDER BY y.i), '') FROM t y WHERE y.lang IS NOT DISTINCT FROM x.lang AND y.level = x.level AND y.i // 8 = x.i // 8 AND y.i > x.i) AS a FROM t x WHERE n > 1),
+top AS (SELECT level, i, (SELECT coalesce(string_agg(y.h, '' ORDER BY y.i), '') FROM c y WHERE y.level = x.level AND y.i // 8 = x.i // 8 AND y.i < x.i) AS b,
+    (SELECT coalesce(string_agg(y.h, '' ORDER BY y.i), '') FROM c y WHERE y.level = x.level AND y.i // 8 = x.i // 8 AND y.i > x.i) AS a FROM c x WHERE n > 1),
+up AS (SELECT l.lang, l.rank AS leaf_rank, 0 AS level, l.rank AS i, altered AS h, '' AS proof, false AS crown FROM l
+  UNION ALL SELECT u.lang, u.leaf_rank, CASE WHEN w.level IS NULL AND NOT u.crown THEN 0 ELSE u.level + 1 END,
+    CASE WHEN w.level IS NOT NULL THEN u.i // 8 WHEN NOT u.crown THEN s.rank ELSE u.i // 8 END,
+    CASE WHEN w.level IS NOT NULL THEN sha256(w.b || u.h || w.a) WHEN NOT u.crown THEN u.h ELSE sha256(k.b || u.h || k.a) END,
+    CASE WHEN w.level IS NOT NULL THEN u.proof || w.b || w.a WHEN NOT u.crown THEN u.proof ELSE u.proof || k.b || k.a END,
+    w.level IS NULL
+  FROM up u LEFT JOIN way w ON NOT u.crown AND w.lang IS NOT DISTINCT FROM u.lang AND w.level = u.level AND w.i = u.i
+  JOIN s ON s.lang IS NOT DISTINCT FROM u.lang LEFT JOIN top k ON u.crown AND k.level = u.level AND k.i = u.i
+  WHERE NOT u.crown OR k.level IS NOT NULL),
+fin AS (SELECT lang, leaf_rank, arg_max(h, level) AS folded, arg_max(proof, level) AS proof FROM up WHERE crown GROUP BY lang, leaf_rank),
+root AS (SELECT h AS root FROM c WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM l JOIN fin ON fin.lang IS NOT DISTINCT FROM l.lang AND fin.leaf_rank = l.rank JOIN s ON s.lang IS NOT DISTINCT FROM l.lang, root
+"""
