@@ -179,7 +179,7 @@ def sums(tiles: DataFrame, least: int, answer: bool) -> DataFrame:
     """Frequent cells of every tile: one row with their ids and counts (its chunk is null), and, if asked for, one row for each chunk that
     brought some, with their places in that list."""
     def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        lang, tile, parts, part = key
+        lang, tile, parts, part = key[0], *map(int, key[1:])          # plain numbers: cells outgrow 32 bits
         i, j = tile >> 6, tile & 63
         brought = [np.frombuffer(c, cell_type(tile, parts)).astype(np.int64) for c in group["cells"]]
         cells, counts = added(np.concatenate(brought), np.concatenate([np.frombuffer(c, np.int32) for c in group["counts"]]).astype(np.int64))

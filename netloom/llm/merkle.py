@@ -53,7 +53,7 @@ def leaves(docs: DataFrame, altered: Column | None = None) -> DataFrame:
     rows = docs.select("doc_id", "lang", F.unhex(leaf(F.col("text"))).alias("leaf"),
                        F.unhex(leaf(F.col("text") if altered is None else altered)).alias("altered"),
                        F.monotonically_increasing_id().alias("row"))
-    placed = ranked(rows, ["lang"], [F.col("doc_id").asc_nulls_first(), F.col("leaf"), F.col("row")])
+    placed = ranked(materialise(rows, "digests"), ["lang"], [F.col("doc_id").asc_nulls_first(), F.col("leaf"), F.col("row")])
     return materialise(placed.select("lang", "doc_id", "leaf", "altered", "rank"), "leaves")
 
 
