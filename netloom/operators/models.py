@@ -7,14 +7,15 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, MultilayerPerceptronClassifier, OneVsRest,
-    OneVsRestModel, RandomForestClassifier)
+    DecisionTreeClassifier, LinearSVC, OneVsRest, OneVsRestModel, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.operators.boosting import BoostedTreesClassifier
 from netloom.operators.metrics import weighted_metrics, with_class_weight
+from netloom.operators.network import NetworkClassifier
 from netloom.taxonomy import macro_name
 
 LABEL, WEIGHT = "y_macro_encoded", "weight"
@@ -41,20 +42,20 @@ def random_forest(features, label=LABEL, weight=WEIGHT, n_estimators=100, max_de
         minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", impurity="gini", seed=seed, maxMemoryInMB=1024))
 
 
-def boosted_trees(features, label=LABEL, weight=None, n_estimators=100, max_depth=6, learning_rate=0.1,
-                  subsample=0.8, min_gain=0.1, seed=42) -> Pipeline:
-    """One boosted model per class; MLlib has no L1/L2 terms and no column sampling by share per tree."""
-    gbt = GBTClassifier(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate,
-                        subsamplingRate=subsample, minInfoGain=min_gain, seed=seed)
-    return _pipeline(features, OneVsRest(classifier=gbt, labelCol=label, parallelism=PARALLEL_FITS))
+def boosted_trees(features, label=LABEL, weight=None, n_classes=0, n_estimators=100, max_depth=6, learning_rate=0.1,
+                  subsample=0.8, columns=0.8, gamma=0.1, l1=0.1, l2=1.0, max_delta=1.0, seed=42) -> Pipeline:
+    """One softmax over all classes, second-order splits on histograms."""
+    return _pipeline(features, BoostedTreesClassifier(
+        labelCol=label, weightCol=weight or "", nClasses=n_classes, rounds=n_estimators, depth=max_depth, rate=learning_rate,
+        subsample=subsample, columns=columns, gamma=gamma, l1=l1, l2=l2, maxDelta=max_delta, seed=seed))
 
 
 def neural_network(features, n_classes: int, label=LABEL, weight=None, hidden=(128, 64), max_iter=50,
-                   batch=256, tol=1e-4, seed=42) -> Pipeline:
-    """Sigmoid layers trained by L-BFGS; ``tol`` ends training early in place of a patience count."""
-    return _pipeline(features, MultilayerPerceptronClassifier(
-        labelCol=label, layers=[len(features), *hidden, n_classes], maxIter=max_iter, blockSize=batch,
-        tol=tol, seed=seed))
+                   batch=256, tol=1e-4, patience=5, held_out=0.1, learning_rate=1e-3, l2=1e-4, seed=42) -> Pipeline:
+    """ReLU layers trained by Adam in mini-batches; stops when the loss of held-out rows has not fallen for ``patience`` epochs."""
+    return _pipeline(features, NetworkClassifier(
+        layers=[len(features), *hidden, n_classes], labelCol=label, weightCol=weight or "", maxIter=max_iter, batch=batch, rate=learning_rate,
+        l2=l2, heldOut=held_out, patience=patience, tol=tol, seed=seed))
 
 
 def linear_svm(features, label=LABEL, weight=None, max_iter=100, reg=0.01) -> Pipeline:
@@ -165,21 +166,20 @@ def root_split(spark: SparkSession, model: PipelineModel) -> DataFrame:
 
 
 def loss_curve(spark: SparkSession, model: PipelineModel) -> DataFrame:
-    """iteration, loss, and whether it is the best one so far."""
-    history = [float(x) for x in _classifier(model).summary().objectiveHistory]
-    best = history.index(min(history))
-    return spark.createDataFrame([(i, x, i == best) for i, x in enumerate(history)],
-                                 "iteration int, loss double, is_best boolean")
+    """epoch, loss on training and on held-out rows, and whether the model's weights are those of this epoch. Epoch 0 is untrained."""
+    net = _classifier(model)
+    best = net.getOrDefault("bestEpoch")
+    return spark.createDataFrame([(i, a, b, i == best) for i, a, b in net.history()],
+                                 "epoch int, train_loss double, held_out_loss double, is_best boolean")
 
 
 def network_summary(spark: SparkSession, model: PipelineModel) -> DataFrame:
     net = _classifier(model)
-    layers = [int(x) for x in net.getLayers()]
-    summary = net.summary()
+    layers, history = net.getOrDefault("layers"), net.history()
     return spark.createDataFrame(
-        [(layers[0], ",".join(map(str, layers[1:-1])), layers[-1], weight_count(layers),
-          int(summary.totalIterations), float(summary.objectiveHistory[-1]))],
-        "n_inputs int, hidden string, n_outputs int, n_weights long, iterations int, loss double")
+        [(layers[0], ",".join(map(str, layers[1:-1])), layers[-1], weight_count(layers), len(history) - 1, net.getOrDefault("bestEpoch"),
+          history[net.getOrDefault("bestEpoch")][2])],
+        "n_inputs int, hidden string, n_outputs int, n_weights long, epochs int, best_epoch int, loss double")
 
 
 def weight_count(layers) -> int:
