@@ -1,12 +1,12 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Candidates are grouped by length into bands of a fixed ratio, and a band is cut into blocks of bounded size. The longest
-vectors and as many others give every query a first threshold, its k-th best product among them. A query then visits only blocks whose longest vector could still
-beat its threshold. Inside a block the local cosine threshold picks the pruning: by length where any angle would
-do, by coordinates where the angle must be small. What is left is verified by exact products.
+vectors and as many others give every query a first threshold, its k-th best product among them. Queries then visit only bands whose longest vector
+could still beat a threshold. Inside a block a query's local cosine threshold picks the pruning: by length where any angle would do, by its
+strongest coordinate where the angle must be small. Both are ranges in sorted lists; what is left is verified by exact products.
 
-Queries and candidates meet in block pairs, so no task holds more than one block of each, and copies of a vector
-spread over blocks by their ids.
+Blocks are packed, so what travels is a block of vectors in narrow whole numbers; a task holds one block of candidates and a bounded number
+of query blocks, and copies of a vector spread over blocks by their ids.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do rows without an id; a repeated
 (id, vector) row counts once; rows that share the query's id are its own; vectors of another dimension are no candidates; ties go to
@@ -15,6 +15,8 @@ the smaller id; an empty table gives an empty result; other columns are not read
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,11 +24,11 @@ from pyspark.sql import functions as F
 
 from netloom.session import materialise
 
-BLOCK_ROWS = 512                 # candidates in a block, queries in a block
+BLOCK_ROWS = 2048                # candidates in a block, queries in a block
+TOGETHER = 32                    # query blocks that meet a candidate block in one task
 BAND_RATIO = 1.1                 # lengths in a band differ at most by this factor
 SEED_ROWS = 4096                 # vectors that give the first thresholds, half of them the longest, half by hash
 COSINE_FOR_COORDINATES = 0.6     # from this local cosine threshold on, coordinates prune better than length
-FOCUS = 3                        # coordinates looked at
 EXACT = float(2 ** 53)
 LONG = 2 ** 63 - 1
 PAIR_SCHEMA = "query_id long, vec_id long, score long"
@@ -60,45 +62,111 @@ def products(queries: np.ndarray, cands: np.ndarray) -> np.ndarray:
     return np.clip(exact, -LONG - 1, LONG).astype(np.int64)
 
 
-def survivors(q: np.ndarray, unit: np.ndarray, q_len: float, cands_unit: np.ndarray, lengths: np.ndarray, theta: float) -> np.ndarray:
-    """Which candidates of a block could reach theta with this query; never misses one."""
-    if theta <= 0 or q_len == 0:
-        return np.ones(len(lengths), bool)
-    slack = 1 - 1e-9
-    keep = lengths * q_len >= theta * slack
-    cosine = theta * slack / (q_len * lengths.max()) if keep.any() else 2.0
-    if COSINE_FOR_COORDINATES <= cosine <= 1:
-        for f in np.argsort(-np.abs(unit))[:FOCUS]:
-            spread = np.sqrt(max(0.0, (1 - cosine * cosine) * (1 - unit[f] ** 2))) + 1e-6
-            low = unit[f] * cosine - spread if unit[f] * cosine - spread > -1 and not unit[f] < -cosine else -1.0
-            high = unit[f] * cosine + spread if not unit[f] > cosine else 1.0
-            keep &= (cands_unit[:, f] >= low) & (cands_unit[:, f] <= high)
-    return keep
-
-
-def best_of_block(queries: pd.DataFrame, cands: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best candidates of one block for each query that may profit from it."""
-    out = {"query_id": [np.empty(0, np.int64)], "vec_id": [np.empty(0, np.int64)], "score": [np.empty(0, np.int64)]}
-    if not len(queries) or not len(cands):
-        return pd.DataFrame({c: v[0] for c, v in out.items()})
-    cands = cands.sort_values(["vec_id"], kind="stable")
-    qm, cm = np.stack(queries["q"].to_numpy()).astype(np.int64), np.stack(cands["q"].to_numpy()).astype(np.int64)
-    q_len, c_len = queries["length"].to_numpy(), cands["length"].to_numpy()
-    q_unit, c_unit = qm / np.maximum(q_len, 1e-300)[:, None], cm / np.maximum(c_len, 1e-300)[:, None]
-    ids, theta = cands["vec_id"].to_numpy(), queries["theta"].to_numpy()
-    for i, query_id in enumerate(queries["query_id"].to_numpy()):
-        at = np.flatnonzero(survivors(qm[i], q_unit[i], q_len[i], c_unit, c_len, theta[i]) & (ids != query_id))
-        if not len(at):
-            continue
-        score = products(qm[i:i + 1], cm[at])[0]
-        if np.isfinite(theta[i]):
-            at, score = at[score >= theta[i]], score[score >= theta[i]]
-        best = np.argsort(-score.astype(np.float64), kind="stable")[:k] if np.abs(score).max(initial=0) < EXACT else \
-            np.array(sorted(range(len(score)), key=lambda j: (-int(score[j]), j))[:k], dtype=int)
-        out["query_id"].append(np.full(len(best), query_id, np.int64))
-        out["vec_id"].append(ids[at[best]])
-        out["score"].append(score[best])
-    return pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
+def coordinate_range(u: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Between which values a unit vector's coordinate must lie to reach this cosine with one whose coordinate is u."""
+    spread = np.sqrt(np.maximum(0.0, (1 - cosine * cosine) * (1 - u * u))) + 1e-6
+    low, high = u * cosine - spread, u * cosine + spread
+    return np.where((low > -1) & ~(u < -cosine), low, -1.0), np.where(u > cosine, 1.0, high)
+
+
+def reached(q: np.ndarray, q_len: np.ndarray, theta: np.ndarray, c: np.ndarray, c_len: np.ndarray):
+    """Rows, columns and products of all pairs that reach their query's theta. The local cosine threshold of each query chooses
+    between candidates by length, a prefix of those sorted by it, and candidates by a coordinate, a range of those sorted by it; both are found by
+    binary search, and queries that share a list share one product. Never misses a pair."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        need = np.where(theta > 0, theta * (1 - 1e-9) / q_len, -np.inf)      # least length that could do; infinite where none does
+    cosine = need / max(float(c_len.max()), 1e-300)
+    alive, by_angle = cosine <= 1, cosine >= COSINE_FOR_COORDINATES
+    lists = []
+    by_length = np.flatnonzero(alive & ~by_angle)
+    if len(by_length):
+        order = np.argsort(c_len, kind="stable")
+        lists.append((by_length, order[np.searchsorted(c_len[order], need[by_length].min()):]))
+    by_angle = np.flatnonzero(alive & by_angle)
+    if len(by_angle):
+        q_unit, c_unit = q[by_angle] / q_len[by_angle, None], c / np.maximum(c_len, 1e-300)[:, None]
+        focus = np.argmax(np.abs(q_unit), axis=1)
+        for f in np.unique(focus):
+            mine = np.flatnonzero(focus == f)
+            low, high = coordinate_range(q_unit[mine, f], cosine[by_angle[mine]])
+            order = np.argsort(c_unit[:, f], kind="stable")
+            first = np.searchsorted(c_unit[order, f], low.min())
+            lists.append((by_angle[mine], order[first:np.searchsorted(c_unit[order, f], high.max(), side="right")]))
+    for rows, cols in lists:
+        score = products(q[rows], c[cols])
+        at, col = np.nonzero(score >= theta[rows, None])
+        yield rows[at], cols[col], score[at, col]
+
+
+def best_of_block(queries: Block, cands: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query id, candidate id and product of the k best candidates in one block of every query that may profit from it."""
+    found = [x for x in reached(queries.vectors, queries.lengths, queries.thetas, cands.vectors, cands.lengths)]
+    if not found:
+        return (np.empty(0, np.int64),) * 3
+    row, col, score = (np.concatenate(x) for x in zip(*found))
+    other = queries.ids[row] != cands.ids[col]
+    row, ids, score = row[other], cands.ids[col[other]], score[other]
+    order = np.lexsort((ids, -score if np.abs(score).max(initial=0) < EXACT else np.argsort(np.argsort([-int(x) for x in score.tolist()], kind="stable")), row)) \
+        if len(row) else np.empty(0, np.int64)
+    row, ids, score = row[order], ids[order], score[order]
+    first = np.searchsorted(row, row)
+    best = np.arange(len(row)) - first < k
+    return queries.ids[row[best]], ids[best], score[best]
+
+
+# --- blocks ------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Block:
+    ids: np.ndarray
+    vectors: np.ndarray
+    lengths: np.ndarray
+    thetas: np.ndarray
+
+    @staticmethod
+    def of(row) -> Block:
+        ids = np.frombuffer(row["ids"], np.int64)
+        return Block(ids, np.frombuffer(row["data"], row["kind"]).reshape(len(ids), -1).astype(np.int64), np.frombuffer(row["lengths"]), np.frombuffer(row["thetas"]))
+
+
+def packed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per block: its vectors in the narrowest whole numbers that hold them."""
+    types = ", ".join(f"{c} int" for c in keys)
+
+    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        vectors = np.stack(group["q"].to_numpy()).astype(np.int64)
+        kind = next(t for t in ("i1", "i2", "i4", "i8") if np.iinfo(t).min <= vectors.min() and vectors.max() <= np.iinfo(t).max)
+        thetas, lengths = group["theta"].to_numpy(float), group["length"].to_numpy(float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            reach = np.where(thetas > 0, thetas / lengths, 0.0)
+        return pd.DataFrame([(*map(int, key), group["id"].to_numpy(np.int64).tobytes(), kind, vectors.astype(kind).tobytes(), lengths.tobytes(),
+                              thetas.tobytes(), float(reach.min()), float(lengths.max()))],
+                            columns=[*keys, "ids", "kind", "data", "lengths", "thetas", "reach", "longest"])
+    return rows.groupBy(*keys).applyInPandas(
+        pack, f"{types}, ids binary, kind string, data binary, lengths binary, thetas binary, reach double, longest double")
+
+
+def meet(queries: DataFrame, cands: DataFrame, k: int) -> DataFrame:
+    """The best candidates in each block for the queries whose threshold the block can reach. A task holds one block of candidates and at most
+    ``TOGETHER`` blocks of queries, so a candidate block is sent once for so many query blocks."""
+    queries = queries.withColumn("qs", F.expr(f"qb div {TOGETHER}").cast("int"))
+    bands = F.broadcast(cands.groupBy("dim", "band").agg(F.max("longest").alias("_most"), (F.max("cb") + 1).alias("_blocks")))   # a row per ratio step
+
+    def visits(blocks: DataFrame) -> DataFrame:
+        seen = blocks.join(bands, "dim").where(F.col("reach") * (1 - 1e-9) <= F.col("_most")).drop("_most", "reach")
+        return seen.withColumn("cb", F.explode(F.sequence(F.lit(0), (F.col("_blocks") - 1).cast("int")))).drop("_blocks")
+    wanted = visits(queries.groupBy("dim", "qs").agg(F.min("reach").alias("reach")))
+    sent = cands.select("dim", "band", "cb", "ids", "kind", "data", "lengths", "thetas").join(wanted, ["dim", "band", "cb"])
+    sent = sent.select(*(F.col(c).alias(f"c_{c}") for c in sent.columns))
+    asked = visits(queries.select("dim", "qs", "ids", "kind", "data", "lengths", "thetas", "reach"))
+
+    def kernel(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        c = c.rename(columns=lambda name: name.removeprefix("c_"))
+        found = [best_of_block(Block.of(a), Block.of(b), k) for b in c.to_dict("records") for a in q.to_dict("records")]
+        found = [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64)] * 3
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
+    keys = ["dim", "band", "cb", "qs"]
+    return asked.groupBy(*keys).cogroup(sent.groupBy(*(f"c_{c}" for c in keys))).applyInPandas(kernel, PAIR_SCHEMA)
 
 
 def top_k(vectors: DataFrame, k: int = 20, query_if: Column | None = None, vec_id: str = "vec_id",
@@ -106,40 +174,24 @@ def top_k(vectors: DataFrame, k: int = 20, query_if: Column | None = None, vec_i
     """query_id, rank, vec_id, score: the k best other rows of every row that ``query_if`` picks (of all rows by default)."""
     rows = materialise(prepared(vectors, vec_id, vector, scale), "topk")
     picked = rows if query_if is None else rows.where(query_if)
-    bands = rows.groupBy("dim", "band").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest"))
-    bands = bands.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    line = lambda df, *more: df.select(F.col("vec_id").alias("id"), "q", "dim", "length", *more)
+    blank = F.lit(float("-inf")).alias("theta")
 
     # First thresholds from some of the vectors: a bounded table by its limits.
     seeds = rows.orderBy(F.desc("length"), "vec_id").limit(SEED_ROWS // 2).union(
         rows.orderBy(F.xxhash64("vec_id", "q"), "vec_id").limit(SEED_ROWS // 2)).select("vec_id", "q", "dim", "length").distinct()
-    query_blocks = F.ceil(F.lit(picked.count()) / BLOCK_ROWS).cast("int")
-    queries = picked.select(F.col("vec_id").alias("query_id"), "q", "dim", "length",
-                            F.pmod(F.xxhash64("vec_id"), F.greatest(query_blocks, F.lit(1))).cast("int").alias("qb"))
-    blank = queries.withColumn("theta", F.lit(float("-inf")))
-    first = _meet(blank.withColumn("cb", F.lit(0)), queries.select("dim", "qb").distinct().join(
-        F.broadcast(seeds), "dim").withColumn("cb", F.lit(0)), ["dim", "qb", "cb"], k)
-    reached = first.groupBy(F.col("query_id").alias("qid")).agg(F.min("score").cast("double").alias("least"), F.count(F.lit(1)).alias("n"))
-    queries = materialise(queries.join(reached, F.col("query_id") == F.col("qid"), "left").select(
-        "query_id", "q", "dim", "length", "qb", F.when(F.col("n") >= k, F.col("least")).otherwise(float("-inf")).alias("theta")), "topk")
-
-    # A query visits the bands whose longest vector can reach its threshold; a band table has one row per ratio step.
-    spread = queries.join(F.broadcast(bands), "dim").where(
-        (F.col("theta") <= 0) | (queries["length"] * F.col("longest") >= F.col("theta") * (1 - 1e-9)))
-    spread = spread.select("query_id", "q", "dim", "length", "theta", "qb", "band",
-                           F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("cb"))
-    wanted = spread.select("dim", "band", "qb").distinct()
-    cands = rows.join(F.broadcast(bands.select("dim", "band", "blocks")), ["dim", "band"]).withColumn(
-        "cb", F.pmod(F.xxhash64("vec_id", "q"), "blocks").cast("int"))
-    pairs = _meet(spread, cands.join(wanted, ["dim", "band"]).select("vec_id", "q", "length", "dim", "band", "qb", "cb"),
-                  ["dim", "band", "qb", "cb"], k)
+    seeds = packed(line(seeds, F.lit(0).alias("band"), F.pmod(F.xxhash64("vec_id", "q"), F.lit(max(1, SEED_ROWS // BLOCK_ROWS))).cast("int").alias("cb"),
+                        blank), ["dim", "band", "cb"])
+    n_blocks = max(1, -(-picked.count() // BLOCK_ROWS))
+    queries = line(picked, F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("qb"))
+    first = meet(packed(queries.withColumn("theta", F.lit(float("-inf"))), ["dim", "qb"]), seeds, k)
+    kth = F.sort_array(F.collect_list("score"), asc=False)                          # at most k for each of the seeds' few blocks
+    least = first.groupBy(F.col("query_id").alias("_id")).agg(F.get(kth, F.lit(k - 1)).cast("double").alias("least"))
+    queries = queries.join(least, F.col("id") == F.col("_id"), "left").withColumn("theta", F.coalesce("least", F.lit(float("-inf")))).drop("_id", "least")
+    queries = materialise(packed(queries, ["dim", "qb"]), "topk")
+
+    sizes = F.broadcast(rows.groupBy("dim", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks")))      # a row per ratio step
+    placed = line(rows.join(sizes, ["dim", "band"]), "band", F.pmod(F.xxhash64("vec_id", "q"), "blocks").cast("int").alias("cb"), blank)
+    pairs = meet(queries, materialise(packed(placed, ["dim", "band", "cb"]), "topk"), k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _meet(queries: DataFrame, cands: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Best candidates of each block pair. Both sides come from one table, so the candidates' columns get names of their own."""
-    cands = cands.select(*(F.col(c).alias(f"c_{c}") for c in cands.columns))
-
-    def kernel(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        return best_of_block(q, c.rename(columns=lambda name: name.removeprefix("c_")), k)
-    return queries.groupBy(*keys).cogroup(cands.groupBy(*(f"c_{c}" for c in keys))).applyInPandas(kernel, PAIR_SCHEMA)

@@ -59,16 +59,18 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.limit(0), 20).count() == 0
 
 
-def test_pruning_never_loses(spark):
+def test_pruning_never_loses():
+    """By length and by coordinate, at loose and tight thresholds, exactly the pairs that reach the threshold come back."""
     rng = np.random.default_rng(5)
-    cands = rng.integers(-90, 90, (400, 6)) + np.array([60, 0, 0, 0, 0, 0])
-    lengths = np.sqrt((cands ** 2).sum(axis=1))
-    for q in rng.integers(-90, 90, (60, 6)) + np.array([60, 0, 0, 0, 0, 0]):
-        q_len = float(np.sqrt((q ** 2).sum()))
-        scores = cands @ q
-        for theta in np.quantile(scores, [0.5, 0.9, 0.99, 1.0]):
-            keep = topk.survivors(q, q / q_len, q_len, cands / lengths[:, None], lengths, float(theta))
-            assert not (scores >= theta)[~keep].any()
+    shift = np.array([60, 0, 0, 0, 0, 0])
+    cands, queries = rng.integers(-90, 90, (400, 6)) + shift, np.vstack([rng.integers(-90, 90, (60, 6)) + shift, np.zeros((1, 6), int)])
+    lengths, q_len = np.sqrt((cands ** 2).sum(axis=1)), np.sqrt((queries ** 2).sum(axis=1))
+    scores = queries @ cands.T
+    for level in (0.0, 0.5, 0.9, 0.99, 1.0):
+        theta = np.quantile(scores, level, axis=1)
+        theta[::7] = -np.inf
+        got = {(int(r), int(c)): int(x) for rows, cols, found in topk.reached(queries, q_len, theta, cands, lengths) for r, c, x in zip(rows, cols, found)}
+        assert got == {(r, c): scores[r, c] for r, c in zip(*np.nonzero(scores >= theta[:, None]))}
 
 
 def test_top_k_beyond_float_exactness(spark):
