@@ -9,7 +9,7 @@ rest at the end of a task, less than one sequence, is cut at powers of two, whic
 Everything happens where a document is read: nothing is shuffled or gathered, a task holds one group, and a lost task
 repeats its own sequences. Sequence ids carry the task's partition number.
 
-Tokens come from a public tokenizer file, one white-space separated chunk at a time; chunks seen before are looked up.
+Tokens come from a public tokenizer file, one white-space separated chunk at a time; chunks seen before are looked up in two generations.
 Neither normalisation nor splitting of this tokenizer reaches over ASCII white space, so the ids equal those of the whole text.
 
 Defined results: a null text is empty and has only the end id; repeated rows are packed each; texts of any length are
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 CAPACITY, END_ID = 4096, 2
 PIECE, WINDOWS, MARGIN = CAPACITY // 8, 24, 32
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 400_000           # in each of two generations
 ID_BYTES = 4
 
 
@@ -55,21 +55,29 @@ class ChunkIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.older: dict[bytes, bytes] = {}
         self.plain = str.maketrans({chr(b): m for b, m in ((ord(c), m) for c, m in _byte_letters().items()) if b > 127})
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) > CACHE_CHUNKS:
+        done = self.older.get(chunk)
+        if done is None:
+            done = self.encoded(chunk.decode("utf-8", "replace"))
+        if len(self) >= CACHE_CHUNKS:                # chunks in use move on to the new generation, the others go with the next one
+            self.older = dict(self)
             self.clear()
-        text = chunk.decode("utf-8", "replace")
+        self[chunk] = done
+        return done
+
+    def encoded(self, text: str) -> bytes:
         if self.LETTERS.match(text):
-            ids = [t.id for t in self.tokenizer.model.tokenize(text.lower().translate(self.plain))]
+            if (low := text.lower()) != text and self.LETTERS.match(low):
+                return self[low.encode()]
+            ids = [t.id for t in self.tokenizer.model.tokenize(low.translate(self.plain))]
         elif tail := self.TAIL.match(text):
-            ids = self[tail[1].encode()] + self[tail[2].encode()]
+            return self[tail[1].encode()] + self[tail[2].encode()]
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        done = ids if isinstance(ids, bytes) else b"".join(i.to_bytes(ID_BYTES, "little") for i in ids)
-        self[chunk] = done
-        return done
+        return b"".join(i.to_bytes(ID_BYTES, "little") for i in ids)
 
     def of_text(self, text: str | None, end: bytes) -> bytes:
         return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "surrogatepass").split())) + end
@@ -117,7 +125,7 @@ def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 class Piece:
     doc_id: int | None
     start: int
-    ids: bytes
+    ids: memoryview                   # cuts share the document's ids
     doc_tokens: int
 
     @property
@@ -208,7 +216,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, with_ids: b
         placed: list[tuple[Piece, int, int]] = []
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
-                ids = ids_of.of_text(text, end)
+                ids = memoryview(ids_of.of_text(text, end))
                 placed += packer.add(Piece(None if doc_id is None or doc_id != doc_id else int(doc_id), 0, ids, len(ids) // ID_BYTES))
                 if len(placed) > 5000:
                     yield frame(placed)
