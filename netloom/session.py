@@ -25,6 +25,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # long texts: few rows per batch that crosses to Python
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 
 
