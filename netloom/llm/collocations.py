@@ -233,15 +233,14 @@ def pair_tiles(encoded: DataFrame, bands: DataFrame) -> DataFrame:
 
 def known_pairs(found: DataFrame, pairs: DataFrame) -> DataFrame:
     """chunk, and the keys and ids of its frequent pairs, from the tiles' answers."""
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield frame([(chunk, np.asarray(keys)[at].tobytes(), np.asarray(ids)[at].tobytes()) for chunk, at, keys, ids in
-                         zip(*(batch[c] for c in ("chunk", "hits", "keys", "ids")))], "chunk, keys, ids")
-    key = F.shiftleft("left", 32).bitwiseOR(F.col("right")).alias("key")
-    listed = pairs.groupBy("lang", "tile", "part").agg(F.array_sort(F.collect_list(F.struct("at", key, "id"))).alias("x"))    # a part's cells
-    listed = listed.select("lang", "tile", "part", F.col("x.key").alias("keys"), F.col("x.id").alias("ids"))
-    answers = found.where("chunk IS NOT NULL").select("lang", "tile", "part", "chunk", "hits").join(listed, ["lang", "tile", "part"])
-    picked = answers.mapInPandas(pick, "chunk long, keys binary, ids binary")
+    def pick(answers: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
+        listed = listed.sort_values("at")
+        left, right, ids = (listed[c].to_numpy(np.int64) for c in ("left", "right", "id"))
+        keys = (left << 32) | right
+        return frame([(chunk, keys[at].tobytes(), ids[at].tobytes()) for chunk, at in zip(answers["chunk"], answers["hits"])], "chunk, keys, ids")
+    answers = found.where("chunk IS NOT NULL").select("lang", "tile", "part", "chunk", "hits")
+    listed = pairs.select(F.col("lang").alias("l"), F.col("tile").alias("t"), F.col("part").alias("p"), "at", "left", "right", "id")
+    picked = answers.groupBy("lang", "tile", "part").cogroup(listed.groupBy("l", "t", "p")).applyInPandas(pick, "chunk long, keys binary, ids binary")
     return picked.groupBy("chunk").agg(F.collect_list(F.struct("keys", "ids")).alias("known"))          # one for each tile
 
 
