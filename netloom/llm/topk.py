@@ -69,10 +69,12 @@ def coordinate_range(u: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.
     return np.where((low > -1) & ~(u < -cosine), low, -1.0), np.where(u > cosine, 1.0, high)
 
 
-def reached(q: np.ndarray, q_len: np.ndarray, theta: np.ndarray, c: np.ndarray, c_len: np.ndarray):
+def reached(q: np.ndarray, q_len: np.ndarray, theta: np.ndarray, c: np.ndarray, c_len: np.ndarray, k: int | None = None,
+            q_ids: np.ndarray | None = None, c_ids: np.ndarray | None = None):
     """Rows, columns and products of all pairs that reach their query's theta. The local cosine threshold of each query chooses
     between candidates by length, a prefix of those sorted by it, and candidates by a coordinate, a range of those sorted by it; both are found by
-    binary search, and queries that share a list share one product. Never misses a pair."""
+    binary search, and queries that share a list share one product. Never misses a pair. With k and ids, own rows are left out, and so
+    is what falls below a query's k-th best product in its list."""
     with np.errstate(divide="ignore", invalid="ignore"):
         need = np.where(theta > 0, theta * (1 - 1e-9) / q_len, -np.inf)      # least length that could do; infinite where none does
     cosine = need / max(float(c_len.max()), 1e-300)
@@ -94,23 +96,26 @@ def reached(q: np.ndarray, q_len: np.ndarray, theta: np.ndarray, c: np.ndarray,
             lists.append((by_angle[mine], order[first:np.searchsorted(c_unit[order, f], high.max(), side="right")]))
     for rows, cols in lists:
         score = products(q[rows], c[cols])
-        at, col = np.nonzero(score >= theta[rows, None])
+        wanted = score >= theta[rows, None]
+        if k is not None:
+            own = q_ids[rows, None] == c_ids[cols]
+            wanted &= ~own
+            if score.shape[1] > k:
+                wanted &= score >= np.partition(np.where(own, -LONG - 1, score), -k, axis=1)[:, -k, None]
+        at, col = np.nonzero(wanted)
         yield rows[at], cols[col], score[at, col]
 
 
 def best_of_block(queries: Block, cands: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """query id, candidate id and product of the k best candidates in one block of every query that may profit from it."""
-    found = [x for x in reached(queries.vectors, queries.lengths, queries.thetas, cands.vectors, cands.lengths)]
+    found = [x for x in reached(queries.vectors, queries.lengths, queries.thetas, cands.vectors, cands.lengths, k, queries.ids, cands.ids)]
     if not found:
         return (np.empty(0, np.int64),) * 3
     row, col, score = (np.concatenate(x) for x in zip(*found))
-    other = queries.ids[row] != cands.ids[col]
-    row, ids, score = row[other], cands.ids[col[other]], score[other]
-    order = np.lexsort((ids, -score if np.abs(score).max(initial=0) < EXACT else np.argsort(np.argsort([-int(x) for x in score.tolist()], kind="stable")), row)) \
-        if len(row) else np.empty(0, np.int64)
+    ids = cands.ids[col]
+    order = np.lexsort((ids, ~score, row))                       # ~x falls as x rises, without overflow
     row, ids, score = row[order], ids[order], score[order]
-    first = np.searchsorted(row, row)
-    best = np.arange(len(row)) - first < k
+    best = np.arange(len(row)) - np.searchsorted(row, row) < k
     return queries.ids[row[best]], ids[best], score[best]
 
 
