@@ -1,7 +1,8 @@
 """Secrets in texts, found through a trigram inverted index.
 
-Each rule's regular expression comes with the literals every match must hold; from these a Boolean trigram query is derived:
-the trigrams of a literal are joined by AND, alternatives by OR. A batch of documents is one shard of the index: the
+From each rule's regular expression a Boolean trigram query is derived, which every text with a match fulfils: what stands one after
+the other is joined by AND, alternatives by OR; short classes and optional parts are written out, repeats of any length and large classes end a
+literal, and what is left of it counts if it has three letters. A batch of documents is one shard of the index: the
 trigrams that occur in any query get posting lists over the shard's documents, the lists are intersected and united as the query
 says, and only those candidates are verified by the regular expression. A rule without a mandatory trigram, such as the
 bare hexadecimal run, scans every document. Shards need no shuffle, and a lost executor costs its own batches only.
@@ -15,8 +16,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import re._constants as sre
+import re._parser as sre_parse
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,42 +31,134 @@ from pyspark.sql import types as T
 BATCH_BYTES = 4 << 20            # text indexed at a time; one longer document is a shard of its own
 
 
+SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
+
+
+def scheme_start(m: re.Match) -> int | None:
+    """Where the scheme before "://" begins: at the first letter of the run of scheme characters; looked up backwards, so long runs cost their length once."""
+    text, at = m.string, m.start()
+    while at and text[at - 1] in SCHEME:
+        at -= 1
+    return next((i for i in range(at, m.start()) if text[i].isalpha()), None)
+
+
 @dataclass(frozen=True)
 class Rule:
     kind: str
     pattern: str
-    needs: tuple[tuple[str, ...], ...]      # alternatives of literals that must all occur, in lower case; none: scan fully
     fits: Callable[[re.Match], bool] = lambda m: True
     flags: int = re.ASCII
+    start: Callable[[re.Match], int | None] = re.Match.start
 
 
 # The three base kinds in their listed order. A run of hexadecimal digits is matched whole or not at
 # all, so its least length may stand in the pattern.
 BASE = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-         (("password",), ("passwd",), ("secret",), ("token",), ("apikey",), ("api_key",)),
          lambda m: len(m[2]) >= 12, re.ASCII | re.IGNORECASE),
-    Rule("access", r"AKIA[A-Z0-9]+", (("akia",),), lambda m: len(m[0]) >= 18),
-    Rule("hex", r"[0-9a-f]{16,}", ()),
+    Rule("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18),
+    Rule("hex", r"[0-9a-f]{16,}"),
 )
 # Further kinds: formats of well-known credentials.
 ADDED = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[\s\S]*?(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----|\Z)",
-         (("-----begin ", "private key-----"),)),
-    Rule("git_token", r"\bgh[pousr]_[A-Za-z0-9]{36,}", (("ghp_",), ("gho_",), ("ghu_",), ("ghs_",), ("ghr_",))),
-    Rule("chat_token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", (("xoxa-",), ("xoxb-",), ("xoxp-",), ("xoxr-",), ("xoxs-",))),
-    Rule("web_token", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", (("eyj", ".eyj"),)),
-    Rule("map_key", r"\bAIza[0-9A-Za-z_-]{35}", (("aiza",),)),
-    Rule("payment_key", r"\b[sr]k_live_[0-9A-Za-z]{16,}", (("sk_live_",), ("rk_live_",))),
-    Rule("url_login", r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]{6,}@", (("://",),), flags=re.ASCII | re.IGNORECASE),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[\s\S]*?(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----|\Z)"),
+    Rule("git_token", r"\bgh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat_token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("web_token", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("map_key", r"\bAIza[0-9A-Za-z_-]{35}"),
+    Rule("payment_key", r"\b[sr]k_live_[0-9A-Za-z]{16,}"),
+    Rule("url_login", r"://[^\s/:@]+:[^\s/:@]{6,}@", start=scheme_start),
 )
 RULES = BASE + ADDED
 
+# --- Boolean queries ---------------------------------------------------------
+# A query is None (any text may match), a trigram, or ("and" | "or", queries).
+
+MOST_LITERALS, LONGEST_LITERAL = 64, 24          # beyond these a literal ends and a new one begins
+
+
+def joined(how: str, queries: list):
+    """AND leaves out what says nothing; OR says nothing if one of its parts does."""
+    if how == "and":
+        queries = [q for q in queries if q is not None]
+    elif any(q is None for q in queries):
+        return None
+    queries = list(dict.fromkeys(queries))
+    return queries[0] if len(queries) == 1 else (how, tuple(queries)) if queries else None
+
+
+def of_literals(literals: set[str]):
+    """One of the literals occurs: all trigrams of one of them."""
+    def one(word: bytes):
+        return joined("and", [int.from_bytes(word[i:i + 3], "big") for i in range(len(word) - 2)])
+    return joined("or", [one(w.encode("utf-8", "surrogatepass")) for w in sorted(literals)])
+
+
+def lowered(code: int) -> str:
+    return chr(code + 32) if 65 <= code <= 90 else chr(code)
+
 
-def trigram_query(rule: Rule) -> list[set[int]]:
-    """The Boolean query: a document qualifies if it holds all trigrams of one of these sets."""
-    return [{int.from_bytes(word[i:i + 3], "big") for word in map(str.encode, literals) for i in range(len(word) - 2)}
-            for literals in rule.needs]
+def written_out(op, value) -> set[str] | None:
+    """All texts, A-Z lowered, that a part can match, if they are few; None if not."""
+    if op is sre.LITERAL:
+        return {lowered(value)}
+    if op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+        return {""}
+    if op is sre.IN and value[0][0] is not sre.NEGATE:
+        codes = [c for kind, x in value for c in ([x] if kind is sre.LITERAL else range(x[0], min(x[1], x[0] + MOST_LITERALS) + 1) if kind is sre.RANGE else [None] * 99)]
+        return {lowered(c) for c in codes} if len(codes) <= MOST_LITERALS and None not in codes and len({lowered(c) for c in codes}) <= 8 else None
+    if op is sre.SUBPATTERN:
+        return None if value[1] or value[2] else sequence_of(value[3])
+    if op is sre.BRANCH:
+        found = [sequence_of(part) for part in value[1]]
+        return None if None in found or len(set().union(*found)) > MOST_LITERALS else set().union(*found)
+    if op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and value[1] == 1:
+        found = sequence_of(value[2])
+        return None if found is None else found | ({""} if value[0] == 0 else set())
+    return None
+
+
+def times(a: set[str], b: set[str]) -> set[str] | None:
+    made = {x + y for x in a for y in b} if len(a) * len(b) <= 4 * MOST_LITERALS else None
+    return made if made is not None and len(made) <= MOST_LITERALS and max(map(len, made)) <= LONGEST_LITERAL else None
+
+
+def sequence_of(parts) -> set[str] | None:
+    """What the parts match one after the other, written out."""
+    return reduce(lambda a, b: None if a is None or b is None else times(a, b), (written_out(*p) for p in parts), {""})
+
+
+def derived(parts):
+    """The query of parts that stand one after the other."""
+    found, literal = [], {""}
+    for op, value in parts:
+        more = written_out(op, value)
+        longer = None if more is None else times(literal, more)
+        if longer is not None:
+            literal = longer
+            continue
+        found.append(of_literals(literal))
+        literal = more if more is not None else {""}
+        if more is not None:
+            continue
+        if op is sre.SUBPATTERN:
+            found.append(None if value[1] or value[2] else derived(value[3]))
+        elif op is sre.BRANCH:
+            found.append(joined("or", [derived(part) for part in value[1]]))
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and value[0] >= 1:
+            found.append(derived(value[2]))
+    return joined("and", [*found, of_literals(literal)])
+
+
+def trigram_query(pattern: str, flags: int = re.ASCII):
+    """The Boolean query every text with a match fulfils. Case folding beyond A-Z, which the index does not know, leaves none."""
+    if flags & re.IGNORECASE and not flags & re.ASCII:
+        return None
+    return derived(sre_parse.parse(pattern, flags))
+
+
+def trigrams_in(query) -> set[int]:
+    return set() if query is None else {query} if isinstance(query, int) else set().union(*map(trigrams_in, query[1]))
 
 
 class Shard:
@@ -87,29 +183,30 @@ class Shard:
         for a, b in zip(starts, np.r_[starts[1:], len(grams)]):
             self.lists[int(grams[a])] = np.unique(docs[a:b])
 
-    def matching(self, query: list[set[int]]) -> np.ndarray:
-        if not query:
+    def matching(self, query) -> np.ndarray:
+        """Documents that fulfil the query, by intersecting and uniting posting lists."""
+        if query is None:
             return np.arange(self.n)
-        found = []
-        for needed in query:
-            lists = sorted((self.lists.get(t, np.empty(0, int)) for t in needed), key=len)
-            docs = lists[0]
-            for more in lists[1:]:
-                docs = np.intersect1d(docs, more, assume_unique=True)
-            found.append(docs)
-        return np.unique(np.concatenate(found))
-
-
-def scan(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, int, int]]]:
-    """(start, end, rule index) of every span in each text, ordered by start, then by the rules' order."""
-    queries = [trigram_query(r) for r in rules]
-    wanted = np.array(sorted(set().union(*(s for q in queries for s in q)) or {0}), np.uint32)
+        if isinstance(query, int):
+            return self.lists.get(query, np.empty(0, int))
+        how, parts = query
+        found = [self.matching(q) for q in parts]
+        if how == "or":
+            return np.unique(np.concatenate(found))
+        return reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True), sorted(found, key=len))
+
+
+def scan(texts: list[str], rules: tuple[Rule, ...] = RULES, full: bool = False) -> list[list[tuple[int, int, int]]]:
+    """(start, end, rule index) of every span in each text, ordered by start, then by the rules' order; ``full`` goes without the index."""
+    queries = [None if full else trigram_query(r.pattern, r.flags) for r in rules]
+    wanted = np.array(sorted(set().union(*map(trigrams_in, queries)) or {0}), np.uint32)
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     shard = Shard(texts, wanted)
     for k, rule in enumerate(rules):
         pattern = re.compile(rule.pattern, rule.flags)
         for i in shard.matching(queries[k]):
-            found[i] += [(m.start(), m.end(), k) for m in pattern.finditer(texts[i]) if rule.fits(m)]
+            spans = ((rule.start(m), m.end(), k) for m in pattern.finditer(texts[i]) if rule.fits(m))
+            found[i] += [s for s in spans if s[0] is not None]
     for spans in found:
         spans.sort(key=lambda s: (s[0], s[2], s[1]))
     return found
