@@ -31,7 +31,7 @@ FROM r JOIN v ON r.source IS NOT DISTINCT FROM v.source
 """
 
 URL_RULES = r"""
-WITH u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 p AS (SELECT page_id, url,
   coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
@@ -48,14 +48,12 @@ t AS (SELECT DISTINCT page_id, listed, tok FROM (
   UNION ALL SELECT page_id, listed, 'p:' || x, x FROM (SELECT page_id, listed, string_split(y, '.')[1] AS x
     FROM (SELECT page_id, listed, unnest(string_split(path, '/')) AS y FROM b)))
   WHERE x <> '' AND NOT regexp_matches(x, '^[0-9]+$')),
-c AS (SELECT ceil(least(1.0, greatest(0.01, 20::DOUBLE / count(*))) * count(*)) AS least_n FROM b),
-one AS (SELECT tok, count(*) AS n, count(*) FILTER (listed = 'block') AS nb FROM t GROUP BY tok),
-two AS (SELECT x.tok AS tok, y.tok AS tok2, count(*) AS n, count(*) FILTER (x.listed = 'block') AS nb
-  FROM t x JOIN t y ON x.page_id = y.page_id AND x.tok < y.tok GROUP BY ALL),
-f AS (
-  SELECT page_id FROM t JOIN one USING (tok), c WHERE nb >= least_n AND nb::DOUBLE / n >= 0.9
-  UNION SELECT x.page_id FROM t x JOIN two ON x.tok = two.tok JOIN t y ON y.page_id = x.page_id AND y.tok = two.tok2, c
-    WHERE nb >= least_n AND nb::DOUBLE / n >= 0.9)
+o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY tok) AS i FROM t WHERE tok NOT IN ('h:net', 'h:example', 'h:com', 'h:org', 'p:en', 'p:de', 'p:fr')),
+g AS (SELECT page_id, listed, i, tok AS combo FROM o
+  UNION ALL SELECT g.page_id, g.listed, o.i, g.combo || ' ' || o.tok FROM g JOIN o ON o.page_id = g.page_id AND o.i > g.i),
+k AS (SELECT combo FROM g WHERE listed IS NOT NULL GROUP BY combo
+  HAVING count(*) FILTER (listed = 'block') >= 10 AND (count(*) FILTER (listed = 'block'))::DOUBLE / count(*) >= 0.9),
+f AS (SELECT DISTINCT page_id FROM g JOIN k USING (combo))
 SELECT b.page_id, host, path, rule,
   coalesce(listed, CASE WHEN host <> '' AND f.page_id IS NOT NULL THEN 'block' END, 'allow') AS verdict
 FROM b LEFT JOIN f ON b.page_id = f.page_id

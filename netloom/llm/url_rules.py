@@ -1,12 +1,10 @@
 """URL verdicts: listed rules by longest match, then association rules mined from the listed pages.
 
-Spark's FP-growth counts URL token combinations together with the item "blocked by a listed rule" over all pages; combinations that predict
-it with enough support and confidence become rules for the pages no listed rule reaches. Rules match by an inverted index: the
+The pages a list names are the labels: Spark's FP-growth counts their URL tokens together with the item "blocked"; tokens that only spell the
+listed rules take no part. Combinations that occur on at least ``MIN_PAGES`` blocked pages, at any size of the input, and nearly always on blocked
+ones become rules for the pages no listed rule reaches; listed pages that are allowed speak against a rule. Rules match by an inverted index: the
 distinct URLs' tokens are joined with the rules' tokens, and a rule fires where all its tokens were met.
 
-A page no list names counts as not blocked, so a combination must be blocked nearly everywhere it occurs; lists that say
-nothing about a host do not make it suspicious.
-
 Defined results: a null URL or one without "://" has an empty host and path, fits no rule and is allowed; equal URLs get
 equal verdicts, repeated rows each get one; an empty table gives an empty result; only page_id and url are read.
 """
@@ -23,7 +21,7 @@ from netloom.session import materialise
 LISTED = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCKED = "=blocked"
-MIN_SUPPORT, MIN_PAGES, MIN_CONFIDENCE = 0.01, 20, 0.9
+MIN_PAGES, MIN_CONFIDENCE = 10, 0.9
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -53,9 +51,14 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(tag("h:", labels), tag("w:", pieces), tag("p:", segments)))
 
 
+def spelled(rules=LISTED) -> list[str]:
+    """The tokens that spell the listed rules."""
+    return sorted({"h:" + x for h, _, _ in rules for x in h.split(".")} | {"p:" + x for _, p, _ in rules for x in p.split("/") if x})
+
+
 def mine(listed: DataFrame, n_pages: int) -> DataFrame:
     """rule_id, antecedent of the rules "these tokens -> blocked", of any length, without those that hold all tokens of a shorter one."""
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(MIN_SUPPORT, MIN_PAGES / n_pages)), minConfidence=MIN_CONFIDENCE).fit(listed)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (MIN_PAGES - 0.5) / n_pages), minConfidence=MIN_CONFIDENCE).fit(listed)
     found = model.associationRules.where(F.get("consequent", F.lit(0)) == BLOCKED)
     found = materialise(found.select(F.xxhash64(F.sort_array("antecedent")).alias("rule_id"), "antecedent"), "url-rules")
     held = found.select("rule_id", F.size("antecedent").alias("n"), F.explode("antecedent").alias("token"))
@@ -66,21 +69,18 @@ def mine(listed: DataFrame, n_pages: int) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules=LISTED) -> DataFrame:
-    """page_id, host, path, rule and verdict of every page.
-
-    At most 1 / MIN_SUPPORT single tokens per place of a URL can be frequent, so the mined rules are a bounded table; its
-    size is left to adaptive execution to check, which broadcasts it or shuffles.
-    """
+    """page_id, host, path, rule and verdict of every page. Adaptive execution checks the size of the mined rules' index before it broadcasts it."""
     host, path = host_path(F.col("url"))
     parts = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = listed_rule(F.col("host"), F.col("path"), rules)
     parts = parts.withColumns({"rule": rule, "listed": verdict})
-    n_pages = parts.count()
-    if not n_pages:
+    named = parts.where(F.col("listed").isNotNull())
+    n_named = named.count()
+    if n_named < MIN_PAGES:
         return parts.select("page_id", "host", "path", "rule", F.coalesce("listed", F.lit("allow")).alias("verdict"))
-    items = F.concat(tokens(F.col("host"), F.col("path")), F.when(
-        F.col("listed") == "block", F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>")))
-    mined = materialise(mine(parts.select(items.alias("items")), n_pages), "url-rules")
+    telling = F.array_except(tokens(F.col("host"), F.col("path")), F.array(*map(F.lit, spelled(rules))))
+    items = F.concat(telling, F.when(F.col("listed") == "block", F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>")))
+    mined = materialise(mine(named.select(items.alias("items")), n_named), "url-rules")
     index = mined.select("rule_id", F.size("antecedent").alias("needed"), F.explode("antecedent").alias("token"))
     open_urls = parts.where(F.col("listed").isNull() & (F.col("host") != "")).select("url", "host", "path").distinct()
     met = open_urls.select("url", F.explode(tokens(F.col("host"), F.col("path"))).alias("token")).join(index, "token")
