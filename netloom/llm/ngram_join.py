@@ -2,12 +2,13 @@
 
 1. Each document becomes the set of its five-word shingles (64-bit hashes). Equal sets form a class; from here on only classes
    are compared, so copies cost nothing.
-2. A signature of TREES x DEPTH minhashes per class is a path in each of TREES prefix tries. The matched prefix starts at
-   full depth and is shortened as long as the target recall for pairs at the threshold is not reached.
-   Every class stays at that depth. A trie node with many classes is cut into blocks by their hashes.
-3. Inside a block, then between every two blocks of a node, each two in a task of their own, signatures are compared, and those
-   that could belong to similar sets are tied by a spanning forest. What a block has tied already is not compared again.
-   Components of these ties hold every pair that any trie proposes, and more.
+2. A signature of TREES x DEPTH minhashes per class is a path in each of TREES prefix tries. Paths are sorted, and a class first meets those
+   that share its whole path. Its matched prefix is then shortened, place by place, until the estimated recall of its links reaches the
+   target (``recall_reached``): at once where many close partners are found, at the shortest prefix where none is.
+   A pair meets while either class still goes on, once, at the longest prefix it shares; sizes too far apart never meet.
+3. Subtries at the shortest prefix any class may need are dealt to tasks. One with many classes is cut into blocks by their hashes,
+   and every two blocks meet in a task of their own. Signatures that could belong to similar sets are tied by a spanning forest; what is
+   tied already is not compared again. Components of these ties hold every pair that any trie proposes, and more.
 4. Within a component all sets are compared exactly, block against block. Verified links give link counts and groups.
 
 Pairs are compared inside tasks and leave them only as sums and spanning edges; no group is expanded into pairs of rows.
@@ -35,7 +36,8 @@ SHINGLE, TREES, DEPTH = 5, 16, 8
 NUM, DEN = 4, 5                     # similarity NUM / DEN or more is a link
 TARGET_RECALL = 0.9995
 MAYBE = 0.6                         # share of equal minhashes from which a pair is worth an exact look; 0.8 less over five deviations
-NODE_CLASSES, BLOCK = 1024, 256     # classes in a block of a trie node, and of a component
+NODE_CLASSES, BLOCK = 1024, 256     # classes in a block of a subtrie, and of a component
+NEAR = 128                          # neighbours on either side of a sorted path that a class's recall is estimated from
 BATCH_BYTES = 2 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -43,13 +45,27 @@ U = np.uint64
 
 
 def prefix_depth(recall: float = TARGET_RECALL, similarity: float = NUM / DEN) -> int:
-    """The longest prefix whose matches find a pair at the threshold often enough over all trees."""
+    """The longest prefix whose matches find a pair of this similarity often enough over all trees."""
     depth = DEPTH
     while depth > 1 and 1 - (1 - similarity ** depth) ** TREES < recall:
         depth -= 1
     return depth
 
 
+def weakest_link(n: int) -> float:
+    """The least similarity at the threshold or above that a set of n shingles can have to a different set; 0 if there is none."""
+    found = []
+    for m in range(-(-NUM * n // DEN), DEN * n // NUM + 1):
+        both = -(-NUM * (n + m) // (NUM + DEN))
+        if both <= min(n, m) and not both == n == m:
+            found.append(both / (n + m - both))
+    return min(found, default=0.0)
+
+
+WEAKEST = np.array([weakest_link(n) for n in range(64)] + [NUM / DEN])      # larger sets come as close to the threshold as can be
+LONELY = int(np.flatnonzero(WEAKEST)[0])                                    # smaller sets have no link to any other set
+
+
 # --- shingles and signatures --------------------------------------------------
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -130,7 +146,10 @@ def profiles(docs: DataFrame) -> DataFrame:
 # --- candidates ----------------------------------------------------------------
 
 def forest_nodes(classes: DataFrame) -> DataFrame:
-    """tree, prefix, block, blocks, cls, sig of the classes that share a trie node, at the depth the recall asks for."""
+    """tree, prefix, block, blocks, cls, n, sig of the classes that share a subtrie, rooted at the shortest prefix the recall may ask for.
+    ``classes`` has cls, sig and, if sizes are known, n."""
+    classes = classes.select("cls", "sig", F.col("n") if "n" in classes.columns else F.lit(len(WEAKEST)).cast("long").alias("n"))
+    classes = classes.where(F.col("n") >= LONELY)
     start = F.col("tree") * (2 * DEPTH) + 1
     paths = classes.select("cls", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig").select(
         "cls", "tree", F.substring("sig", start, F.lit(2 * prefix_depth())).alias("prefix"))
@@ -139,7 +158,7 @@ def forest_nodes(classes: DataFrame) -> DataFrame:
     level = paths.join(sizes.hint("merge"), ["tree", "prefix"])
     blocks = F.ceil(F.col("here") / NODE_CLASSES).cast("int")
     cut = level.select("cls", "tree", "prefix", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"))
-    return cut.join(classes.select("cls", "sig"), "cls").select("tree", "prefix", "block", "blocks", "cls", "sig")
+    return cut.join(classes, "cls").select("tree", "prefix", "block", "blocks", "cls", "n", "sig")
 
 
 class Forest:
@@ -205,17 +224,56 @@ def agreement(sigs: np.ndarray, sig: np.ndarray) -> np.ndarray:
     return (words * U(0x0101010101010101)) >> U(56)
 
 
-def signature_ties(sigs: np.ndarray, label: np.ndarray, cut: int = 0) -> list[tuple[int, int]]:
-    """A spanning forest of the positions whose signatures agree often enough. Positions with equal labels are tied already; labels are
-    brought up to date in place. With a cut, only positions before it are compared with those from it on."""
-    least, out = math.ceil(MAYBE * TREES * DEPTH), []
-    for i in range(cut or len(sigs) - 1):
-        low = cut or i + 1
-        apart = low + np.flatnonzero(label[low:] != label[i])
-        for j in apart[agreement(sigs[apart], sigs[i]) >= least].tolist() if len(apart) else ():
-            if label[j] != label[i]:
-                out.append((i, j))
-                label[label == label[j]] = label[i]
+def recall_reached(found: np.ndarray, weakest: float, depth: int) -> bool:
+    """Whether matches at this depth find enough of a class's links, by the similarities of the partners that one tree has found.
+
+    A partner of similarity s shares the prefix in one tree with probability s ** depth, so it stands for 1 / s ** depth partners, of which
+    all trees together miss (1 - s ** depth) ** TREES. One partner more, as weak as a link can be, is always supposed."""
+    seen = found ** depth
+    missed = (1 - weakest ** depth) ** TREES + ((1 - seen) ** TREES / seen).sum()
+    return bool(missed <= (1 - TARGET_RECALL) * (1 + (1 / seen).sum()))
+
+
+def trie_ties(sigs: np.ndarray, sizes: np.ndarray, tree: int, label: np.ndarray, stop: np.ndarray, cut: int = 0) -> list[tuple[int, int]]:
+    """A spanning forest of the positions whose signatures agree often enough, met while the prefixes of one trie are shortened.
+
+    Positions with equal labels are tied already. ``stop`` holds the depth at which a class has reached its recall, 0 before. Both are brought
+    up to date in place. With a cut, only positions before it meet those from it on, and stops stay as they are."""
+    n, least, out = len(sigs), math.ceil(MAYBE * TREES * DEPTH), []
+    order = np.lexsort(sigs[:, tree * DEPTH:(tree + 1) * DEPTH].T[::-1])
+    sigs, sizes, tied, ended, first = sigs[order], sizes[order], label[order], stop[order], order < cut
+    path = sigs[:, tree * DEPTH:(tree + 1) * DEPTH]
+    common = np.cumprod(path[1:] == path[:-1], axis=1).sum(axis=1)          # places that neighbours share
+    weakest = WEAKEST[np.minimum(sizes, len(WEAKEST) - 1)]
+    inner = np.arange(1, n + 1)                                             # where the run of a longer prefix ends
+    for depth in range(DEPTH, prefix_depth() - 1, -1):
+        bounds = np.r_[0, np.flatnonzero(common < depth) + 1, n]
+        run = np.searchsorted(bounds, np.arange(n), side="right")
+        starts, ends = bounds[run - 1], bounds[run]
+        for i in np.flatnonzero(ends > inner).tolist():
+            apart = inner[i] + np.flatnonzero(tied[inner[i]:ends[i]] != tied[i])
+            if not len(apart):
+                continue
+            other = sizes[apart]
+            meet = (np.minimum(ended[apart], ended[i]) <= depth) & (DEN * other >= NUM * sizes[i]) & (DEN * sizes[i] >= NUM * other)
+            apart = apart[meet & (first[apart] != first[i]) if cut else meet]
+            for j in apart[agreement(sigs[apart], sigs[i]) >= least].tolist() if len(apart) else ():
+                if tied[j] != tied[i]:
+                    out.append((int(order[i]), int(order[j])))
+                    tied[tied == tied[j]] = tied[i]
+        if not cut and depth > prefix_depth():
+            alone = (1 - weakest ** depth) ** TREES / (1 - TARGET_RECALL)   # partners' weight that is needed beside the supposed one
+            ended[(ended == 0) & (alone <= 1)] = depth
+            for i in np.flatnonzero((ended == 0) & (1 + (ends - starts - 1) / (NUM / DEN) ** depth >= alone)).tolist():
+                low = max(starts[i], i - NEAR)
+                near = low + np.flatnonzero(tied[low:min(ends[i], i + NEAR + 1)] == tied[i])
+                alike = agreement(sigs[near[near != i]], sigs[i]) / (TREES * DEPTH)
+                if recall_reached(alike[alike >= NUM / DEN], weakest[i], depth):
+                    ended[i] = depth
+        inner = ends
+    if not cut:
+        ended[ended == 0] = prefix_depth()
+    label[order], stop[order] = tied, ended
     return out
 
 
@@ -230,33 +288,36 @@ def candidate_ties(nodes: DataFrame) -> DataFrame:
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _runs(batches, keys):
             sigs, cls, blocks = _signatures(b"".join(frame["sig"])), frame["cls"].tolist(), frame["blocks"].tolist()
+            tree, sizes = frame["tree"].tolist(), frame["n"].to_numpy(np.int64)
             at, out = [], []
             for low, high in _bounds(frame, keys):
-                label = np.arange(high - low, dtype=np.int32)
-                pairs = signature_ties(sigs[low:high], label)
+                label, stop = np.arange(high - low, dtype=np.int32), np.zeros(high - low, np.uint8)
+                pairs = trie_ties(sigs[low:high], sizes[low:high], tree[low], label, stop) if high - low > 1 or blocks[low] > 1 else []
                 if pairs or blocks[low] > 1:
-                    held = (b"".join(cls[low:high]), sigs[low:high].tobytes(), label.tobytes()) if blocks[low] > 1 else (None, None, None)
+                    all_ = (b"".join(cls[low:high]), *(x.tobytes() for x in (sigs[low:high], sizes[low:high], label, stop)))
                     at.append(low)
-                    out.append(([cls[low + j] for _, j in pairs], [cls[low + i] for i, _ in pairs], *held))
+                    out.append(([cls[low + j] for _, j in pairs], [cls[low + i] for i, _ in pairs], *(all_ if blocks[low] > 1 else (None,) * 5)))
             if at:
                 made = frame.iloc[at][[*keys, "blocks"]].reset_index(drop=True)
-                yield made.assign(**{c: list(v) for c, v in zip(("a", "b", "all", "sigs", "label"), zip(*out))})
+                yield made.assign(**{c: list(v) for c, v in zip(("a", "b", *held), zip(*out))})
 
     def between(frame: pd.DataFrame) -> pd.DataFrame:
         names, pairs = [], []
         if len(frame) == 2:                                     # a block may have stayed empty
             sigs, label = [_signatures(x) for x in frame["sigs"]], [np.frombuffer(x, np.int32) for x in frame["label"]]
+            sizes, stop = (np.concatenate([np.frombuffer(x, t) for x in frame[c]]) for c, t in (("sizes", np.int64), ("stop", np.uint8)))
             names = [x[k:k + 16] for x in frame["all"] for k in range(0, len(x), 16)]
             cut = len(sigs[0])
-            pairs = signature_ties(np.concatenate(sigs), np.concatenate([label[0], label[1] + cut]), cut)
+            pairs = trie_ties(np.concatenate(sigs), sizes, int(frame["tree"].iloc[0]), np.concatenate([label[0], label[1] + cut]), stop, cut)
         return pd.DataFrame({"a": [max(names[i], names[j]) for i, j in pairs], "b": [min(names[i], names[j]) for i, j in pairs]}, dtype=object)
 
+    held = ["all", "sigs", "sizes", "label", "stop"]
     spread = nodes.repartition(*keys).sortWithinPartitions(*keys, "cls")
     made = materialise(spread.mapInPandas(inside, "tree int, prefix binary, block int, blocks int, a array<binary>, b array<binary>, "
-                                          "all binary, sigs binary, label binary"), "forest")
+                                          + ", ".join(f"{c} binary" for c in held)), "forest")
     ties = made.select(F.explode(F.arrays_zip("a", "b")).alias("t")).select("t.a", "t.b")
     met = made.where("blocks > 1").withColumn("its", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("its <> block")
-    met = met.select("tree", "prefix", F.least("block", "its").alias("x"), F.greatest("block", "its").alias("y"), "all", "sigs", "label")
+    met = met.select("tree", "prefix", F.least("block", "its").alias("x"), F.greatest("block", "its").alias("y"), *held)
     return ties.union(met.groupBy("tree", "prefix", "x", "y").applyInPandas(between, "a binary, b binary"))
 
 
@@ -385,6 +446,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stay = links(docs).where("doc_id = group_id").select("doc_id").distinct()
     known = docs.where(F.col("doc_id").isNotNull()).join(stay.hint("merge"), "doc_id", "left_semi")
     text, row = fresh(docs, "_text"), fresh(docs, "_row")
-    first = F.row_number().over(Window.partitionBy("doc_id", text).orderBy(F.lit(1)))
+    rest = F.xxhash64(F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias(fresh(docs, "_none")))))
+    first = F.row_number().over(Window.partitionBy("doc_id", text).orderBy(rest))
     known = known.withColumn(text, F.xxhash64("text")).withColumn(row, first).where(F.col(row) == 1)
     return known.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))

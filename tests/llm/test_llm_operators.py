@@ -532,6 +532,52 @@ def test_forest_depth_reaches_the_recall():
     assert recall(depth) >= ngram_join.TARGET_RECALL > recall(depth + 1)
 
 
+def test_weakest_links():
+    """Every pair of sizes by brute force."""
+    for n in range(1, 30):
+        every = [i / (n + m - i) for m in range(1, 60) for i in range(min(n, m) + 1) if not i == n == m and 5 * i >= 4 * (n + m - i)]
+        assert ngram_join.weakest_link(n) == min(every, default=0.0)
+
+
+def test_classes_stop_at_different_depths():
+    """One crowded by near copies stops at the full path, one with few at a shorter prefix, one without at the shortest."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2 ** 16, (3, ngram_join.TREES * ngram_join.DEPTH)).astype(np.uint16)
+    sigs = np.repeat(base, [150, 6, 1], axis=0)
+    for s in sigs[:-1]:                                     # similarity about 0.97 beside tree 0
+        s[8 + rng.integers(0, 120, 3)] = rng.integers(0, 2 ** 16, 3)
+    sigs[:, :ngram_join.prefix_depth()] = 7                 # all in one subtrie of tree 0
+    label, stop = np.arange(len(sigs), dtype=np.int32), np.zeros(len(sigs), np.uint8)
+    pairs = ngram_join.trie_ties(sigs, np.full(len(sigs), 100), 0, label, stop)
+    assert len(pairs) == 149 + 5 and len(set(label.tolist())) == 3
+    assert set(stop[:150].tolist()) == {8} and stop[-1] == ngram_join.prefix_depth()
+    assert set(stop[150:156].tolist()) == {5}
+
+
+def test_pairs_meet_while_one_goes_on():
+    """A crowded class has stopped; the pair it forms with a lonely one at the shortest prefix is found nevertheless, and none of alien size."""
+    rng, depth = np.random.default_rng(9), ngram_join.prefix_depth()
+    sig = rng.integers(0, 2 ** 16, ngram_join.TREES * ngram_join.DEPTH).astype(np.uint16)
+    other = sig.copy()
+    other[depth] ^= 1
+    for sizes, n in (([100, 100], 1), ([100, 70], 0)):
+        for stops, found in (([8, depth], n), ([8, 8], 0)):
+            label, stop = np.arange(2, dtype=np.int32), np.array(stops, np.uint8)
+            assert len(ngram_join.trie_ties(np.stack([sig, other]), np.array(sizes), 0, label, stop, cut=1)) == found
+
+
+def test_measured_recall_of_pairs_at_the_threshold():
+    """Signatures that agree in each place with probability 0.8: pairs that no tree proposes stay below the promised share."""
+    rng, n, missed = np.random.default_rng(10), 6000, 0
+    a = rng.integers(0, 2 ** 16, (n, ngram_join.TREES * ngram_join.DEPTH)).astype(np.uint16)
+    b = np.where(rng.random(a.shape) < 0.8, a, a ^ 1).astype(np.uint16)
+    for x, y in zip(a, b):
+        pair, sizes = np.stack([x, y]), np.array([100, 100])
+        found = any(ngram_join.trie_ties(pair, sizes, t, np.arange(2, dtype=np.int32), np.zeros(2, np.uint8)) for t in range(ngram_join.TREES))
+        missed += not found
+    assert missed <= n * (1 - ngram_join.TARGET_RECALL) * 2
+
+
 def test_components_of_a_long_chain(spark):
     name = lambda i: i.to_bytes(4, "big")
     ties = spark.createDataFrame([(name(i + 1), name(i)) for i in range(60)] + [(name(201), name(200))], "a binary, b binary")
