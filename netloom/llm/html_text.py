@@ -3,12 +3,15 @@
 A page is read into its element tree. Every element has a hidden state, content or not; potentials between parent and child say how
 readily the state changes there, and an element's tag, the meaning of its class and id names, the length of its own text and its
 links speak for either state. One upward and one downward pass of sum-product messages give the exact marginal
-of every element, and the text of elements that are content more likely than not is kept, in page order.
+of every element, and the text of elements that are content more likely than not is kept, in page order. Where nothing is kept although the
+page has running text outside unwanted containers, it is known to have content: the passes are run again with a root that is content.
 
 The potentials are counted on labelled pages: a bounded sample of the input whose semantic containers label it (inside the article, but not
 inside a menu, form and so on), and a few pages written here with their labels, so that kinds the sample lacks are known too.
 
-Defined results: a null or empty page has the empty text; a page without any element is its own text; unclosed tags end with their parent, a tag cut off at the end is
+Defined results: a null or empty page has the empty text; a page without any element is its own text, also one with a bare "<"; inside an article
+links count as text, and names that speak of menus, forms, headers or footers are not heard on the article itself; marks of labels are read
+in the pages of this module only; unclosed tags end with their parent, a tag cut off at the end is
 markup; ties (a marginal of exactly one half) are not content; repeated rows each get a result; an empty table gives an
 empty result; only page_id, url and html are read.
 """
@@ -51,6 +54,7 @@ MEANINGS = {
 MEANING = {part: kind for kind, parts in MEANINGS.items() for part in parts.split()}
 UNWANTED_TAGS = frozenset("nav aside footer header form button select".split())
 CONTENT_TAGS = frozenset(("article", "main"))
+UNHEARD = frozenset(("menu", "form", "header", "footer"))      # meanings that the name of an article does not change it by
 
 # Labelled pages: an element with y="1" begins content, one with y="0" ends it for its subtree.
 LABELLED = (
@@ -86,6 +90,7 @@ class Page:
     meaning: list[str] = field(default_factory=list)
     mark: list[str | None] = field(default_factory=list)
     own: list[int] = field(default_factory=list)
+    within: list[bool] = field(default_factory=list)               # inside an article, with nothing unwanted between
     linked: list[bool] = field(default_factory=list)
     flow: list[tuple[int, str]] = field(default_factory=list)      # (element, text); (-1, "") is a break between blocks
 
@@ -98,7 +103,8 @@ def meaning_of(attributes: str) -> str:
     return "none"
 
 
-def read(page: str) -> Page:
+def read(page: str, marks: bool = False) -> Page:
+    """The element tree; marks of labels are read only where asked for."""
     out, stack, n_open = Page(), [], Counter()
 
     def leave() -> None:
@@ -116,11 +122,14 @@ def read(page: str) -> Page:
     def enter(tag: str, attributes: str) -> None:
         out.parent.append(stack[-1] if stack else -1)
         out.tag.append(tag)
-        out.meaning.append(meaning_of(attributes) if attributes else "none")
-        m = MARK.search(attributes) if attributes else None
+        meaning = meaning_of(attributes) if attributes else "none"
+        out.meaning.append("none" if tag in CONTENT_TAGS and meaning in UNHEARD else meaning)
+        m = MARK.search(attributes) if attributes and marks else None
         out.mark.append(m[1] if m else None)
         out.own.append(0)
-        out.linked.append(tag == "a" or bool(stack and out.linked[stack[-1]]))
+        plain = tag not in UNWANTED_TAGS and out.meaning[-1] in ("none", "content")
+        out.within.append(tag in CONTENT_TAGS or plain and bool(stack and out.within[stack[-1]]))
+        out.linked.append(not out.within[-1] and (tag == "a" or bool(stack and out.linked[stack[-1]])))
         stack.append(len(out.tag) - 1)
         n_open[tag] += 1
         if tag not in INLINE:
@@ -176,7 +185,9 @@ def _close_open(out: Page, stack: list[int], tag: str, close) -> None:
 
 def features(page: Page, i: int) -> tuple[str, str, int, bool]:
     tag, size = page.tag[i], page.own[i]
-    return tag if tag in KNOWN else "other", page.meaning[i], 0 if not size else 1 if size < 20 else 2 if size < 80 else 3, page.linked[i]
+    if page.within[i] and tag in PARTS and page.meaning[i] == "none":
+        tag = "part"                                               # lists and links of an article are not those of a menu
+    return tag if tag in KNOWN or tag == "part" else "other", page.meaning[i], 0 if not size else 1 if size < 20 else 2 if size < 80 else 3, page.linked[i]
 
 
 def turns(tag: str, meaning: str) -> bool:
@@ -245,14 +256,14 @@ class Model:
                     kinds = len(set(c) | set(self.evidence.get((k, not state), Counter()))) + 1
                     p *= (c[value] + 1) / (sum(c.values()) + kinds)
                 pair.append(p)
-            trust = 1.0 if turns(values[0], values[1]) else EVIDENCE["part" if values[0] in PARTS else "block"]
+            trust = 1.0 if turns(values[0], values[1]) else EVIDENCE["part" if values[0] in PARTS or values[0] == "part" else "block"]
             pair = [p ** trust for p in pair]
             total = sum(pair)
             self.cache[values] = (pair[0] / total, pair[1] / total)
         return self.cache[values]
 
-    def marginals(self, page: Page) -> list[float]:
-        """P(content) of every element by one upward and one downward pass."""
+    def marginals(self, page: Page, above: bool = False) -> list[float]:
+        """P(content) of every element by one upward and one downward pass; ``above`` is the state the root hangs on."""
         n = len(page.tag)
         table = {k: tuple(tuple(self.step(k, up, s) for s in (False, True)) for up in (False, True)) for k in ("part", "block", "turning")}
         steps = [table[kind(page, i)] for i in range(n)]
@@ -270,7 +281,7 @@ class Model:
         full: list[tuple[float, float]] = []
         for i in range(n):
             up, ((ff, ft), (tf, tt)) = page.parent[i], steps[i]
-            u0, u1 = (full[up][0] / sent[i][0], full[up][1] / sent[i][1]) if up >= 0 else (1.0, 0.0)
+            u0, u1 = (full[up][0] / sent[i][0], full[up][1] / sent[i][1]) if up >= 0 else (1.0 - above, 0.0 + above)
             a0, a1 = (u0 * ff + u1 * tf) * belief[i][0], (u0 * ft + u1 * tt) * belief[i][1]
             full.append((max(a0 / (a0 + a1), 1e-300), max(a1 / (a0 + a1), 1e-300)))
         return [p for _, p in full]
@@ -279,12 +290,20 @@ class Model:
 def trained(pages: list[str]) -> Model:
     model = Model()
     for page in LABELLED:
-        model.learn(read(page), SEED_WEIGHT)
+        model.learn(read(page, marks=True), SEED_WEIGHT)
     for page in pages:
         model.learn(read(page), 1.0)
     return model
 
 
+def has_running_text(page: Page) -> bool:
+    """Whether words stand outside links and unwanted containers."""
+    unwanted: list[bool] = []
+    for i, up in enumerate(page.parent):
+        unwanted.append(page.tag[i] in UNWANTED_TAGS or page.meaning[i] not in ("none", "content") or up >= 0 and unwanted[up])
+    return any(i >= 0 and not unwanted[i] and not page.linked[i] and not raw.isspace() for i, raw in page.flow)
+
+
 def main_text(page: str | None, model: Model) -> str:
     if not page:
         return ""
@@ -292,6 +311,8 @@ def main_text(page: str | None, model: Model) -> str:
         return " ".join(entities.unescape(page).split())
     tree = read(page)
     content = [p > 0.5 for p in model.marginals(tree)]
+    if not any(i >= 0 and content[i] and not raw.isspace() for i, raw in tree.flow) and has_running_text(tree):
+        content = [p > 0.5 for p in model.marginals(tree, above=True)]
     blocks, current = [], []
     for i, raw in [*tree.flow, (-1, "")]:
         if i >= 0:
@@ -306,9 +327,14 @@ def main_text(page: str | None, model: Model) -> str:
 
 
 def learned(pages: DataFrame, html: str = "html") -> Model:
-    """Potentials counted on a bounded sample: the pages with the smallest hashes, very long ones left aside."""
-    sample = pages.where(F.length(html) <= SAMPLE_CHARS).select(html).orderBy(F.xxhash64(html)).limit(SAMPLE_PAGES)
-    return trained([r[0] for r in sample.collect()])
+    """Potentials counted on a bounded sample: the different pages with the smallest hashes, very long ones left aside. Hashes alone are
+    ranked; only the chosen pages come to the driver."""
+    short = pages.where(F.length(html) <= SAMPLE_CHARS).select(F.xxhash64(html).alias("hash"), F.col(html).alias("page"))
+    chosen = [r[0] for r in short.select("hash").distinct().orderBy("hash").limit(SAMPLE_PAGES).collect()]
+    if not chosen:
+        return trained([])
+    sample = short.where(F.col("hash") <= chosen[-1]).groupBy("hash").agg(F.min("page").alias("page"))
+    return trained([r["page"] for r in sorted(sample.collect(), key=lambda r: r["hash"])])
 
 
 def extract(pages: DataFrame, html: str = "html", model: Model | None = None) -> Column:

@@ -136,6 +136,40 @@ def test_main_text(spark):
     assert html_text.report(pages.limit(0)).count() == 0
 
 
+def test_no_text_is_lost(spark):
+    """Articles of links, pages without a container, short pages and plain texts keep their words, with and without given pages to learn from."""
+    rows = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    long = "A long paragraph that goes on about one thing and another, well past the length of a label. " * 3
+    items = "".join(f'<li><a href="/{i}">Link {i}</a></li>' for i in range(12))
+    want = {
+        f"<html><body><nav><a>Home</a></nav><article><p>See</p><ul>{items}</ul></article><footer>f</footer></body></html>":
+            "See\n" + "\n".join(f"Link {i}" for i in range(12)),
+        "<article><p>See</p><ul><li><a>One</a></li><li><a>Two</a></li></ul></article>": "See\nOne\nTwo",
+        f"<p>{long}</p>": long.strip(), "<body><p>Short note.</p></body>": "Short note.", "if a < b and c > d": "if a < b and c > d",
+        f'<body><nav><a>Home</a></nav><article class="search-result"><h1>T</h1><p>{long}</p></article></body>': "T\n" + long.strip(),
+        '<body><nav><a>Home</a> all</nav><p>Short note.</p><footer>foot</footer><div class="cookie-notice">We use cookies</div></body>': "Short note.",
+        '<article><p>Body text.</p><nav><ul><li><a>One</a></li></ul></nav><div class="related"><a>Else</a></div></article>': "Body text.",
+        "<body><nav><a>Home</a></nav><footer>Imprint</footer></body>": ""}
+    for model in (html_text.trained([]), html_text.trained(rows)):
+        assert {page: html_text.main_text(page, model) for page in want} == want
+
+
+def test_marks_of_input_pages_are_not_labels():
+    page = '<body><div data-y="1"><a>Home</a><a>About</a></div><article><p>Some text of the page.</p></article></body>'
+    assert set(html_text.read(page).mark) == {None}
+    assert html_text.main_text(page, html_text.trained([page] * 500)) == "Some text of the page."
+
+
+def test_sample_for_learning_is_of_different_pages(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "SAMPLE_PAGES", 5)
+    seen = []
+    monkeypatch.setattr(html_text, "trained", lambda pages: seen.append(pages))
+    pages = [f"<article><p>page {i}</p></article>" for i in range(40)]
+    html_text.learned(spark.createDataFrame([(p,) for p in pages for _ in range(3)] + [(None,)], "html string"))
+    html_text.learned(spark.createDataFrame([], "html string"))
+    assert len(seen[0]) == len(set(seen[0])) == 5 and set(seen[0]) <= set(pages) and seen[1] == []
+
+
 def test_main_text_of_given_pages(spark):
     rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
     model = html_text.trained([r["html"] for r in rows])
