@@ -33,6 +33,7 @@ from netloom.session import materialise
 
 BLOCK_WORDS, SHARD_SLOTS, BIN_ROWS, MAX_REPEATS, SEED = 64, 8192, 4096, 3, 20_260
 MAX_SOURCES = 200_000
+SHARDS_PER_TASK = 32          # a quarter of a million slots are mapped to blocks in one task
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -170,7 +171,7 @@ def draws(sources: DataFrame) -> DataFrame:
                 si = np.flatnonzero(n)
                 yield pd.DataFrame({"si": si.astype(np.int32), "shard": shard, "n": n[si]})
 
-    drawn = spark.range(n_shards, numPartitions=max(1, min(n_shards, 200))).mapInPandas(counts, "si int, shard long, n long")
+    drawn = spark.range(n_shards, numPartitions=max(min(n_shards, 200), -(-n_shards // 1024))).mapInPandas(counts, "si int, shard long, n long")
     first = F.sum("n").over(Window.partitionBy("si").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     numbered = drawn.withColumn("first", F.coalesce(first, F.lit(0)))
 
@@ -183,7 +184,8 @@ def draws(sources: DataFrame) -> DataFrame:
                     index = slot[epochs == e] % blocks[si]
                     yield pd.DataFrame({"si": np.int32(si), "block": permuted(index, blocks[si], SEED + si * MAX_REPEATS + int(e)), "epoch": np.int32(e)})
 
-    return numbered.repartition("si", "shard").mapInPandas(mapped, "si int, block long, epoch int")
+    # the rows are few and small, but the slots they stand for are not: their number decides how many tasks share them
+    return numbered.repartition(-(-n_shards // SHARDS_PER_TASK), "si", "shard").mapInPandas(mapped, "si int, block long, epoch int")
 
 
 def pieces(rows: DataFrame) -> DataFrame:
