@@ -1,8 +1,8 @@
 """A corpus from documents: quality rules, one of each group of near duplicates, secrets redacted, sources mixed, sequences packed.
 
 Defined results: a null or empty text fails the quality rules, so it leaves at the first stage, as a text of fewer than 50 words does; a null source is a
-source of its own; a row without an id is judged and packed like any other but has no near duplicates; of repeated rows one stays, of rows that share
-an id but not the text those that share their fate with it; ties go to the smaller id; texts are read whole whatever their length; extra columns, also
+source of its own; a row without an id is judged and packed like any other but has no near duplicates; of exact repeats one stays, and other
+rows that share an id stay or go together; ties go to the smaller id; texts are read whole whatever their length; extra columns, also
 ones named like a stage's own, come through all stages but the last, which returns pieces of sequences; an empty table gives an empty result.
 """
 
