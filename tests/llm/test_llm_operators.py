@@ -313,6 +313,45 @@ def test_tree_paths_become_rules():
     assert rule_ensemble.tree_rules(text) == [((0, False, 1.5),), ((0, True, 1.5),), ((0, True, 1.5), (3, False, 2.0)), ((0, True, 1.5), (3, True, 2.0))]
 
 
+def plain_statistics(text):
+    import math
+    import unicodedata
+    text = text or ""
+    words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    n, c, among = max(len(words), 1), max(len(text), 1), lambda chars: sum(text.count(x) for x in chars)
+    return {"words": len(words), "chars": len(text), "word_length": len(text) / n, "symbols": among("#*$%&<>"), "symbol_rate": among("#*$%&<>") / n,
+            "pipes": among("|"), "pipe_rate": among("|") / n, "bang_rate": among("!") / n, "upper_rate": sum(unicodedata.category(x) == "Lu" for x in text) / c,
+            "digit_rate": among("0123456789") / c, "mark_rate": among(".,;:?") / n, "same_next_rate": sum(a == b for a, b in zip(words, words[1:])) / n,
+            "distinct_power": math.log(max(len(set(words)), 1) + 1) / math.log(n + 1),
+            "repeat_lines_rate": (len(lines) - len(set(lines))) / max(len(lines), 1)}
+
+
+def test_scores_against_plain_sums(spark):
+    """Statistics, firing of rules and the logistic sum recomputed in plain Python."""
+    import math
+    texts = TEXTS + ["Wow! WOW! É|b|c 12 12 12.", "one\ntwo\none\n \n\none", "a\tb\x0bc\r\nd <p> & 100%"]
+    names, rng = rule_ensemble.STATISTICS, np.random.default_rng(11)
+    plain = [plain_statistics(t) for t in texts]
+    assert all(tuple(p) == names for p in plain)
+    got = documents(spark, texts).select("doc_id", rule_ensemble.statistics(F.col("text")).alias("s")).collect()
+    for r in got:
+        assert r["s"].asDict() == pytest.approx(plain[r["doc_id"]], rel=1e-12)
+    rules = []
+    for _ in range(30):                                     # thresholds between the values that occur, and on them
+        parts = rng.choice(len(names), 3, replace=False).tolist()
+        at = [plain[rng.integers(len(plain))][names[f]] + rng.choice([1e-6, -1e-6]) for f in parts]
+        rules.append((tuple(sorted((f, bool(rng.integers(2)), float(t)) for f, t in zip(parts, at))), float(rng.normal())))
+    rules.append((((0, False, 5.0),), 0.5))
+    rules.append((((0, True, 5.0), (1, False, 100.0)), -0.5))
+    model = rule_ensemble.Ensemble(0.25, tuple(rules))
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for r in rule_ensemble.report(documents(spark, texts), labels, model).collect():
+        values = [plain[r["doc_id"]][x] for x in names]
+        total = 0.25 + sum(w for rule, w in rules if all(values[f] > t if above else values[f] <= t for f, above, t in rule))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-9)
+        assert r["predicted"] == int(r["score"] >= 0.7)
+
+
 # --- 6 mixing ------------------------------------------------------------------------
 
 def brute_targets(sizes):
