@@ -7,6 +7,11 @@ larger than a block are split by a hash of the id on both sides, so each task
 holds at most one block of queries and one block of data and returns only k
 rows per query. Copies of one vector collapse first: no query can use more than
 the k + 1 smallest ids of a copy group.
+
+Pivots that fit one list travel with the tasks. More of them form two levels:
+areas around a short list of coarse pivots, and in each area cells around the
+fine pivots that lie there. Fine pivots stay in a table; rows meet those of
+their own area only, queries those of the areas their bound cannot rule out.
 """
 
 from __future__ import annotations
@@ -25,8 +30,9 @@ from netloom.session import materialise
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
-MAX_PIVOTS = 2048
-PIVOT_CELLS = 2_000_000        # numbers held by all pivots together, shipped with each task
+LIST_PIVOTS = 2048             # pivots in one list; more form two levels
+PIVOT_CELLS = 2_000_000        # numbers held by all pivots of a list together, shipped with each task
+AREA_ROWS = 16_384             # rows that meet an area's fine pivots in one task
 CELLS_MAX = 500_000
 
 
@@ -130,8 +136,11 @@ def _merge(found: DataFrame, need: int) -> DataFrame:
                  .filter(F.col("_rn") <= need).drop("_rn"))
 
 
-def _candidate_cells(bounded: DataFrame, pivots: np.ndarray, radius: dict) -> DataFrame:
-    """The other cells that may hold a point nearer than a query's bound."""
+def _candidate_cells(bounded: DataFrame, pivots: np.ndarray, radius: list, own_too: bool = False, keep: tuple = ()) -> DataFrame:
+    """The other cells that may hold a point nearer than a query's bound; the own cell as well with ``own_too``.
+
+    ``keep`` names columns of the queries that come along.
+    """
     spread = np.stack([np.sqrt(((pivots - p) ** 2).sum(axis=1)) for p in pivots])
     p2 = (pivots * pivots).sum(axis=1)
     reach = {}
@@ -154,7 +163,7 @@ def _candidate_cells(bounded: DataFrame, pivots: np.ndarray, radius: dict) -> Da
             # a point of another cell is no nearer to the own pivot than to its own
             plane = np.where(gap > 0, (dist ** 2 - home ** 2) / np.maximum(2.0 * gap, 1e-300), 0.0)
             low = np.maximum(dist - far[None, :], plane)
-            r, c = np.nonzero((low <= bound[where][:, None] + slack) & (cand[None, :] != own[where][:, None]))
+            r, c = np.nonzero((low <= bound[where][:, None] + slack) & (own_too | (cand[None, :] != own[where][:, None])))
             rows.append(where[r])
             cells.append(cand[c])
         return np.concatenate(rows), np.concatenate(cells)
@@ -168,14 +177,114 @@ def _candidate_cells(bounded: DataFrame, pivots: np.ndarray, radius: dict) -> Da
                                      batch.column("_bound").to_numpy(), scopes)
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("qid").take(take), batch.column("vec").take(take),
-                     batch.column("_scope").take(take), pa.array(cells, pa.int32())],
-                    names=["qid", "vec", "_scope", "_cell"])
+                    [*[batch.column(c).take(take) for c in came], pa.array(cells, pa.int32())], names=[*came, "_cell"])
+
+    came = ["qid", "vec", "_scope", *keep]
+    schema = T.StructType([*bounded.select(*came).schema.fields, T.StructField("_cell", T.IntegerType())])
+    read = list(dict.fromkeys([*came, "_cell", "_bound"]))
+    return bounded.select(*read).mapInArrow(run, schema)
+
+
+def _parts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """In how many parts the rows of a key meet the pivots of an area."""
+    return small_side(rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / AREA_ROWS).alias("_n")), CELLS_MAX)
 
-    kinds = {f.name: f.dataType for f in bounded.schema.fields}
-    schema = T.StructType([T.StructField("qid", kinds["qid"]), T.StructField("vec", kinds["vec"]),
-                           T.StructField("_scope", kinds["_scope"]), T.StructField("_cell", T.IntegerType())])
-    return bounded.select("qid", "vec", "_scope", "_cell", "_bound").mapInArrow(run, schema)
+
+def _meet(rows: DataFrame, by: str, pivots: DataFrame, keys: list[str], run, schema: T.StructType) -> DataFrame:
+    """Run a kernel over (part of the rows, all pivots) of each key; hot keys are cut into parts by a hash of ``by``."""
+    parts = _parts(rows, keys)
+    left = rows.join(parts, keys).withColumn("_part", F.pmod(F.xxhash64(by), F.col("_n"))).drop("_n")
+    right = (pivots.join(parts, keys)
+             .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n"))
+    keys = [*keys, "_part"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def _place(rows: DataFrame, by: str, fine: DataFrame) -> DataFrame:
+    """Rows (..., _area) with the nearest fine pivot of their area and the distance to it."""
+    names = rows.columns
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        pivots = matrix(right.column("p_vec")) if right.num_rows else np.zeros((0, 1))
+        cell, far = np.zeros(left.num_rows, int), np.zeros(left.num_rows)
+        v = matrix(left.column("vec")) if left.num_rows else np.zeros((0, 1))
+        for start in range(0, len(v), 1000):
+            part = slice(start, start + 1000)
+            centred, p = v[part] - pivots[0], pivots - pivots[0]
+            cell[part] = np.argmin((p * p).sum(axis=1)[None, :] - 2.0 * (centred @ p.T), axis=1)
+            far[part] = np.sqrt(_exact(v[part], pivots[cell[part]]))
+        ids = right.column("_cell").to_numpy() if right.num_rows else np.zeros(1, int)
+        return pa.table([*[left.column(c) for c in names], pa.array(ids[cell], pa.int64()), pa.array(far)],
+                        names=[*names, "_cell", "_far"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("_cell", T.LongType()), T.StructField("_far", T.DoubleType())])
+    return _meet(rows, by, fine, ["_area"], run, schema)
+
+
+def _fine_visits(asked: DataFrame, reach: DataFrame) -> DataFrame:
+    """(qid, vec, _scope, _cell): the cells of the areas asked that may hold a point nearer than the bound."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, cells = [np.zeros(0, int)], [np.zeros(0, int)]
+        if left.num_rows and right.num_rows:
+            order = np.argsort(right.column("_cell").to_numpy())
+            ids, far = right.column("_cell").to_numpy()[order], right.column("_radius").to_numpy()[order]
+            pivots = matrix(right.column("p_vec"))[order]
+            centre = pivots[0].copy()
+            pivots, v = pivots - centre, matrix(left.column("vec")) - centre
+            p2, home, bound = (pivots * pivots).sum(axis=1), left.column("_home").to_numpy(), left.column("_bound").to_numpy()
+            for start in range(0, len(v), 1000):
+                part = slice(start, start + 1000)
+                q = v[part]
+                dist2 = np.maximum((q * q).sum(axis=1)[:, None] + p2[None, :] - 2.0 * (q @ pivots.T), 0.0)
+                low = np.sqrt(dist2) - far[None, :]
+                at = np.minimum(np.searchsorted(ids, home[part]), len(ids) - 1)
+                here = np.nonzero(ids[at] == home[part])[0]      # the own cell lies in this area: pivots part the space between them
+                if len(here):
+                    mine = pivots[at[here]]
+                    gap = np.sqrt(np.maximum(p2[at[here]][:, None] + p2[None, :] - 2.0 * (mine @ pivots.T), 0.0))
+                    plane = (dist2[here] - dist2[here, at[here]][:, None]) / np.maximum(2.0 * gap, 1e-300)
+                    low[here] = np.maximum(low[here], np.where(gap > 1e-6, plane, 0.0))
+                slack = 1e-6 * (1.0 + np.sqrt(dist2.max()))      # covers rounding in the matrix products
+                r, c = np.nonzero((low <= bound[part][:, None] + slack) & (ids[None, :] != home[part][:, None]))
+                rows.append(r + start)
+                cells.append(ids[c])
+        take = pa.array(np.concatenate(rows))
+        return pa.table([*[left.column(c).take(take) for c in ("qid", "vec", "_scope")], pa.array(np.concatenate(cells), pa.int64())],
+                        names=["qid", "vec", "_scope", "_cell"])
+
+    schema = T.StructType([*asked.select("qid", "vec", "_scope").schema.fields, T.StructField("_cell", T.LongType())])
+    return _meet(asked, "qid", reach, ["_scope", "_area"], run, schema)
+
+
+def _pivot_tree(d: DataFrame, wanted: int, n_data: int, in_list: int) -> tuple[np.ndarray, DataFrame]:
+    """Coarse pivots, and the table of fine ones (_cell, p_vec, _area). Both are drawn by a hash of the vector."""
+    drawn = d.filter(F.pmod(F.xxhash64("vec"), F.lit(n_data)) < wanted)
+    fine = materialise(drawn.select(F.xxhash64("vec").alias("_cell"), "vec").dropDuplicates(["_cell"]), "knn-pivots")
+    top = fine.orderBy(F.xxhash64("_cell"), "_cell").limit(min(in_list, max(2, math.isqrt(wanted)))).collect()
+    if not top:
+        return np.zeros((0, 1)), fine
+    coarse = np.array([r["vec"] for r in top], dtype="float64")
+    heads = d.sparkSession.createDataFrame([(r["_cell"], r["vec"], i) for i, r in enumerate(top)],
+                                           T.StructType([*fine.schema.fields, T.StructField("_area", T.IntegerType())]))
+    rest = fine.join(F.broadcast(heads.select("_cell")), "_cell", "left_anti")
+    rest = _assign(rest.withColumnRenamed("_cell", "_id"), coarse)
+    rest = rest.select(F.col("_id").alias("_cell"), "vec", F.col("_cell").alias("_area"))
+    return coarse, materialise(heads.unionByName(rest).withColumnRenamed("vec", "p_vec"), "knn-pivots")
+
+
+def _place_in_tree(rows: DataFrame, by: str, coarse: np.ndarray, fine: DataFrame) -> DataFrame:
+    in_area = _assign(rows, coarse).withColumnsRenamed({"_cell": "_area", "_far": "_area_far"})
+    return _place(in_area, by, fine)
+
+
+def _tree_visits(bounded: DataFrame, d: DataFrame, sizes: DataFrame, coarse: np.ndarray, fine: DataFrame) -> DataFrame:
+    """Queries and the other cells they must visit: areas by the coarse pivots, then cells by the fine ones."""
+    edge = d.groupBy("_scope", "_area").agg(F.max("_area_far").alias("_edge"))
+    radius = [(r["_scope"], r["_area"], r["_edge"]) for r in bounded_rows(edge, CELLS_MAX)]
+    by_area = bounded.withColumnRenamed("_cell", "_home").withColumnRenamed("_area", "_cell")
+    asked = _candidate_cells(by_area, coarse, radius, own_too=True, keep=("_home", "_bound"))
+    asked = materialise(asked.withColumnRenamed("_cell", "_area"), "knn-areas")
+    return _fine_visits(asked, sizes.select("_scope", "_cell", "_radius").join(fine, "_cell"))
 
 
 def nearest(queries: DataFrame, data: DataFrame, k: int, within: str | None = None,
@@ -194,14 +303,21 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, within: str | None = No
     q = queries.select("id", "vec", scope).groupBy("_scope", "vec").agg(F.min("id").alias("qid"))
 
     n_data = d.count()
-    wanted = n_pivots or (1 if n_data <= block_rows else min(MAX_PIVOTS, math.ceil(2 * n_data / block_rows)))
-    pivots = np.zeros((1, 1))
+    wanted = n_pivots or (1 if n_data <= block_rows else math.ceil(2 * n_data / block_rows))
+    pivots, fine = np.zeros((1, 1)), None
     if wanted > 1:
         width = d.select(F.size("vec")).first()[0]
-        wanted = max(2, min(wanted, PIVOT_CELLS // max(width, 1)))
-        sample = d.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").collect()
-        pivots = np.unique(np.array([r["vec"] for r in sample], dtype="float64"), axis=0)
-    d, q = _assign(d, pivots), _assign(q, pivots)
+        in_list = max(2, min(LIST_PIVOTS, PIVOT_CELLS // max(width, 1)))
+        if wanted > in_list:
+            pivots, fine = _pivot_tree(d, wanted, n_data, in_list)
+        if fine is None or len(pivots) < 2:
+            fine = None
+            sample = d.orderBy(F.xxhash64("id"), "id").limit(min(wanted, in_list)).select("vec").collect()
+            pivots = np.unique(np.array([r["vec"] for r in sample], dtype="float64"), axis=0)
+    if fine is None:
+        d, q = _assign(d, pivots), _assign(q, pivots)
+    else:
+        d, q = _place_in_tree(d, "id", pivots, fine), _place_in_tree(q, "qid", pivots, fine)
     many = len(pivots) > 1
     if many:
         d, q = materialise(d, "knn-data"), materialise(q, "knn-queries")
@@ -222,8 +338,12 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, within: str | None = No
         bounded = (q.join(bound, "qid", "left")
                    .withColumn("_bound", F.when(F.col("_c") >= need, F.sqrt("_m"))
                                .otherwise(F.lit(float("inf")))))
-        radius = [(r["_scope"], r["_cell"], r["_radius"]) for r in bounded_rows(sizes, CELLS_MAX)]
-        visits = materialise(_candidate_cells(bounded, pivots, radius), "knn-visits")
+        if fine is None:
+            radius = [(r["_scope"], r["_cell"], r["_radius"]) for r in bounded_rows(sizes, CELLS_MAX)]
+            visits = _candidate_cells(bounded, pivots, radius)
+        else:
+            visits = _tree_visits(bounded, d, sizes, pivots, fine)
+        visits = materialise(visits, "knn-visits")
         found = _merge(found.unionByName(_search(visits, d, blocks_for(visits), need, cls_type)), need)
 
     lists = found.groupBy("qid").agg(

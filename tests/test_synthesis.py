@@ -38,10 +38,15 @@ def clustered():
 
 
 @pytest.mark.parametrize("options", [{}, {"block_rows": 40, "query_rows": 30, "n_pivots": 1},
-                                     {"block_rows": 50, "query_rows": 30, "n_pivots": 12}])
+                                     {"block_rows": 50, "query_rows": 30, "n_pivots": 12},
+                                     {"block_rows": 50, "query_rows": 30, "n_pivots": 60, "two_levels": True}])
 @pytest.mark.parametrize("same", [False, True])
-def test_knn_is_exact(spark, clustered, same, options):
+def test_knn_is_exact(spark, clustered, same, options, monkeypatch):
     x, y = clustered
+    options = dict(options)
+    if options.pop("two_levels", False):
+        monkeypatch.setattr(knn, "LIST_PIVOTS", 6)
+        monkeypatch.setattr(knn, "AREA_ROWS", 40)            # areas are cut into parts
     got = knn.nearest(frame(spark, x, y), frame(spark, x, y), 4, within="cls" if same else None, **options)
     assert neighbours(got) == brute(x, y, 4, same)
 
