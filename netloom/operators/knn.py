@@ -136,19 +136,34 @@ def _merge(found: DataFrame, need: int) -> DataFrame:
                  .filter(F.col("_rn") <= need).drop("_rn"))
 
 
-def _candidate_cells(bounded: DataFrame, pivots: np.ndarray, radius: list, own_too: bool = False, keep: tuple = ()) -> DataFrame:
+def _enough(reach: np.ndarray, counts: np.ndarray, need: int) -> np.ndarray:
+    """Per query the distance within which ``need`` points lie for sure: cells reached whole, nearest first, until they hold as many."""
+    order = np.argsort(reach, axis=1, kind="stable")
+    held = np.cumsum(counts[order], axis=1) if reach.shape[1] else np.zeros((len(reach), 0))
+    full = held >= need
+    bound = np.full(len(reach), np.inf)
+    some = full.any(axis=1)
+    at = np.argmax(full[some], axis=1) if some.any() else np.zeros(0, int)
+    bound[some] = reach[some, order[some, at]]
+    return bound
+
+
+def _candidate_cells(bounded: DataFrame, pivots: np.ndarray, radius: list, own_too: bool = False, keep: tuple = (),
+                     need: int = 0) -> DataFrame:
     """The other cells that may hold a point nearer than a query's bound; the own cell as well with ``own_too``.
 
+    ``radius`` lists (scope, cell, radius, rows); a query without a bound takes one from the rows of the cells nearest to it.
     ``keep`` names columns of the queries that come along.
     """
     spread = np.stack([np.sqrt(((pivots - p) ** 2).sum(axis=1)) for p in pivots])
     p2 = (pivots * pivots).sum(axis=1)
     reach = {}
-    for scope, cell, far in radius:
-        cells, fars = reach.setdefault(scope, ([], []))
+    for scope, cell, far, *held in radius:
+        cells, fars, rows = reach.setdefault(scope, ([], [], []))
         cells.append(cell)
         fars.append(far)
-    reach = {s: (np.array(c), np.array(f)) for s, (c, f) in reach.items()}
+        rows.append(held[0] if held else 0)
+    reach = {s: (np.array(c), np.array(f), np.array(n)) for s, (c, f, n) in reach.items()}
 
     def visits(v, own, bound, scopes):
         """(row, cell) pairs that pass both lower bounds on the distance to the cell."""
@@ -157,12 +172,15 @@ def _candidate_cells(bounded: DataFrame, pivots: np.ndarray, radius: list, own_t
         rows, cells = [], []
         for scope in set(scopes.tolist()):
             where = np.nonzero(scopes == scope)[0]
-            cand, far = reach.get(scope, (np.zeros(0, int), np.zeros(0)))
+            cand, far, held = reach.get(scope, (np.zeros(0, int), np.zeros(0), np.zeros(0, int)))
             dist, home = to_pivot[np.ix_(where, cand)], to_pivot[where, own[where]][:, None]
             gap = spread[own[where]][:, cand]
             # a point of another cell is no nearer to the own pivot than to its own
             plane = np.where(gap > 0, (dist ** 2 - home ** 2) / np.maximum(2.0 * gap, 1e-300), 0.0)
             low = np.maximum(dist - far[None, :], plane)
+            free = where[np.isinf(bound[where])]
+            if need and len(free):
+                bound[free] = _enough(to_pivot[np.ix_(free, cand)] + far[None, :] + slack, held, need)
             r, c = np.nonzero((low <= bound[where][:, None] + slack) & (own_too | (cand[None, :] != own[where][:, None])))
             rows.append(where[r])
             cells.append(cand[c])
@@ -173,8 +191,9 @@ def _candidate_cells(bounded: DataFrame, pivots: np.ndarray, radius: list, own_t
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
                 scopes = np.array(batch.column("_scope").to_pylist(), dtype=object)
-                rows, cells = visits(matrix(batch.column("vec")), batch.column("_cell").to_numpy(),
-                                     batch.column("_bound").to_numpy(), scopes)
+                bound = batch.column("_bound").to_numpy().copy()
+                rows, cells = visits(matrix(batch.column("vec")), batch.column("_cell").to_numpy(), bound, scopes)
+                batch = batch.set_column(batch.schema.get_field_index("_bound"), "_bound", pa.array(bound))
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c).take(take) for c in came], pa.array(cells, pa.int32())], names=[*came, "_cell"])
@@ -221,6 +240,26 @@ def _place(rows: DataFrame, by: str, fine: DataFrame) -> DataFrame:
     return _meet(rows, by, fine, ["_area"], run, schema)
 
 
+def _bounded_in_area(queries: DataFrame, reach: DataFrame, need: int) -> DataFrame:
+    """Queries whose own cell holds too few points, bounded by the cells of their area."""
+    names = queries.columns
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        bound = np.full(left.num_rows, np.inf)
+        if left.num_rows and right.num_rows:
+            pivots, far, held = matrix(right.column("p_vec")), right.column("_radius").to_numpy(), right.column("_d").to_numpy()
+            centre = pivots[0].copy()
+            pivots, v = pivots - centre, matrix(left.column("vec")) - centre
+            p2 = (pivots * pivots).sum(axis=1)
+            for start in range(0, len(v), 1000):
+                q = v[start:start + 1000]
+                dist = np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + p2[None, :] - 2.0 * (q @ pivots.T), 0.0))
+                bound[start:start + 1000] = _enough(dist + far[None, :] + 1e-6 * (1.0 + dist.max()), held, need)
+        return pa.table([*[left.column(c) if c != "_bound" else pa.array(bound) for c in names]], names=names)
+
+    return _meet(queries, "qid", reach, ["_scope", "_area"], run, queries.schema)
+
+
 def _fine_visits(asked: DataFrame, reach: DataFrame) -> DataFrame:
     """(qid, vec, _scope, _cell): the cells of the areas asked that may hold a point nearer than the bound."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -277,14 +316,17 @@ def _place_in_tree(rows: DataFrame, by: str, coarse: np.ndarray, fine: DataFrame
     return _place(in_area, by, fine)
 
 
-def _tree_visits(bounded: DataFrame, d: DataFrame, sizes: DataFrame, coarse: np.ndarray, fine: DataFrame) -> DataFrame:
+def _tree_visits(bounded: DataFrame, d: DataFrame, sizes: DataFrame, coarse: np.ndarray, fine: DataFrame, need: int) -> DataFrame:
     """Queries and the other cells they must visit: areas by the coarse pivots, then cells by the fine ones."""
-    edge = d.groupBy("_scope", "_area").agg(F.max("_area_far").alias("_edge"))
-    radius = [(r["_scope"], r["_area"], r["_edge"]) for r in bounded_rows(edge, CELLS_MAX)]
-    by_area = bounded.withColumnRenamed("_cell", "_home").withColumnRenamed("_area", "_cell")
-    asked = _candidate_cells(by_area, coarse, radius, own_too=True, keep=("_home", "_bound"))
+    reach = materialise(sizes.join(fine, "_cell"), "knn-reach")
+    edge = d.groupBy("_scope", "_area").agg(F.max("_area_far").alias("_edge"), F.count(F.lit(1)).alias("_n"))
+    radius = [(r["_scope"], r["_area"], r["_edge"], r["_n"]) for r in bounded_rows(edge, CELLS_MAX)]
+    bounded = bounded.select("qid", "vec", "_scope", "_area", F.col("_cell").alias("_home"), "_bound")
+    free = F.col("_bound") == float("inf")
+    bounded = bounded.filter(~free).unionByName(_bounded_in_area(bounded.filter(free), reach, need))
+    asked = _candidate_cells(bounded.withColumnRenamed("_area", "_cell"), coarse, radius, True, ("_home", "_bound"), need)
     asked = materialise(asked.withColumnRenamed("_cell", "_area"), "knn-areas")
-    return _fine_visits(asked, sizes.select("_scope", "_cell", "_radius").join(fine, "_cell"))
+    return _fine_visits(asked, reach)
 
 
 def nearest(queries: DataFrame, data: DataFrame, k: int, within: str | None = None,
@@ -339,10 +381,10 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, within: str | None = No
                    .withColumn("_bound", F.when(F.col("_c") >= need, F.sqrt("_m"))
                                .otherwise(F.lit(float("inf")))))
         if fine is None:
-            radius = [(r["_scope"], r["_cell"], r["_radius"]) for r in bounded_rows(sizes, CELLS_MAX)]
-            visits = _candidate_cells(bounded, pivots, radius)
+            radius = [(r["_scope"], r["_cell"], r["_radius"], r["_d"]) for r in bounded_rows(sizes, CELLS_MAX)]
+            visits = _candidate_cells(bounded, pivots, radius, need=need)
         else:
-            visits = _tree_visits(bounded, d, sizes, pivots, fine)
+            visits = _tree_visits(bounded, d, sizes, pivots, fine, need)
         visits = materialise(visits, "knn-visits")
         found = _merge(found.unionByName(_search(visits, d, blocks_for(visits), need, cls_type)), need)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from netloom.operators import knn, quotas, synth
 from netloom.plans.q_columns import KEY_TEXT, raw
 from netloom.plans.registry import query
-from netloom.plans.views import RAW_KEY, view
+from netloom.plans.views import RAW_KEY, table, view
 
 R6 = lambda c: F.round(c, 6)
 TARGET, MINORITY = 12_000, 800        # scaled to the test tables; defaults are 800 000 / 50 000
@@ -155,6 +155,19 @@ def _(spark, sf):
     return listed(knn.nearest(p, p, 3, block_rows=64, query_rows=50, n_pivots=8))
 
 
+@query("j4_knn_two_levels", "", """v AS (SELECT event_id AS id, value / 10.0 AS x, CAST(user_id % 50 AS DOUBLE) AS y, CAST((event_id * 37) % 1000 AS DOUBLE) / 10.0 AS z FROM events),
+near AS (SELECT a.id, min(struct_pack(d2 := (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), nn_id := b.id), 3) AS nn
+  FROM v a JOIN v b ON a.id <> b.id GROUP BY a.id),
+flat AS (SELECT id, unnest(nn) AS x, unnest(generate_series(1, 3)) AS pos FROM near)
+SELECT id, CAST(pos AS INT) AS pos, x.nn_id AS nn_id, round(x.d2, 6) AS d2 FROM flat""")
+def _(spark, sf):
+    # a quarter as many cells as events, above 2 048 from 8 192 events on: areas, then the cells in them
+    p = table(spark, sf, "events").select(
+        F.col("event_id").alias("id"), F.lit(0).alias("cls"),
+        F.array(F.col("value") / 10.0, (F.col("user_id") % 50).cast("double"), ((F.col("event_id") * 37) % 1000).cast("double") / 10.0).alias("vec"))
+    return listed(knn.nearest(p, p, 3, block_rows=8))
+
+
 @query("b5_smote", "vectors", f"""{SIZES}, {PAIRS}, {OWN}, {RANKED},
 shares AS (SELECT id, cls, CAST(greatest(ceil((top - n - (rnk - 1)) / CAST(n AS DOUBLE)), 0) AS BIGINT) AS n_draws FROM ranked, smallest WHERE n < top),
 {emit_sql('shares', KFIT.format(k=5))}

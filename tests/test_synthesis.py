@@ -244,3 +244,10 @@ def test_artifacts(spark, learnable, tmp_path):
     shape = models.tree_shape(spark, model).first()
     assert 0 < shape["depth"] <= 4 and shape["n_leaves"] * 2 - 1 == shape["n_nodes"]
     assert models.weight_count([46, 128, 64, 8]) == 46 * 128 + 128 * 64 + 64 * 8
+
+
+def test_knn_bound_from_whole_cells():
+    """Cells reached whole, nearest first, until they hold enough points."""
+    reach = np.array([[5.0, 1.0, 3.0], [1.0, 2.0, 9.0]])
+    assert knn._enough(reach, np.array([1, 2, 2]), 3).tolist() == [3.0, 2.0]
+    assert knn._enough(reach, np.array([1, 2, 2]), 6).tolist() == [np.inf, np.inf]
