@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from netloom.operators import encode, flows, models
 from netloom.plans.q_alerts import DECIDED, decided
-from netloom.plans.q_flows import DAY, RECORD_SQL, features_sql, segmented_sql, shown
+from netloom.plans.q_flows import DAY, KEYED_SQL, RECORD_SQL, features_sql, segmented_sql, shown
 from netloom.plans.registry import query
 from netloom.plans.views import VIEW_SQL, table, view
 from netloom.session import scratch
 from netloom.sources.readers import packet_stream
 from netloom.streaming import flows as stream
+from netloom.streaming import live
 
 SHOWN = ["Number", "Tot sum", "Std", "IAT", "syn_count"]
 
@@ -137,3 +138,47 @@ def _(spark, sf):
     per_source = stream.run_counters(stream.kpi_stream(decided_stream(spark, sf)), "kpis")
     return stream.kpis_of(per_source).select("total_flows", "attack_count", "blocked_flows", "blocked_ips", "unique_ips",
                                              F.round("avg_confidence", 6).alias("avg_confidence"), F.round("attack_rate", 6).alias("attack_rate"))
+
+
+ARRIVED = f"""gaps AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY flow_id ORDER BY pkt_id)) AS gap FROM keyed),
+numbered AS (SELECT *, sum(CASE WHEN gap >= {DAY * 1_000_000} THEN 1 ELSE 0 END) OVER (PARTITION BY flow_id ORDER BY pkt_id ROWS UNBOUNDED PRECEDING) AS part FROM gaps)"""
+
+
+@query("t1_arrival_flows", "packets", f"""{KEYED_SQL}, {ARRIVED}
+SELECT flow_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS n, CAST(sum(size) AS BIGINT) AS total,
+  CAST(max(size) AS BIGINT) AS largest, CAST(count(*) FILTER (WHERE proto = 'TCP' AND tcp_flags & 2 > 0) AS BIGINT) AS syn_count,
+  first(src_ip ORDER BY pkt_id) AS src_ip FROM numbered GROUP BY flow_id, part""")
+def _(spark, sf):
+    """Flows in the order packets arrive, however late their times; those still open are read from the state."""
+    kept = scratch(spark, "arrival-ckpt")
+    ended = stream.run_append(live.arrival_flows(view_stream(spark, sf, "packets"), DAY), "arrival", checkpoint=kept)
+    return ended.unionByName(live.open_flows(spark, kept)).select(
+        "flow_id", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("last_ts").alias("last_us"), F.col("Number").alias("n"),
+        F.col("Tot sum").alias("total"), F.col("Max").alias("largest"), "syn_count", "src_ip")
+
+
+# a source is blocked by a blocking flow and released by a benign one that is nearly certain
+BLOCK_EVENTS = f"""{DECIDED},
+happened AS (SELECT src_ip, event_id, ts, blocked, lag(blocked) OVER (PARTITION BY src_ip ORDER BY event_id) AS before FROM alerts
+  WHERE blocked OR (NOT is_attack AND confidence >= 0.9)),
+changed AS (SELECT src_ip, event_id, ts, blocked FROM happened WHERE blocked <> coalesce(before, false))"""
+
+
+def block_events(spark, sf):
+    rows = decided_stream(spark, sf).filter("blocked OR (NOT is_attack AND confidence >= 0.9)")
+    return rows.select("src_ip", F.col("event_id").alias("arrival"), "ts", F.col("predicted_class").alias("reason"), F.col("blocked").alias("block"))
+
+
+@query("t8_live_changes", "decided", f"{BLOCK_EVENTS} SELECT src_ip, event_id AS arrival, epoch_us(ts) AS us, blocked FROM changed")
+def _(spark, sf):
+    out = stream.run_append(live.block_changes(block_events(spark, sf)), "changes")
+    return out.select("src_ip", "arrival", F.unix_micros("ts").alias("us"), "blocked")
+
+
+@query("t8_live_block_set", "decided", f"""{BLOCK_EVENTS}
+SELECT src_ip, first_flow, us FROM (SELECT src_ip, max(event_id) AS first_flow, epoch_us(max_by(ts, event_id)) AS us, max_by(blocked, event_id) AS b FROM changed GROUP BY src_ip) WHERE b""")
+def _(spark, sf):
+    """The block list after all blocks and releases, as the stopped query holds it."""
+    kept = scratch(spark, "blocks-ckpt")
+    stream.run_append(live.block_changes(block_events(spark, sf)), "changes", checkpoint=kept)
+    return live.block_set(spark, kept).select("src_ip", "first_flow", F.unix_micros("blocked_at").alias("us"))
