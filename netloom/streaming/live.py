@@ -2,7 +2,8 @@
 
 Nothing waits for a watermark and no packet is dropped as late. A key's state is one row, so it stays as large as the
 number of open flows or blocked sources; a task holds what one micro-batch brought for one key, which the source's limit
-per batch bounds. What a stopped query still held is read from its checkpoint.
+per batch bounds. What a stopped query still held is read from its checkpoint. A query that goes by the clock (``by_clock``,
+``ttl_s``) always has a next batch to wait for: it runs until stopped and cannot be drained.
 """
 
 from __future__ import annotations
