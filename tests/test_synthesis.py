@@ -251,3 +251,29 @@ def test_knn_bound_from_whole_cells():
     reach = np.array([[5.0, 1.0, 3.0], [1.0, 2.0, 9.0]])
     assert knn._enough(reach, np.array([1, 2, 2]), 3).tolist() == [3.0, 2.0]
     assert knn._enough(reach, np.array([1, 2, 2]), 6).tolist() == [np.inf, np.inf]
+
+
+def test_knn_moves_rows_per_pack_not_per_block(spark, monkeypatch):
+    """Small blocks and cells without structure: a row is sent to at most one task per pack, however many blocks there are."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(800, 6)), np.zeros(800, int)
+    sent, search = [], knn._search
+
+    def counted(queries, data, parts, *rest):
+        split = parts.agg(F.sum("_nd"), F.sum("_nq")).first()
+        sent.append((queries.count(), split[0], split[1]))
+        return search(queries, data, parts, *rest)
+
+    monkeypatch.setattr(knn, "_search", counted)
+    got = knn.nearest(frame(spark, x, y), frame(spark, x, y), 3, block_rows=20, query_rows=10, n_pivots=8)
+    assert neighbours(got) == brute(x, y, 3, False)
+    (own, packs, _), (visits, _, parts) = sent
+    assert own == 800 and packs <= knn.PACKS + 8 and visits <= 7 * 800 and parts <= 8 * (knn.PACKS + 1)
+
+
+def test_knn_kernel_keeps_ties_at_the_limit():
+    d = np.array([[0.0], [1.0], [-1.0], [1.0], [5.0]])
+    ids = np.array([9, 7, 8, 3, 1])
+    r, c, dist = knn.pack_nearest(np.array([[0.0], [5.0]]), np.array([1.0, 0.5]), d, ids, 3)
+    assert [(int(a), int(ids[b]), float(v)) for a, b, v in zip(r, c, dist)] in (
+        [(0, 9, 0.0), (0, 3, 1.0), (0, 7, 1.0), (1, 1, 0.0)], [(1, 1, 0.0), (0, 9, 0.0), (0, 3, 1.0), (0, 7, 1.0)])
