@@ -80,13 +80,13 @@ def _narrow(values: DataFrame, state: DataFrame, spot, prob):
     """Shrink brackets that still hold too many rows, about a hundredfold per round."""
     values = materialise(values, "quantile-bracket")
     grid = values.groupBy(*spot).agg(F.percentile_approx(
-        "_v", F.array(*[F.lit(g / GRID) for g in range(GRID + 1)]), F.lit(40 * GRID)).alias("_g"))
+        "_v", F.array(*[F.lit(g / GRID) for g in range(GRID + 1)]), F.lit(40 * GRID)).alias("_grid"))
     pos = prob * (F.col("_n") - 1)
     share = lambda r: (r - F.col("_below")) * GRID / F.col("_m")
     low = F.greatest(F.floor(share(F.floor(pos))) - 1, F.lit(0)).cast("int")
     high = F.least(F.ceil(share(F.ceil(pos) + 1)) + 1, F.lit(GRID)).cast("int")
     edges = small_side(grid.join(state, spot).select(
-        *spot, "_n", "_below", F.get("_g", low).alias("_lo"), F.get("_g", high).alias("_hi")))
+        *spot, "_n", "_below", F.get("_grid", low).alias("_lo"), F.get("_grid", high).alias("_hi")))
     cut = values.join(edges, spot)
     state = small_side(cut.groupBy(*spot, "_n", "_below").agg(
         F.count_if(F.col("_v") < F.col("_lo")).alias("_less"),

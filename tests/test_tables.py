@@ -224,3 +224,15 @@ def test_drift_and_period(spark):
     row = profile.drift_score(a, b, ["x", "y"], 1.0).first()
     assert row["drift_score"] == 1.5 and row["drifted"]
     assert not math.isnan(row["drift_score"])
+
+
+def test_crowded_brackets_without_groups(spark, monkeypatch):
+    """A table without groups whose brackets hold too many rows to be ranked at once, one column constant."""
+    monkeypatch.setattr(profile, "RANKED_AT_ONCE", 50)
+    rng = np.random.default_rng(4)
+    values = np.round(rng.normal(size=3000), 3)
+    df = spark.createDataFrame([(float(v), 4.0, float(i % 11)) for i, v in enumerate(values)], "a double, b double, c double")
+    got = {(r["feature"], r["prob"]): r["quantile"] for r in profile.exact_quantiles(df, ["a", "b", "c"], (0.25, 0.5)).collect()}
+    for p in (0.25, 0.5):
+        assert got["a", p] == pytest.approx(np.quantile(values, p)) and got["b", p] == 4.0
+        assert got["c", p] == np.quantile(np.arange(3000) % 11, p)
