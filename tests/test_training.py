@@ -97,3 +97,27 @@ def test_samples_are_the_same_wherever_a_row_lies():
     first = boosting.drawn(ids, 7)
     assert (boosting.drawn(ids[::-1], 7)[::-1] == first).all() and abs((first < 0.8).mean() - 0.8) < 0.01
     assert boosting.columns_of(10, 0.8, 42, 3).sum() == 8 and boosting.columns_of(1, 0.1, 42, 3).sum() == 1
+
+
+def random_tree(rng, node=0, depth=0, deepest=6):
+    if depth == deepest or rng.random() < 0.2:
+        return {node: (-1, 0, float(rng.normal()))}
+    return {node: (int(rng.integers(0, 3)), int(rng.integers(0, 9)), 0.0), **random_tree(rng, 2 * node + 1, depth + 1, deepest),
+            **random_tree(rng, 2 * node + 2, depth + 1, deepest)}
+
+
+@pytest.mark.parametrize("deepest", [0, 1, 6, 8])
+def test_masks_find_the_leaf_that_walking_finds(deepest):
+    rng = np.random.default_rng(deepest)
+    bins = rng.integers(0, 10, (500, 3)).astype(np.uint16)
+    for _ in range(10):
+        tree = random_tree(rng, deepest=deepest)
+        assert (boosting.router(tree, 10)(bins) == boosting.placed(tree, bins)).all()
+
+
+def test_boosting_uses_all_cores_whatever_the_files(spark, monkeypatch):
+    seen, level_splits = [], boosting.level_splits
+    monkeypatch.setattr(boosting, "level_splits", lambda rows, n_parts, *rest: seen.append(n_parts) or level_splits(rows, n_parts, *rest))
+    rows = spark.range(70_000).coalesce(1).selectExpr("CAST(id % 50 AS DOUBLE) AS a", "CAST(id % 50 DIV 25 AS INT) AS y")
+    model = models.fit(models.boosted_trees(["a"], "y", n_estimators=1, max_depth=1, columns=1.0), rows, "y", balanced=False)
+    assert seen == [8] and [(f, t) for _, _, n, f, t, _ in model.stages[-1].splits() if n == 0] == [(0, 24.0)] * 2
