@@ -121,3 +121,21 @@ def test_boosting_uses_all_cores_whatever_the_files(spark, monkeypatch):
     rows = spark.range(70_000).coalesce(1).selectExpr("CAST(id % 50 AS DOUBLE) AS a", "CAST(id % 50 DIV 25 AS INT) AS y")
     model = models.fit(models.boosted_trees(["a"], "y", n_estimators=1, max_depth=1, columns=1.0), rows, "y", balanced=False)
     assert seen == [8] and [(f, t) for _, _, n, f, t, _ in model.stages[-1].splits() if n == 0] == [(0, 24.0)] * 2
+
+
+def test_network_blocks_equal_plain_rows(spark):
+    layers = [2, 4, 3]
+    rows = learnable(spark, 900).select(F.monotonically_increasing_id().alias("id"), F.array("a", "b").alias("x"), F.col("y").cast("long").alias("y"),
+                                        (F.col("b") + 1).alias("weight"))
+    blocks, w = network.packed(rows, [1.0, 0.5], [2.0, 1.0]), network.first_weights(layers, 3)
+    plain = rows.withColumn("x", F.array((F.col("x")[0] - 1) / 2, F.col("x")[1] - 0.5))
+    assert network.mean_loss(blocks, 8, w, layers) == pytest.approx(network.mean_loss(plain, 8, w, layers), abs=1e-12)
+    frame = blocks.toPandas()
+    parts = [np.concatenate([y for _, y, _ in network.arrays(frame, (5, part, 3))]) for part in range(3)]
+    assert sorted(np.concatenate(parts)) == sorted(r["y"] for r in rows.collect()) and min(map(len, parts)) > 200
+
+
+def test_network_deals_large_tables_to_all_cores_evenly(spark):
+    rows = spark.range(8 * network.SMALL_TASK).coalesce(1)
+    shares = [r["count"] for r in network.NetworkClassifier().dealt(rows, 8 * network.SMALL_TASK).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) == 8 and max(shares) < 1.05 * network.SMALL_TASK
