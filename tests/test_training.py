@@ -139,3 +139,17 @@ def test_network_deals_large_tables_to_all_cores_evenly(spark):
     rows = spark.range(8 * network.SMALL_TASK).coalesce(1)
     shares = [r["count"] for r in network.NetworkClassifier().dealt(rows, 8 * network.SMALL_TASK).groupBy(F.spark_partition_id()).count().collect()]
     assert len(shares) == 8 and max(shares) < 1.05 * network.SMALL_TASK
+
+
+def test_rows_for_training_are_spread_over_all_cores(spark):
+    from netloom.operators.blocks import spread
+    rows = spark.range(70_000).coalesce(1).selectExpr("id", "CAST(NULL AS DOUBLE) AS `a.b`")
+    out = spread(rows)
+    assert out.rdd.getNumPartitions() == 8 and out.agg(F.count("*"), F.sum("id"), F.count_distinct("id")).first() == (70_000, 2449965000, 70_000)
+
+
+def test_learnable_rows_are_written_by_all_cores(spark, tmp_path):
+    from netloom.plans import q_models
+    spark.range(70_000).selectExpr("id AS event_id", "TIMESTAMP_MICROS(id * 1000000) AS ts", "CAST(id % 500 AS DOUBLE) AS value", "'view' AS event_type"
+                                   ).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert len(q_models.learnable(spark, str(tmp_path)).inputFiles()) == 8
