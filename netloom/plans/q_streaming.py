@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netloom.operators import encode, flows, models
+from netloom.operators.blocks import n_tasks
 from netloom.plans.q_alerts import DECIDED, decided
 from netloom.plans.q_flows import DAY, KEYED_SQL, RECORD_SQL, features_sql, segmented_sql, shown
 from netloom.plans.registry import query
@@ -117,17 +118,26 @@ def _(spark, sf):
     return out.agg(F.count(F.lit(1)).alias("n"))
 
 
+SLICE_TASK = 500_000              # packets that one task writes, and one task of the stream reads
+
+
+def write_slice(packets, folder):
+    """One slice as files of bounded size, written by all cores."""
+    n = n_tasks(packets, packets.count(), most=SLICE_TASK)
+    packets.repartition(n, "pkt_id").write.mode("append").parquet(folder)
+
+
 @query("s14_many_files", "packets", features_sql(DAY, SHOWN))
 def _(spark, sf):
-    """Packets arriving as several files, one per batch, in time order; open flows are flushed at the end."""
+    """Packets arriving in four slices of time, each as several files and in one batch; open flows are flushed at the end."""
     folder, rows = scratch(spark, "arriving"), view(spark, sf, "packets")
+    out, kept = scratch(spark, "flows-out"), scratch(spark, "flows-ckpt")
     low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     edge = [low + (high + 1 - low) * i // 4 for i in range(5)]
-    for i in range(4):                      # one after the other: the source takes files in the order of their times
-        rows.filter((F.unix_micros("ts") >= edge[i]) & (F.unix_micros("ts") < edge[i + 1])).coalesce(1).write.mode("append").parquet(folder)
-    arriving = packet_stream(spark, folder, rows.schema, max_files=1)
-    out = stream.run_append(stream.flow_stream(arriving, DAY), "flows")
-    return shown(out.unionByName(stream.flush_tail(rows, out, DAY)), SHOWN)
+    for i in range(4):                      # the stream goes on from its folders with what has arrived since
+        write_slice(rows.filter((F.unix_micros("ts") >= edge[i]) & (F.unix_micros("ts") < edge[i + 1])), folder)
+        done = stream.run_append(stream.flow_stream(packet_stream(spark, folder, rows.schema), DAY), "flows", out, kept)
+    return shown(done.unionByName(stream.flush_tail(rows, done, DAY)), SHOWN)
 
 
 @query("t7_kpi_refresh", "decided", f"""{DECIDED}

@@ -193,3 +193,13 @@ def test_a_cluster_needs_a_shared_folder(spark):
         spark.range(3).write.parquet(kept)
     import os
     assert not os.path.exists(path)
+
+
+def test_arriving_slices_are_written_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    from netloom.plans import q_streaming
+    monkeypatch.setattr(q_streaming, "SLICE_TASK", 2_000)
+    rows = spark.range(33_000).coalesce(1).selectExpr("id AS pkt_id")
+    q_streaming.write_slice(rows, f"{tmp_path}/arriving")
+    made = spark.read.parquet(f"{tmp_path}/arriving")
+    sizes = [r["count"] for r in made.groupBy(F.input_file_name()).count().collect()]
+    assert made.distinct().count() == made.count() == 33_000 and len(sizes) > 1 and max(sizes) < 2 * 8_192
