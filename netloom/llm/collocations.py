@@ -36,10 +36,14 @@ from netloom.session import materialise
 
 LEAST = 10                        # occurrences a phrase needs
 ABSORBED = 50                     # percent of a phrase's occurrences inside a longer one that drop it
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 18             # words and ids of a chunk are held at once, by a worker and in a row
 SIDE = 1024                       # ids in the first band
 DENSE_CELLS = 1 << 22             # largest tile, or part of one, that is counted densely
 PART_WORDS = 1 << 21              # occurrences that one part of a tile is planned for
+GROUP_BYTES = 16 << 20            # of a written file's row groups
+# Parquet looks at the size of its pages and row groups after a hundred rows, unless told otherwise; chunks are so wide that a whole file would be
+# one page, held several times over on and off the heap.
+WIDE = {"parquet.page.size.row.check.min": "1"}
 CHUNK_SCHEMA = "chunk long, lang string, n_words long, words array<string>, counts array<long>, codes binary"
 TILE_SCHEMA = "lang string, tile int, parts long, part long, chunk long, cells binary, counts binary"
 SUM_SCHEMA = "lang string, tile int, part long, chunk long, lefts array<long>, rights array<long>, counts array<long>, hits array<long>"
@@ -93,9 +97,14 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield chunk_row(serial, lang, held[lang])
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """A table of wide rows, in pages and row groups of bounded size."""
+    return materialise(rows, name, **WIDE, **{"parquet.block.size": str(GROUP_BYTES)})
+
+
 def chunks_of(docs: DataFrame, text: str, lang: str) -> DataFrame:
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return materialise(rows.mapInArrow(chunked, CHUNK_SCHEMA), "chunks")
+    return written(rows.mapInArrow(chunked, CHUNK_SCHEMA), "chunks")
 
 
 # --- 2 tiles -----------------------------------------------------------------
@@ -133,7 +142,7 @@ def added(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     order = np.argsort(cells, kind="stable")
     cells, counts = cells[order], counts[order]
     first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
-    return cells[first], np.add.reduceat(counts, first)
+    return cells[first], np.add.reduceat(counts, first, dtype=np.int64)
 
 
 def cell_type(tile: int, parts: int):
@@ -181,10 +190,10 @@ def sums(tiles: DataFrame, least: int, answer: bool) -> DataFrame:
     def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         lang, tile, parts, part = key[0], *map(int, key[1:])          # plain numbers: cells outgrow 32 bits
         i, j = tile >> 6, tile & 63
-        brought = [np.frombuffer(c, cell_type(tile, parts)).astype(np.int64) for c in group["cells"]]
-        cells, counts = added(np.concatenate(brought), np.concatenate([np.frombuffer(c, np.int32) for c in group["counts"]]).astype(np.int64))
+        brought = [np.frombuffer(c, cell_type(tile, parts)) for c in group["cells"]]      # as narrow as they came: only sums are widened
+        cells, counts = added(np.concatenate(brought), np.concatenate([np.frombuffer(c, np.int32) for c in group["counts"]]))
         cells, counts = cells[counts >= least], counts[counts >= least]
-        whole = cells * parts + part
+        whole = cells.astype(np.int64) * parts + part
         out = [(lang, tile, part, None, whole // band_width(j) + band_start(i), whole % band_width(j) + band_start(j), counts, None)] if len(cells) else []
         for chunk, mine in zip(group["chunk"].tolist(), brought) if answer and len(cells) else ():
             at = np.minimum(np.searchsorted(cells, mine), len(cells) - 1)
@@ -192,7 +201,7 @@ def sums(tiles: DataFrame, least: int, answer: bool) -> DataFrame:
             if len(at):
                 out.append((lang, tile, part, chunk, None, None, None, at))
         return frame(out, SUM_SCHEMA).astype({"chunk": "Int64"})
-    return materialise(tiles.groupBy("lang", "tile", "parts", "part").applyInPandas(add, SUM_SCHEMA), "sums")
+    return written(tiles.groupBy("lang", "tile", "parts", "part").applyInPandas(add, SUM_SCHEMA), "sums")
 
 
 def frequent(found: DataFrame) -> DataFrame:
@@ -207,18 +216,16 @@ def with_ids(chunks: DataFrame, occurrences: DataFrame, vocabulary: DataFrame) -
     """chunk, lang, ids: the chunk's words by frequency rank, -1 for rarer words and breaks."""
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
             for chunk, lang, codes, local in zip(batch["chunk"], batch["lang"], batch["codes"], batch["local"]):
                 codes, local = np.frombuffer(codes, np.int32), np.asarray(local, np.int64)
                 to = np.full(int(codes.max()) + 2, -1, np.int32)               # its last place stands for -1
                 to[local >> 32] = local & 0x7FFFFFFF
-                out.append((chunk, lang, to[codes].tobytes()))
-            yield frame(out, "chunk, lang, ids")
+                yield frame([(chunk, lang, to[codes].tobytes())], "chunk, lang, ids")
     one = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("id"))
     local = occurrences.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(
         F.collect_list(one).alias("local"))                                     # at most a chunk's distinct words
     rows = chunks.select("chunk", "lang", "codes").join(local, "chunk")
-    return materialise(rows.mapInPandas(encode, "chunk long, lang string, ids binary"), "encoded")
+    return written(rows.mapInPandas(encode, "chunk long, lang string, ids binary"), "encoded")
 
 
 def pair_tiles(encoded: DataFrame, bands: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from netloom.llm import collocations, merkle, sharding
@@ -130,6 +131,20 @@ def test_long_text_and_scores_beyond_64_bits(spark):
     assert big.select(collocations.share("a", "l", "r")).first()[0] == 450000
 
 
+def test_chunks_lie_in_row_groups_and_pages_of_bounded_size(spark):
+    """A chunk's row is wide: no file may be one page, whatever its number of rows, and no chunk outgrow a worker."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(x.tobytes().hex() for x in rng.integers(0, 2 ** 32, 2 ** 16, np.uint32)), "en", "s", 1) for i in range(24)]
+    chunks = collocations.chunks_of(table(spark, rows).coalesce(1), "text", "lang")
+    assert chunks.agg({"n_words": "sum"}).first()[0] == 24 * 2 ** 16
+    assert chunks.agg({"n_words": "max"}).first()[0] <= 2 ** 18 + 2 ** 16
+    (path,) = chunks.inputFiles()
+    written = pq.ParquetFile(path.removeprefix("file://")).metadata
+    groups = [written.row_group(i) for i in range(written.num_row_groups)]
+    assert written.num_rows > 5 and len(groups) > 1
+    assert max(g.total_byte_size for g in groups) < 2 * 2 ** 24
+
+
 def test_cells_of_wide_tiles_are_counted_exactly():
     """Cells beyond 32 bits, as in tiles of rare words, go through the same two ways of counting."""
     left, right = np.array([5, 2 ** 28, 2 ** 28, 2 ** 28 + 1]), np.array([2 ** 29, 2 ** 29 + 7, 2 ** 29 + 7, 3])
