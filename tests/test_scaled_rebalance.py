@@ -1,9 +1,11 @@
-"""Neighbour lists with vectors, packs to visit and draws in plain Python numbers."""
+"""Neighbour lists with vectors, packs to visit, draws in plain Python numbers, and synthetic rows that are written once."""
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from netloom.operators import knn, synth
+from netloom.plans import augment
+from netloom.plans.train_compare import store_variants
 
 
 def points_of(spark, n=500, seed=4):
@@ -53,3 +55,26 @@ def test_lists_with_vectors_make_the_same_rows(spark):
     own = synth.own_neighbours(points, vectors=True)
     for method in (synth.smote, synth.adasyn, synth.borderline_smote):
         assert sorted(map(str, method(points, own=own).collect())) == sorted(map(str, method(points).collect()))
+
+
+def test_synthetic_rows_are_written_once(spark, tmp_path, monkeypatch):
+    """They go straight to the variant's folder; nothing else writes them, and the base rows join them there."""
+    from netloom.plans import augment as module
+    written, materialise = [], module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, name="step", **o: written.append(name) or materialise(df, name, **o))
+    rows = spark.range(900).select((F.col("id") % 37).cast("double").alias("a"), F.sin("id").alias("b"),
+                                   F.when(F.col("id") % 9 == 0, "BenignTraffic").otherwise("DoS-TCP_Flood").alias("label"),
+                                   F.when(F.col("id") % 10 < 8, "train").otherwise("test").alias("split"))
+    record = {(r["phase"], r["class"]): r["n"] for r in store_variants(rows, ["a", "b"], f"{tmp_path}/flow", ("smote",)).collect()}
+    table = spark.read.parquet(f"{tmp_path}/flow/table")
+    assert "is_synthetic" not in table.columns and not [w for w in written if w.startswith("synthetic")]
+    stored = {str(r["y_macro_encoded"]): r["count"] for r in table.where("variant = 'smote'").groupBy("y_macro_encoded").count().collect()}
+    assert len(stored) == 2 and len(set(stored.values())) == 1
+    assert all(record["final", c] == record["augmented", c] == n for c, n in stored.items()) and min(record["original", c] for c in stored) < stored["0"]
+
+
+def test_folder_holds_only_synthetic_rows_when_they_are_counted(spark, tmp_path):
+    train = points_of(spark).select("id", *[F.col("vec")[i].alias(c) for i, c in enumerate("abc")], F.col("cls").alias("y_macro_encoded"))
+    made = augment.augment_all(train, ["smote"], "id", ["a", "b", "c"], folder=lambda m: f"{tmp_path}/{m}")["smote"]
+    train.select(*[F.col(c).cast("float").alias(c) for c in "abc"], "y_macro_encoded", F.col("y_macro_encoded").alias("y_specific")).write.mode("append").parquet(f"{tmp_path}/smote")
+    assert made["synthetic"].count() == 375 + 475 and made["final"].count() == 650 + 850 and spark.read.parquet(f"{tmp_path}/smote").count() == 1500
